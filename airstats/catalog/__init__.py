@@ -2,6 +2,6 @@
 
 from airstats.catalog.registry import QUERIES, SQL
 
-from airstats.catalog import relational  # noqa: F401  (fills the registry)
+from airstats.catalog import files, models, relational  # noqa: F401  (fills the registry)
 
 __all__ = ["QUERIES", "SQL"]

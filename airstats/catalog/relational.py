@@ -10,6 +10,8 @@ from airstats.catalog.registry import query
 from airstats.operators import (
     airports, compare, evaluate, features, filters, kpi, profile, rank, split, strata,
 )
+from airstats.plans import service
+from airstats.plans.sampling import draw, frequent, with_strata
 
 # SQL pieces used by several queries.
 
@@ -78,22 +80,8 @@ topd AS (SELECT coalesce(dest, 'nan') AS value FROM base GROUP BY 1 ORDER BY cou
 
 # DataFrames used by several queries.
 
-def _tops(df: DataFrame):
-    carriers = rank.as_list(rank.top_values(df, ["op_carrier"], rank.TOP_CARRIERS, rank.SURVEYED_MONTHS))
-    ends = rank.as_list(rank.top_values(df, ["origin", "dest"], rank.TOP_AIRPORTS, rank.SURVEYED_MONTHS))
-    return carriers, ends
-
-
-def scored(df: DataFrame) -> DataFrame:
-    carriers, ends = _tops(df)
-    return strata.with_priority(df, carriers, ends).withColumn("delay_group", fn.delay_group("arr_delay"))
-
-
 def sampled(df: DataFrame) -> DataFrame:
-    """The stratified sample of flights that carry a priority score and a delay group."""
-    return strata.stratified_sample(
-        df, ["month", "delay_group"], fn.quota_of("delay_group"), "priority_score", KEY,
-        F.lit(strata.SAMPLE_SEED) + F.col("month"))
+    return draw(df, KEY)
 
 
 def _with_total(df: DataFrame) -> DataFrame:
@@ -343,12 +331,12 @@ def _(spark, sf):
 
 @query("a6_priority_score", _SCORED + "--- SELECT flight_id, priority_score FROM scored")
 def _(spark, sf):
-    return scored(flights(spark, sf)).select(KEY, "priority_score")
+    return with_strata(flights(spark, sf)).select(KEY, "priority_score")
 
 
 @query("a7_stratified_sample", _SAMPLE + "--- SELECT flight_id, month, delay_group, priority_score FROM sample")
 def stratified_sample(spark, sf):
-    return sampled(scored(flights(spark, sf)).select(KEY, "month", "delay_group", "priority_score"))
+    return sampled(with_strata(flights(spark, sf)).select(KEY, "month", "delay_group", "priority_score"))
 
 
 @query("a7b_sample_without_weights", _SCORED + "," + _race(
@@ -357,7 +345,7 @@ def stratified_sample(spark, sf):
 def _(spark, sf):
     weight = F.when((F.col("delay_group") == "OnTime") | (F.col("op_carrier") == "C03"), 0.0).otherwise(
         F.col("priority_score"))
-    df = scored(flights(spark, sf)).withColumn("priority_score", weight)
+    df = with_strata(flights(spark, sf)).withColumn("priority_score", weight)
     drawn = sampled(df.select(KEY, "month", "delay_group", "priority_score"))
     return drawn.drop("priority_score")
 
@@ -372,21 +360,21 @@ def _(spark, sf):
   LEFT JOIN a ON a.month = m.month AND a.delay_group = g.delay_group
   LEFT JOIN s ON s.month = m.month AND s.delay_group = g.delay_group""")
 def _(spark, sf):
-    population = scored(flights(spark, sf))
+    population = with_strata(flights(spark, sf))
     return strata.sampling_log(population, sampled(population))
 
 
 @query("a8_group_shares", _SAMPLE + """--- SELECT delay_group, count(*) AS n,
   cast(count(*) AS double) / (SELECT count(*) FROM sample) AS share FROM sample GROUP BY 1""")
 def _(spark, sf):
-    return strata.group_shares(sampled(scored(flights(spark, sf))))
+    return strata.group_shares(sampled(with_strata(flights(spark, sf))))
 
 
 @query("a8_carrier_coverage", _SAMPLE + """--- SELECT
   avg(CASE WHEN op_carrier IN (SELECT value FROM topc) THEN 1 ELSE 0 END) AS coverage FROM sample""")
 def _(spark, sf):
     df = flights(spark, sf)
-    return strata.carrier_coverage(sampled(scored(df)), _tops(df)[0])
+    return strata.carrier_coverage(sampled(with_strata(df)), frequent(df)[0])
 
 
 def _share(table: str, col: str, out: str) -> str:
@@ -400,7 +388,7 @@ def _share(table: str, col: str, out: str) -> str:
   ORDER BY p.share DESC, p.op_carrier LIMIT 5""")
 def share_compare(spark, sf):
     df = flights(spark, sf)
-    return compare.share_compare(df, sampled(scored(df)), "op_carrier")
+    return compare.share_compare(df, sampled(with_strata(df)), "op_carrier")
 
 
 @query("a9_share_compare_full", _SAMPLE + "," + _share("flights", "fl_date", "p") + ","
@@ -409,7 +397,7 @@ def share_compare(spark, sf):
   FROM p LEFT JOIN s ON s.fl_date = p.fl_date""")
 def _(spark, sf):
     df = flights(spark, sf)
-    return compare.share_compare(df, sampled(scored(df)), "fl_date", how="full", top=None)
+    return compare.share_compare(df, sampled(with_strata(df)), "fl_date", how="full", top=None)
 
 
 @query("a9_share_chart", _SAMPLE + "," + _share("flights", "op_carrier", "p") + ","
@@ -417,7 +405,7 @@ def _(spark, sf):
   UNION ALL SELECT op_carrier, share, 'Sample' FROM s""")
 def _(spark, sf):
     df = flights(spark, sf)
-    return compare.share_chart(df, sampled(scored(df)), "op_carrier")
+    return compare.share_chart(df, sampled(with_strata(df)), "op_carrier")
 
 
 @query("a10_topk_share_compare", _SAMPLE + """,
@@ -428,7 +416,7 @@ def _(spark, sf):
   UNION ALL SELECT origin, share, 'Sample' FROM s""")
 def _(spark, sf):
     df = flights(spark, sf)
-    return compare.topk_share_compare(df, sampled(scored(df)))
+    return compare.topk_share_compare(df, sampled(with_strata(df)))
 
 
 @query("a11_hour_distribution", _SAMPLE + f""",
@@ -437,7 +425,7 @@ def _(spark, sf):
        + """--- SELECT hour, share, 'Population' AS type FROM p UNION ALL SELECT hour, share, 'Sample' FROM s""")
 def _(spark, sf):
     df = flights(spark, sf)
-    return compare.hour_distribution(df, sampled(scored(df)))
+    return compare.hour_distribution(df, sampled(with_strata(df)))
 
 
 @query("a12_peak_compare", _SAMPLE + f""", r AS (
@@ -446,16 +434,16 @@ def _(spark, sf):
   --- SELECT peak_pop, peak_sample, abs(peak_pop - peak_sample) AS diff FROM r""")
 def _(spark, sf):
     df = flights(spark, sf)
-    return compare.peak_compare(df, sampled(scored(df)))
+    return compare.peak_compare(df, sampled(with_strata(df)))
 
 
-@query("a13_temporal_coverage", """late AS (SELECT month, day_of_week FROM flights WHERE arr_delay < -15)
+@query("a13_temporal_coverage", """late AS (SELECT month, day_of_week FROM flights WHERE day_of_week >= 6)
   --- SELECT 'month' AS part, cast(r.range AS int) AS code FROM range(1, 13) r
     WHERE r.range NOT IN (SELECT month FROM late)
   UNION ALL SELECT 'day', cast(r.range AS int) FROM range(1, 8) r
     WHERE r.range NOT IN (SELECT day_of_week FROM late)""")
 def _(spark, sf):
-    return filters.temporal_coverage(flights(spark, sf).where("arr_delay < -15"))
+    return filters.temporal_coverage(flights(spark, sf).where("day_of_week >= 6"))
 
 
 @query("a14_load_totals", """SELECT count(*) AS total_rows, count(DISTINCT substr(fl_date, 1, 4)) AS years,
@@ -590,16 +578,6 @@ def _(spark, sf):
     return features.route_count(flights(spark, sf)).select(KEY, "route_count")
 
 
-def serving_rows(df: DataFrame) -> DataFrame:
-    """Flights as requests to the scoring service."""
-    return features.route_count(df).withColumn("hour", fn.datetime_hour("crs_dep_time"))
-
-
-def encodings(df: DataFrame) -> dict[str, DataFrame]:
-    targets = _with_total(df)
-    return {c: features.target_encoding(targets, c, "total_delay") for c in features.ENCODED_COLUMNS}
-
-
 def _te(c: str) -> str:
     return f"round(cast(coalesce({c}.te, (SELECT avg(te) FROM {c})) AS float), 3) AS {c.upper()}"
 
@@ -616,7 +594,7 @@ def _te(c: str) -> str:
   LEFT JOIN te_origin ON te_origin.origin = f.origin LEFT JOIN te_dest ON te_dest.dest = f.dest""")
 def serving_features(spark, sf):
     df = flights(spark, sf)
-    rows = features.serving_features(serving_rows(df), encodings(df), [KEY])
+    rows = features.serving_features(service.requests(df), service.encodings(_with_total(df)), [KEY])
     return rows.withColumns({
         c: F.round(c, 3) for c in features.SERVING_FEATURES if c.startswith("TE_")})
 
