@@ -28,7 +28,7 @@ def prepared(spark: SparkSession, sf: str) -> models.Prepared:
 
 
 @query("f9_one_hot", _FEATURES_SQL + "---" + " UNION ALL ".join(
-    f"SELECT concat('{c}_hot_', cast({c} AS varchar)) AS feature, count(*) AS n FROM features GROUP BY 1"
+    f"SELECT concat('{c}_', cast({c} AS varchar)) AS feature, count(*) AS n FROM features GROUP BY 1"
     for c in CATEGORICAL_FEATURES))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = build_features(flights(spark, sf), fit_on="all")

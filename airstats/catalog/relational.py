@@ -172,7 +172,7 @@ def _(spark, sf):
   UNION ALL SELECT code, lat, lon, total_flights, 'small map' FROM stats
       WHERE lon BETWEEN -125 AND -66 AND lat BETWEEN 24 AND 50""")
 def _(spark, sf):
-    stats = airports.airport_statistics(flights(spark, sf))
+    stats = airports.airport_counts(flights(spark, sf))
     return filters.in_box(stats).withColumn("map", F.lit("map")).unionByName(
         filters.in_box(stats, filters.SMALL_MAP_BOX).withColumn("map", F.lit("small map")))
 
@@ -234,7 +234,7 @@ def _(spark, sf):
   --- SELECT code, round(sqrt(count(*)) * 8, 6) AS size, round(sqrt(count(*)) * 3, 6) AS small_size
   FROM ends WHERE code IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1""")
 def _(spark, sf):
-    stats = airports.airport_statistics(flights(spark, sf))
+    stats = airports.airport_counts(flights(spark, sf))
     return stats.select(
         "code", F.round(fn.marker_size("total_flights"), 6).alias("size"),
         F.round(fn.marker_size("total_flights", 3.0), 6).alias("small_size"))
@@ -293,7 +293,7 @@ def airport_statistics(spark, sf):
     (SELECT code FROM stats ORDER BY total_flights DESC, code LIMIT 1) AS max_code,
     min(total_flights) AS min FROM stats""")
 def _(spark, sf):
-    return airports.count_summary(airports.airport_statistics(flights(spark, sf)))
+    return airports.count_summary(airports.airport_counts(flights(spark, sf)))
 
 
 @query("a4_count_bins", _ENDS_SQL + """, bins(bin, label, low, high) AS (VALUES
@@ -315,7 +315,7 @@ def _(spark, sf):
         filters.require(df, ["origin", "dest"]).groupBy("origin", "dest")
         .agg(F.count("*").alias("total_flights")))
     return (
-        airports.count_bins(airports.airport_statistics(df)).withColumn("entity", F.lit("airport"))
+        airports.count_bins(airports.airport_counts(df)).withColumn("entity", F.lit("airport"))
         .unionByName(airports.count_bins(per_route).withColumn("entity", F.lit("route"))))
 
 

@@ -20,8 +20,8 @@ def both_ends(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
     return df.select(F.inline(F.array(*ends)))
 
 
-def airport_statistics(df: DataFrame) -> DataFrame:
-    """Coordinates and number of departures plus arrivals of each airport, busiest first.
+def airport_counts(df: DataFrame) -> DataFrame:
+    """Coordinates and number of departures plus arrivals of each airport, in no order.
 
     Both ends come from one scan. The least coordinate stands for an airport, so the result does
     not depend on row order.
@@ -32,10 +32,14 @@ def airport_statistics(df: DataFrame) -> DataFrame:
         ends.where("code IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
         .groupBy("code")
         .agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.count("*").alias("total_flights"))
-        .orderBy(F.desc("total_flights"), "code")
     )
 
 
+def airport_statistics(df: DataFrame) -> DataFrame:
+    """Airports with coordinates and flights, busiest first."""
+    return airport_counts(df).orderBy(F.desc("total_flights"), "code")
+
+
 def first_by(value: Column | str, count: Column | str) -> Column:
     """Value with the greatest count; the first in order among equals."""
     count = F.col(count) if isinstance(count, str) else count

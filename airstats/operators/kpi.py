@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from airstats.functions import share_of
-from airstats.operators.airports import airport_statistics, first_by
+from airstats.operators.airports import airport_counts, first_by
 
 # Fixed value: minutes after which an arrival is late.
 LATE_AFTER = 15
@@ -44,7 +44,7 @@ def kpis(df: DataFrame, late_after: float = LATE_AFTER) -> DataFrame:
         share_of(F.coalesce(F.sum("o_sum"), F.lit(0)) + F.coalesce(F.sum("d_sum"), F.lit(0)),
                  F.sum("o_n") + F.sum("d_n")).alias("mean_temp"),
     )
-    airports = airport_statistics(df).agg(F.struct(
+    airports = airport_counts(df).agg(F.struct(
         first_by("code", "total_flights").alias("busiest"), F.count("*").alias("n"))).scalar()
     return totals.select(
         "total_flights", "late_share", "worst_carrier",

@@ -13,7 +13,7 @@ from pyspark.ml.feature import (
     Normalizer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer,
 )
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airstats.operators.evaluate import class_metrics, select_best
 from airstats.operators.features import (
@@ -136,10 +136,10 @@ def _stages(model: Transformer) -> list[Transformer]:
     return list(model.stages) if isinstance(model, PipelineModel) else [model]
 
 
-def _at_once(jobs: Sequence[Callable[[], Model]]) -> list[Model]:
+def _at_once(spark: SparkSession, jobs: Sequence[Callable[[], Model]]) -> list[Model]:
     """Fit independent models side by side; Spark shares the executors among their jobs."""
     with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-        return list(pool.map(lambda job: job(), [inheritable_thread_target(j) for j in jobs]))
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
 
 
 def fit_linear(train: DataFrame) -> Model:
@@ -170,7 +170,7 @@ def _one_vs_rest(train: DataFrame, binary: Callable[[int], Estimator],
         rows = train.withColumn("is_class", (F.col(LABEL) == c).cast("double"))
         return lambda: binary(c).fit(rows if weights is None else weights(rows, c))
 
-    models = _at_once([job(c) for c in CLASSES])
+    models = _at_once(train.sparkSession, [job(c) for c in CLASSES])
     own = [f"probability_{c}" for c in CLASSES]
     joined = VectorAssembler(inputCols=own, outputCol="binary_probabilities")
     yes = VectorSlicer(inputCol="binary_probabilities", outputCol="yes_probabilities",
@@ -279,10 +279,10 @@ def grid_fit(fit: Callable[..., Model], grid: Mapping[str, Sequence], train: Dat
 # Reading models.
 
 def feature_names(vectors: DataFrame) -> list[str]:
-    """Names of the vector's places, from its metadata."""
+    """Names of the vector's places, from its metadata: ``route_risk``, ``op_carrier_AA``."""
     groups = vectors.schema[FEATURES].metadata["ml_attr"]["attrs"]
     places = sorted((a["idx"], a["name"]) for group in groups.values() for a in group)
-    return [name for _, name in places]
+    return [name.removesuffix("_z").replace("_hot_", "_", 1) for _, name in places]
 
 
 def importances(model: Transformer, vectors: DataFrame, k: int = IMPORTANCES) -> DataFrame:

@@ -13,48 +13,83 @@ BROKEN_LINE = "_broken_line"
 BAD_COLUMNS = "_bad_columns"
 
 # Quotes inside a quoted field are doubled, in files read as in files written.
-_DIALECT = {"header": True, "encoding": "UTF-8", "quote": '"', "escape": '"'}
+DIALECT = {"header": True, "encoding": "UTF-8", "quote": '"', "escape": '"'}
+READ_OPTIONS = {**DIALECT, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN_LINE}
 
 
 class CsvScan(NamedTuple):
-    """``good`` rows in the asked types, and ``rejects`` as text with the columns at fault."""
+    """``good`` rows in the asked types, and ``rejects``: line and names of the columns at fault."""
 
     good: DataFrame
     rejects: DataFrame
 
 
-def text_schema(names: Sequence[str]) -> T.StructType:
-    """Every column as text, and a place for lines that have too many or too few fields."""
-    fields = [T.StructField(n, T.StringType()) for n in names]
-    return T.StructType([*fields, T.StructField(BROKEN_LINE, T.StringType())])
-
-
 def header_names(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
     """Column names in a file's header line. No data is read."""
-    return spark.read.options(**_DIALECT).csv(path).columns
-
-
-def _null_or(c: Column, null_tokens: Sequence[str]) -> Column:
-    return F.when(~c.isin(*null_tokens), c)
-
-
-def typed(lines: DataFrame, schema: T.StructType = FLIGHT_SCHEMA,
-          null_tokens: Sequence[str] = NULL_TOKENS) -> CsvScan:
-    """Give text columns their types. A value that cannot be read rejects its row, not the file."""
-    fields = [f for f in schema.fields if f.name in lines.columns]
-    text = {f.name: _null_or(F.col(f.name), null_tokens) for f in fields}
-    cast = {f.name: text[f.name].try_cast(f.dataType) for f in fields}
-    faults = [
-        F.when(text[f.name].isNotNull() & cast[f.name].isNull(), F.lit(f.name))
-        for f in fields if not isinstance(f.dataType, T.StringType)
-    ]
-    if BROKEN_LINE in lines.columns:
-        faults.append(F.when(F.col(BROKEN_LINE).isNotNull(), F.lit(BROKEN_LINE)))
-    bad = F.array_compact(F.array(*faults)) if faults else F.array().cast("array<string>")
-    marked = lines.withColumn(BAD_COLUMNS, bad)
+    return spark.read.options(**DIALECT).csv(path).columns
+
+
+def line_schema(names: Sequence[str], schema: T.StructType = FLIGHT_SCHEMA) -> T.StructType:
+    """Types of a file's columns, in its order, and a place for lines that do not fit them.
+
+    A column the schema does not know is text.
+    """
+    types = {f.name: f.dataType for f in schema.fields}
+    return T.StructType([
+        *[T.StructField(n, types.get(n, T.StringType())) for n in names],
+        T.StructField(BROKEN_LINE, T.StringType()),
+    ])
+
+
+def _is_number(field: T.StructField) -> bool:
+    return not isinstance(field.dataType, T.StringType)
+
+
+def _faults(schema: T.StructType, null_tokens: Sequence[str]) -> Column:
+    """Names of the columns at fault in a line that could not be read in the types of ``schema``.
+
+    A number that is missing although its text is there is a fault, unless that text means null;
+    a line with too many or too few fields is one as a whole.
+    """
+    def named(fields: Sequence[T.StructField], data_type: str | None = None) -> Column:
+        ddl = ", ".join(f"`{f.name}` {data_type or f.dataType.simpleString()}" for f in fields)
+        parsed = F.from_csv(BROKEN_LINE, ddl, {**READ_OPTIONS, "header": "false"})
+        # By way of JSON the row becomes a map of the fields that are not null.
+        return F.from_json(F.to_json(parsed), "map<string,string>")
+
+    texts = named(schema.fields, "string")
+    values = named([f for f in schema.fields if f.name != BROKEN_LINE])
+    numbers = [f.name for f in schema.fields if _is_number(f)]
+    given = F.map_filter(
+        texts, lambda name, text: name.isin(*numbers, BROKEN_LINE) & ~text.isin(*null_tokens))
+    return F.array_except(F.map_keys(given), F.map_keys(values))
+
+
+def typed(lines: DataFrame, null_tokens: Sequence[str] = NULL_TOKENS) -> CsvScan:
+    """Take the null texts out of lines read by ``line_schema`` and set rows with faults apart.
+
+    A value that cannot be read rejects its row, not the file. Spark's parser does the typing;
+    only lines it marks as broken get a second look, which lets those through whose numbers are
+    just null texts.
+    """
+    columns = [f for f in lines.schema.fields if f.name != BROKEN_LINE]
+
+    def value(f: T.StructField) -> Column:
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.StringType):
+            return F.when(~c.isin(*null_tokens), c)
+        return F.nanvl(c, F.lit(None)) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c
+
+    # No row has fewer than 0 values: this drops nothing, but makes Spark read every number even
+    # if the query wants few columns. A fault in a column that is not read goes unnoticed.
+    read = lines.dropna(thresh=0, subset=[f.name for f in columns if _is_number(f)] or None)
+    faults = _faults(lines.schema, null_tokens)
+    broken = F.col(BROKEN_LINE).isNotNull()
+    good = read.where(~broken | (F.size(faults) == 0))
+    rejects = read.where(broken).withColumn(BAD_COLUMNS, faults).where(F.size(BAD_COLUMNS) > 0)
     return CsvScan(
-        marked.where(F.size(BAD_COLUMNS) == 0).select(*[cast[f.name].alias(f.name) for f in fields]),
-        marked.where(F.size(BAD_COLUMNS) > 0),
+        good.select(*[value(f).cast(f.dataType).alias(f.name) for f in columns]),
+        rejects.select(F.col(BROKEN_LINE).alias("line"), BAD_COLUMNS),
     )
 
 
@@ -65,9 +100,8 @@ def read_flights_csv(spark: SparkSession, path: str | Sequence[str],
 
     Lines stay splittable: a field may not hold a line break.
     """
-    names = header_names(spark, path)
-    lines = spark.read.options(**_DIALECT, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN_LINE)
-    return typed(lines.schema(text_schema(names)).csv(path), schema, null_tokens)
+    columns = line_schema(header_names(spark, path), schema)
+    return typed(spark.read.options(**READ_OPTIONS).schema(columns).csv(path), null_tokens)
 
 
 def read_sample_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -78,4 +112,4 @@ def read_sample_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Headered CSV, one file per task."""
-    df.write.mode(mode).options(**_DIALECT).csv(path)
+    df.write.mode(mode).options(**DIALECT).csv(path)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from airstats.schema import FLIGHT_SCHEMA
-from airstats.sources.csv import _DIALECT, BROKEN_LINE, header_names, text_schema, typed
+from airstats.sources.csv import READ_OPTIONS, header_names, line_schema, typed
 from airstats.sources.parquet import prepared, write_partitioned
 
 STREAM_PARTITIONS = ("year", "month", "load")
@@ -14,10 +13,10 @@ FILES_PER_LOAD = 1000
 
 
 def flight_lines(spark: SparkSession, src: str, files_per_load: int = FILES_PER_LOAD) -> DataFrame:
-    """A stream of the lines of CSV files in a folder, all columns as text."""
+    """A stream of the lines of CSV files in a folder, broken lines marked."""
     return (
-        spark.readStream.schema(text_schema(header_names(spark, src)))
-        .options(**_DIALECT, columnNameOfCorruptRecord=BROKEN_LINE, maxFilesPerTrigger=files_per_load)
+        spark.readStream.schema(line_schema(header_names(spark, src)))
+        .options(**READ_OPTIONS, maxFilesPerTrigger=files_per_load)
         .csv(src)
     )
 
@@ -31,7 +30,7 @@ def stream_ingest(spark: SparkSession, src: str, dst: str, checkpoint: str,
     over any number of loads.
     """
     def load(batch: DataFrame, batch_id: int) -> None:
-        rows = prepared(typed(batch, FLIGHT_SCHEMA).good).withColumn("load", F.lit(batch_id))
+        rows = prepared(typed(batch).good).withColumn("load", F.lit(batch_id))
         write_partitioned(rows, dst, STREAM_PARTITIONS, mode="replace")
 
     return (
