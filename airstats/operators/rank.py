@@ -31,7 +31,7 @@ def top_values(df: DataFrame, cols: Sequence[str], k: int,
 def as_list(top: DataFrame) -> Column:
     """The values of a top-k table as one array for use in expressions over other tables.
 
-    ``top`` ends in a constant limit, so the array holds k values at most.
+    ``top`` is cut to a constant number of rows, which bounds the array.
     """
     return top.agg(F.collect_list("value")).scalar()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airstats.functions import delay_group, quota_of
 from airstats.operators import compare, filters, rank, strata
@@ -20,10 +20,29 @@ class Sampled(NamedTuple):
 
 
 def frequent(df: DataFrame) -> tuple[Column, Column]:
-    """The most frequent carriers and airports of the surveyed months, as arrays for expressions."""
-    carriers = rank.top_values(df, ["op_carrier"], rank.TOP_CARRIERS, rank.SURVEYED_MONTHS)
-    airports = rank.top_values(df, ["origin", "dest"], rank.TOP_AIRPORTS, rank.SURVEYED_MONTHS)
-    return rank.as_list(carriers), rank.as_list(airports)
+    """The most frequent carriers and airports of the surveyed months, as arrays for expressions.
+
+    Both come from one scan and are kept as a written table of 30 rows, which every later pass
+    over the flights reads instead of counting again.
+    """
+    def entry(kind: str, col: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(col).alias("value"))
+
+    surveyed = df.where(F.col("month").isin(*rank.SURVEYED_MONTHS))
+    counts = (
+        surveyed.select(F.inline(F.array(
+            entry("carrier", "op_carrier"), entry("airport", "origin"), entry("airport", "dest"))))
+        .where("value IS NOT NULL").groupBy("kind", "value").agg(F.count("*").alias("n"))
+    )
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "value"))
+    top = stored(
+        counts.withColumn("place", place)
+        .where(F.col("place") <= max(rank.TOP_CARRIERS, rank.TOP_AIRPORTS))
+        .where((F.col("kind") == "airport") & (F.col("place") <= rank.TOP_AIRPORTS)
+               | (F.col("kind") == "carrier") & (F.col("place") <= rank.TOP_CARRIERS)),
+        "frequent",
+    )
+    return rank.as_list(top.where("kind = 'carrier'")), rank.as_list(top.where("kind = 'airport'"))
 
 
 def with_strata(df: DataFrame, time_format: str = "hhmm") -> DataFrame:

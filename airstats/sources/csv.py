@@ -80,9 +80,10 @@ def typed(lines: DataFrame, null_tokens: Sequence[str] = NULL_TOKENS) -> CsvScan
             return F.when(~c.isin(*null_tokens), c)
         return F.nanvl(c, F.lit(None)) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c
 
-    # No row has fewer than 0 values: this drops nothing, but makes Spark read every number even
-    # if the query wants few columns. A fault in a column that is not read goes unnoticed.
-    read = lines.dropna(thresh=0, subset=[f.name for f in columns if _is_number(f)] or None)
+    # No row has fewer than 0 values: this drops nothing, but makes Spark read every column even
+    # if the query wants few. A fault in a column that is not read would go unnoticed, and which
+    # rows are good would depend on the columns asked for.
+    read = lines.dropna(thresh=0)
     faults = _faults(lines.schema, null_tokens)
     broken = F.col(BROKEN_LINE).isNotNull()
     good = read.where(~broken | (F.size(faults) == 0))
