@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airstats.operators.evaluate import class_metrics, select_best
 from airstats.operators.features import (
-    CATEGORICAL_FEATURES, NUMERIC_FEATURES, TEST, TRAIN, build_features, standard_stats,
+    CATEGORICAL_FEATURES, NUMERIC_FEATURES, TEST, TRAIN, build_features, standard_stats, with_targets,
 )
+from airstats.operators.filters import clean_for_model
 from airstats.operators.split import CLASSES, stratified_split, with_balanced_weight
 from airstats.plans.scoring import score
-from airstats.storage import stored
+from airstats.storage import spread, stored
 
 # Settings and grids of the models; a grid's last parameter varies fastest.
 LOGISTIC_ITERATIONS = 2000
@@ -103,7 +104,7 @@ class Prepared:
         self.rows = rows
         self.test_rows = rows.where(F.col(split) == TEST)
         self.preprocessing = fit_preprocessing(train, on_null_number=on_null_number)
-        vectors = self.preprocessing.transform(rows).select(*keep, split, LABEL, TARGET, FEATURES)
+        vectors = self.preprocessing.transform(spread(rows)).select(*keep, split, LABEL, TARGET, FEATURES)
         vectors = stored(with_balanced_weight(vectors, LABEL, fit_on=train), "vectors")
         self.train = vectors.where(F.col(split) == TRAIN).drop(split)
         self.test = vectors.where(F.col(split) == TEST).drop(split)
@@ -120,12 +121,10 @@ def prepare(df: DataFrame, key: str | Sequence[str], fit_on: str = "train",
     ``fit_on="all"`` computes route means and frequent airports before the split, from test rows
     too; ``"train"`` does not let the test rows leak into the features.
     """
-    from airstats.operators.features import with_targets
-    from airstats.operators.filters import DELAY_COLUMNS, require
-
     keys = [key] if isinstance(key, str) else list(key)
-    known = with_targets(require(df, DELAY_COLUMNS))
-    split = stratified_split(known, LABEL, key).drop(LABEL, TARGET)
+    # The narrow cleaned rows are read four more times: written once, however they came about.
+    cleaned = stored(with_targets(clean_for_model(df, keep=keys)), "cleaned")
+    split = stratified_split(cleaned, LABEL, key)
     features = build_features(split, keys, fit_on=fit_on, split_col="split")
     return Prepared(features, keep=keys, on_null_number=on_null_number)
 
