@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airstats.binding import KEY, flights
 from airstats.catalog.registry import query
-from airstats.operators.filters import with_year_month
+from airstats.operators import features
+from airstats.operators.filters import require, with_year_month
 from airstats.plans.sampling import draw, with_strata
 from airstats.schema import FLIGHT_SCHEMA
 from airstats.sources import csv, parquet
@@ -136,6 +137,20 @@ def _(spark, sf):
     return csv.read_sample_csv(spark, path)
 
 
+@query("s13_read_encoding", """base AS (SELECT dest, arr_delay + dep_delay AS total_delay FROM flights
+    WHERE arr_delay IS NOT NULL AND dep_delay IS NOT NULL),
+  te AS (SELECT dest, avg(total_delay) AS te FROM base WHERE dest IS NOT NULL GROUP BY 1)
+  --- SELECT flight_id, round(coalesce(te, (SELECT avg(te) FROM te)), 6) AS te_dest
+  FROM flights LEFT JOIN te ON te.dest = flights.dest""")
+def _(spark, sf):
+    df = flights(spark, sf)
+    means = features.target_encoding(features.with_targets(require(df, ["arr_delay", "dep_delay"])), "dest", "total_delay")
+    path = scratch_path(spark, "te-dest")
+    csv.write_csv(means.select(F.col("dest").alias("DEST"), F.col("te_dest").alias("TE_DEST")), path)
+    encoded = features.apply_encoding(df, csv.read_encoding(spark, path, "dest"), "dest")
+    return encoded.select(KEY, F.round("te_dest", 6).alias("te_dest"))
+
+
 @query("s11_write_csv", """ends AS (SELECT origin AS code, o_latitude AS lat, o_longitude AS lon FROM flights
     UNION ALL SELECT dest, d_latitude, d_longitude FROM flights)
   --- SELECT code, cast(count(*) AS varchar) AS total_flights FROM ends

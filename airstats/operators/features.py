@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from airstats.functions import (
     code_text, datetime_hour, delay_level, is_weekend, season, time_of_day, to_number,
@@ -25,9 +25,16 @@ SERVING_FEATURES = (
 TRAIN, TEST = "train", "test"
 
 
+def _number(df: DataFrame, col: str) -> Column:
+    """A column as double, 0 where it has no number. Only text has to be read."""
+    if isinstance(df.select(col).schema[0].dataType, T.NumericType):
+        return F.coalesce(F.nanvl(F.col(col).cast("double"), F.lit(None)), F.lit(0.0))
+    return to_number(col)
+
+
 def with_targets(df: DataFrame) -> DataFrame:
     """TOTAL_DELAY and DELAY_LEVEL; an unreadable delay counts as 0."""
-    total = to_number("arr_delay") + to_number("dep_delay")
+    total = _number(df, "arr_delay") + _number(df, "dep_delay")
     return df.withColumn("total_delay", total).withColumn("delay_level", delay_level("total_delay"))
 
 

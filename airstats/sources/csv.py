@@ -14,7 +14,9 @@ BAD_COLUMNS = "_bad_columns"
 
 # Quotes inside a quoted field are doubled, in files read as in files written.
 DIALECT = {"header": True, "encoding": "UTF-8", "quote": '"', "escape": '"'}
-READ_OPTIONS = {**DIALECT, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN_LINE}
+# Every file's header line must name the columns the first one does, in that order.
+READ_OPTIONS = {
+    **DIALECT, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN_LINE, "enforceSchema": False}
 
 
 class CsvScan(NamedTuple):
@@ -111,6 +113,14 @@ def read_sample_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
     return read_flights_csv(spark, path, T.StructType([*FLIGHT_SCHEMA.fields, *extra])).good
 
 
+def read_encoding(spark: SparkSession, path: str, col: str) -> DataFrame:
+    """A target-encoding map kept as CSV: the category and its mean, in TE_<column>."""
+    name = col.upper()
+    schema = T.StructType([T.StructField(name, T.StringType()), T.StructField(f"TE_{name}", T.DoubleType())])
+    means = read_flights_csv(spark, path, schema).good
+    return means.select(F.col(name).alias(col), F.col(f"TE_{name}").alias(f"te_{col}")).dropna()
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Headered CSV, one file per task."""
     df.write.mode(mode).options(**DIALECT).csv(path)

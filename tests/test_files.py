@@ -122,3 +122,10 @@ def test_schema_has_34_columns():
     assert len(FLIGHT_SCHEMA) == 34
     assert [f.name for f in FLIGHT_SCHEMA if f.dataType == T.IntegerType()] == [
         "OP_CARRIER_FL_NUM", "FLIGHTS", "MONTH", "DAY_OF_MONTH", "DAY_OF_WEEK", "ORIGIN_INDEX", "DEST_INDEX"]
+
+
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    write(tmp_path / "raw", "a.csv", "2023-01-05,AA", header="FL_DATE,OP_CARRIER")
+    path = write(tmp_path / "raw", "b.csv", "AA,2023-01-05", header="OP_CARRIER,FL_DATE")
+    with pytest.raises(Exception, match="header"):
+        csv.read_flights_csv(spark, path).good.collect()
