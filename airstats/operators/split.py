@@ -50,7 +50,7 @@ def stratified_split(df: DataFrame, label: str, key: str | Sequence[str], test:
     ``exact=True`` gives every class its quota without shuffling the rows, however unequal the
     classes are: counters per class and leading hash bits show in which bin of hashes a class
     fills up, the few keys in that bin are ranked to find the last one in, and the rows are then
-    compared with that one.
+    compared with that one. Should a key have copies, all of them go where the first one goes.
     """
     text = key_text(key)
     if not exact:
@@ -70,10 +70,15 @@ def stratified_split(df: DataFrame, label: str, key: str | Sequence[str], test:
                 (F.col("quota") - (F.col("_upto") - F.col("_n"))).alias("_left")),
         "split-edges",
     )
-    at_edge = drawn.select(label, "_hash", "_key", "_bin").join(edges, label).where("_bin = _edge")
-    place = F.row_number().over(Window.partitionBy(label).orderBy("_hash", "_key"))
+    # Copies of a key are added up before they meet; they stay on one side of the split.
+    at_edge = (
+        drawn.select(label, "_hash", "_key", "_bin").join(edges, label).where("_bin = _edge")
+        .groupBy(label, "_hash", "_key").agg(F.count("*").alias("_n"), F.max("_left").alias("_left"))
+    )
+    reached = F.sum("_n").over(Window.partitionBy(label).orderBy("_hash", "_key"))
     last_in = stored(
-        at_edge.withColumn("_place", place).where("_place = _left")
+        at_edge.withColumn("_reached", reached)
+        .where((F.col("_reached") >= F.col("_left")) & (F.col("_reached") - F.col("_n") < F.col("_left")))
         .select(label, F.col("_hash").alias("_last_hash"), F.col("_key").alias("_last_key")),
         "split-last",
     )

@@ -43,7 +43,8 @@ def with_priority(df: DataFrame, top_carriers: Column, top_airports: Column,
 
 
 def stratified_sample(df: DataFrame, by: Sequence[str], quota: Column, weight: Column | str,
-                      key: str | Sequence[str], seed: int | Column = SAMPLE_SEED) -> DataFrame:
+                      key: str | Sequence[str], seed: int | Column = SAMPLE_SEED,
+                      max_quota: int | None = None) -> DataFrame:
     """Draw up to ``quota`` rows per stratum without replacement, chances following ``weight``.
 
     Exponential race: every row gets -ln(u) / weight with u hashed from ``key``, and the smallest
@@ -58,7 +59,9 @@ def stratified_sample(df: DataFrame, by: Sequence[str], quota: Column, weight: C
     A first pass counts the race times of each stratum on a logarithmic scale (a few hundred
     counters a stratum, added up before the shuffle) and finds how far the scale must be read to
     fill the quota. A second pass drops all rows beyond that, and only the remaining few, the
-    quota plus at most about a tenth, are shuffled and ranked.
+    quota plus at most about a tenth, are shuffled and ranked. ``max_quota``, if known, also lets
+    every task cut its own part to that many rows; that matters when a key has many copies, which
+    all have the same race time.
     """
     by = list(by)
     in_stratum = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by])
@@ -86,13 +89,15 @@ def stratified_sample(df: DataFrame, by: Sequence[str], quota: Column, weight: C
     )
 
     place = F.row_number().over(Window.partitionBy(*by).orderBy("_race", "_hit", *_key_columns(key)))
-    return (
+    ranked = (
         runners.join(last_bins, by)
         .where(F.col("_last_bin").isNull() | (F.col("_bin") <= F.col("_last_bin")))
         .withColumn("_place", place)
         .where(F.col("_place") <= F.col("_quota"))
-        .select(*df.columns)
     )
+    if max_quota is not None:
+        ranked = ranked.where(F.col("_place") <= max_quota)
+    return ranked.select(*df.columns)
 
 
 def _key_columns(key: str | Sequence[str]) -> list[str]:

@@ -15,6 +15,7 @@ from pyspark.ml.feature import (
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from airstats.functions import key_text
 from airstats.operators.evaluate import class_metrics, select_best
 from airstats.operators.features import (
     CATEGORICAL_FEATURES, NUMERIC_FEATURES, TEST, TRAIN, build_features, standard_stats, with_targets,
@@ -33,6 +34,7 @@ BOOSTED_GRID = {"learning_rate": (0.05, 0.1), "max_depth": (3, 6, 9), "n_estimat
 MODEL_SEED = 42
 IMPORTANCES = 10
 
+JOINT_KEY = "flight_key"
 LABEL, TARGET, FEATURES, WEIGHT = "delay_level", "total_delay", "features", "weight"
 
 
@@ -115,18 +117,20 @@ class Prepared:
 
 
 def prepare(df: DataFrame, key: str | Sequence[str], fit_on: str = "train",
-            on_null_number: str = "skip") -> Prepared:
-    """Clean flights to split, encoded rows.
+            on_null_number: str = "skip", on_null_delay: str = "drop") -> Prepared:
+    """Clean flights to split, encoded rows. A key of several columns becomes one, ``flight_key``.
 
     ``fit_on="all"`` computes route means and frequent airports before the split, from test rows
-    too; ``"train"`` does not let the test rows leak into the features.
+    too; ``"train"`` does not let the test rows leak into the features. ``on_null_delay="zero"``
+    counts an unknown delay as none instead of leaving the row out.
     """
-    keys = [key] if isinstance(key, str) else list(key)
+    if not isinstance(key, str):
+        df, key = df.withColumn(JOINT_KEY, key_text(key)), JOINT_KEY
     # The narrow cleaned rows are read four more times: written once, however they came about.
-    cleaned = stored(with_targets(clean_for_model(df, keep=keys)), "cleaned")
+    cleaned = stored(with_targets(clean_for_model(df, on_null_delay, [key])), "cleaned")
     split = stratified_split(cleaned, LABEL, key)
-    features = build_features(split, keys, fit_on=fit_on, split_col="split")
-    return Prepared(features, keep=keys, on_null_number=on_null_number)
+    features = build_features(split, [key], fit_on=fit_on, split_col="split")
+    return Prepared(features, keep=[key], on_null_number=on_null_number)
 
 
 # Models.

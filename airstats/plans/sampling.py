@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from airstats.functions import delay_group, quota_of
+from airstats.functions import STRATA, delay_group, quota_of
 from airstats.operators import compare, filters, rank, strata
 from airstats.storage import stored
 
@@ -56,7 +56,7 @@ def draw(scored: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """The stratified sample of flights that carry a priority score and a delay group."""
     return strata.stratified_sample(
         scored, ["month", "delay_group"], quota_of("delay_group"), "priority_score", key,
-        F.lit(strata.SAMPLE_SEED) + F.col("month"))
+        F.lit(strata.SAMPLE_SEED) + F.col("month"), max(s.quota for s in STRATA))
 
 
 def sample_flights(df: DataFrame, key: str | Sequence[str], time_format: str = "hhmm") -> Sampled:

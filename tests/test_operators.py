@@ -141,3 +141,14 @@ def test_regression_report_of_constant_target(spark):
 def test_select_best_takes_the_first_of_equals_and_skips_failures(spark):
     df = spark.createDataFrame([(0, None), (1, 0.4), (2, 0.6), (3, 0.6)], "config int, recall_3 double")
     assert evaluate.select_best(df).head().config == 2
+
+
+def test_split_keeps_copies_of_a_key_together(spark):
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("id"), F.lit(0).alias("y"))
+    got = split.stratified_split(df, "y", "id")
+    assert got.count() == 3000
+    assert got.groupBy("id").agg(F.countDistinct("split").alias("n")).agg(F.max("n")).head()[0] == 1
+    copies = got.where("id = -1").select("split").distinct().head().split
+    tests = got.where("split = 'test'").count()
+    assert tests == 600 if copies == "train" else 600 <= tests <= 1600

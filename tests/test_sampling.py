@@ -74,3 +74,13 @@ def test_whole_run(spark, flights):
         sums = {r.type: r.s for r in chart.groupBy("type").agg(F.sum("share").alias("s")).collect()}
         assert sums == {"Population": pytest.approx(1.0), "Sample": pytest.approx(1.0)}
     assert tables.peak.head().diff < 0.2
+
+
+def test_a_key_with_many_copies(spark):
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("id"),
+        (F.col("id") % 2).alias("g"), F.lit(1.0).alias("w"))
+    got = stratified_sample(df, ["g"], F.lit(50), "w", "id", 5, max_quota=50)
+    assert got.count() == 100
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert text.count("WindowGroupLimit") == 2
