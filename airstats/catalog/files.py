@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airstats.binding import KEY, flights
 from airstats.catalog.registry import query
+from airstats.catalog.relational import _SAMPLE
 from airstats.operators import features
 from airstats.operators.filters import require, with_year_month
 from airstats.plans.sampling import draw, with_strata
@@ -129,12 +130,16 @@ def _(spark, sf):
     return parquet.type_profile(spark, _drifting(spark, sf), ["op_carrier", "month"]).select("column", "type")
 
 
-@query("s10_read_sample_csv")
+@query("s10_read_sample_csv", _SAMPLE + """--- SELECT fl_date, op_carrier, origin, dest,
+  cast(arr_delay AS float) AS arr_delay, cast(o_prcp AS float) AS o_prcp, month, delay_group,
+  month AS sampling_month FROM sample""")
 def _(spark, sf):
     drawn = draw(with_strata(flights(spark, sf)), KEY).withColumn("sampling_month", F.col("month")).drop("priority_score", KEY)
     path = scratch_path(spark, "sample")
     csv.write_csv(drawn.select(*[F.col(c).alias(c.upper()) for c in drawn.columns]), path)
-    return csv.read_sample_csv(spark, path)
+    columns = ("fl_date", "op_carrier", "origin", "dest", "arr_delay", "o_prcp", "month", "delay_group",
+               "sampling_month")
+    return csv.read_sample_csv(spark, path).select(*[F.col(c).alias(c) for c in columns])
 
 
 @query("s13_read_encoding", """base AS (SELECT dest, arr_delay + dep_delay AS total_delay FROM flights

@@ -12,7 +12,7 @@ from airstats.binding import KEY, flights
 from airstats.catalog.registry import query
 from airstats.catalog.relational import _FEATURES_BASE, _FEATURES_SQL, _with_total
 from airstats.operators.evaluate import class_report, regression_report
-from airstats.operators.features import CATEGORICAL_FEATURES, build_features
+from airstats.operators.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES, build_features
 from airstats.plans import models, scoring, service
 from airstats.storage import scratch_path
 from airstats.streaming.scoring import score_stream, write_scores
@@ -41,10 +41,23 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         "feature", F.col("n").cast("bigint").alias("n"))
 
 
-@query("f11_feature_vector")
+def _scaled(c: str) -> str:
+    return f"""round(({c} - (SELECT avg({c}) FROM features)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1
+      ELSE stddev_pop({c}) END FROM features), 5) AS {c}"""
+
+
+@query("f11_feature_vector", _FEATURES_SQL + "--- SELECT flight_id, "
+       + ", ".join(_scaled(c) for c in NUMERIC_FEATURES)
+       + f", cast({len(CATEGORICAL_FEATURES)} AS int) AS ones FROM features")
 def _(spark, sf):
-    p = prepared(spark, sf)
-    return p.train.select(KEY, vector_to_array(models.FEATURES).alias("features"))
+    rows = build_features(flights(spark, sf), [KEY], fit_on="all")
+    vectors = models.fit_preprocessing(rows, on_null_number="skip").transform(rows).select(
+        KEY, vector_to_array(models.FEATURES).alias("v"))
+    n = len(NUMERIC_FEATURES)
+    hot = F.filter(F.slice("v", n + 1, F.size("v") - n), lambda x: x == 1.0)
+    return vectors.select(
+        KEY, *[F.round(F.col("v")[i], 5).alias(c) for i, c in enumerate(NUMERIC_FEATURES)],
+        F.size(hot).alias("ones"))
 
 
 @query("m2_fit_linear")

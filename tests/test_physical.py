@@ -56,3 +56,12 @@ def test_months_are_pushed_down(spark, flights):
 
     text = plan(scan_months(flights, (1, 7), ["op_carrier"]))
     assert "PushedFilters: [In(month, [1,7])]" in text and "ReadSchema: struct<op_carrier:string,month:int>" in text
+
+
+def test_profile_scans_and_counts_once(spark, flights):
+    from airstats.operators.profile import value_profile
+
+    df = value_profile(flights, ["origin", "fl_date"])
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
