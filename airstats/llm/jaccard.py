@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from airstats.llm import text as T
 from airstats.llm.components import components
-from airstats.storage import stored
+from airstats.llm.phases import finished
 
 #: Sets of a bucket that are searched in one task's group; more are divided.
 BUCKET = 400
 #: Tokens that so many sets of a task have are proposed as frequent; at most FREQUENT are listed.
-OFTEN, FREQUENT = 8, 1 << 20
+OFTEN, FREQUENT = 2, 1 << 20
 #: Of the paper: how strongly the length of lists moves the border between short and long ones.
 MU = 0.0085
 
@@ -281,13 +281,13 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
                     [part.column("key"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(set_classes(gram, bounds))],
                     names=["key", "n_shingles", "class"])
 
-    classes = stored(rows.mapInArrow(described, f"key {kind}, n_shingles long, class long"), "classes")
-    pairs = stored(_meetings(texts, shingle, _frequent(texts, shingle)), "meetings")
+    classes = finished(rows.mapInArrow(described, f"key {kind}, n_shingles long, class long"), "classes")
+    pairs = finished(_meetings(texts, shingle, _frequent(texts, shingle)), "meetings")
 
     # one text for each class that meets another
     met = pairs.select(F.col("member").alias("class")).union(pairs.select("center")).distinct()
     chosen = classes.join(met, "class").groupBy("class").agg(F.min("key").alias("key"))
-    sources = stored(rows.join(chosen, "key").dropDuplicates(["class"]).select("class", "text"), "sources")
+    sources = finished(rows.join(chosen, "key").dropDuplicates(["class"]).select("class", "text"), "sources")
 
     sizes = pairs.groupBy("center").agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"))
     whole = pairs.join(sizes, "center")
@@ -295,7 +295,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
                .union(sizes.select("center", F.col("center").alias("member"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))))
     first = (members.join(sources, F.col("member") == F.col("class"))
              .select("center", "salt", "member", F.col("member").alias("label"), F.lit(True).alias("query"), "text"))
-    links = stored(_searched(first, shingle), "found")
+    links = finished(_searched(first, shingle), "found")
     labels = components(links)
 
     # divided buckets: what is not in the bucket's largest component is searched against all of it
@@ -303,7 +303,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
         sizes.where("parts > 1").select("center", F.col("center").alias("member"), "parts"))
     large = (large.join(labels, F.col("member") == F.col("node"), "left")
              .select("center", "member", "parts", F.coalesce("label", "member").alias("label")))
-    large = stored(large, "large")
+    large = finished(large, "large")
     counted = large.groupBy("center", "label").agg(F.count("*").alias("n"))
     main = counted.groupBy("center").agg(F.max(F.struct("n", "label"))["label"].alias("main"),
                                          F.count("*").alias("labels"), F.sum("n").alias("all"), F.max("n").alias("most"))
@@ -319,7 +319,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
              .withColumn("salt", F.col("part") * F.col("blocks") + F.col("block"))
              .join(sources, F.col("member") == F.col("class"))
              .select("center", "salt", "member", "label", "query", "text"))
-    more = stored(_searched(again, shingle), "found")
+    more = finished(_searched(again, shingle), "found")
     if not more.isEmpty():
         labels = components(links.union(more))
 
