@@ -2,8 +2,8 @@
 
 Texts with the same shingles form a class, and only classes are compared. A class meets others in
 buckets: two sets that overlap enough share one of their first tokens in any fixed order (tokens
-that many sets have come last), and all sets with such a token go to the bucket of the least of
-them. In a bucket, inverted lists answer T-occurrence searches after DivideSkip: the short lists of
+that many sets have come last), and all sets of like size with such a token go to the bucket of the
+least of them. In a bucket, inverted lists answer T-occurrence searches after DivideSkip: the short lists of
 a query's tokens are merged with a heap, the candidates' tokens in the long ones are looked up by
 binary search, and sets that reach the overlap T are linked. Sets already connected with the query
 are left out of its lists, so a bucket of many near copies costs little and gives few links.
@@ -152,16 +152,24 @@ def _meetings(texts: DataFrame, size: int, frequent: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for gram, bounds, classes in _new_sets(batches, size):
             token, text = _prefixes(gram, bounds, shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(classes[text])], names=["token", "member"])
-
-    rows = texts.mapInArrow(run, "token long, member long")
-    of_token = Window.partitionBy("token")
-    rare = (rows.where("token >= 0").withColumn("center", F.min("member").over(of_token))
-            .where("center <> member").select("center", "member"))
+            level = np.floor(np.log(np.maximum(np.diff(bounds), 1)) / np.log(1.2501)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token.view(np.int64)), pa.array(classes[text]), pa.array(level[text])],
+                names=["token", "member", "level"])
+
+    rows = texts.mapInArrow(run, "token long, member long, level int")
+    of_token, of_level = Window.partitionBy("token"), Window.partitionBy("token", "level")
+    # similar sets are at most one level of size apart, so each also meets those of the next level
+    levels = F.explode(F.array("level", F.col("level") + 1)).alias("level")
+    rare = (rows.where("token >= 0")
+            .withColumns({"low": F.min("member").over(of_token), "high": F.max("member").over(of_token)})
+            .where("low <> high").select("token", "member", levels)
+            .withColumn("center", F.min("member").over(of_level)).where("center <> member").select("center", "member"))
     # frequent tokens have the sign bit; their groups may be hot, so rows are joined, not gathered
-    often = rows.where("token < 0")
-    least = often.groupBy("token").agg(F.min("member").alias("center"), F.max("member").alias("last")).where("center <> last")
-    hot = often.join(least, "token").where("center <> member").select("center", "member")
+    often = finished(rows.where("token < 0").select("token", "member", levels), "frequent")
+    least = (often.groupBy("token", "level").agg(F.min("member").alias("center"), F.max("member").alias("last"))
+             .where("center <> last").drop("last"))
+    hot = often.join(least, ["token", "level"]).where("center <> member").select("center", "member")
     return rare.union(hot).distinct()
 
 
@@ -287,7 +295,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     # one text for each class that meets another
     met = pairs.select(F.col("member").alias("class")).union(pairs.select("center")).distinct()
     chosen = classes.join(met, "class").groupBy("class").agg(F.min("key").alias("key"))
-    sources = finished(rows.join(chosen, "key").dropDuplicates(["class"]).select("class", "text"), "sources")
+    sources = finished(rows.join(chosen, "key").select("class", "text"), "sources")
 
     sizes = pairs.groupBy("center").agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"))
     whole = pairs.join(sizes, "center")
