@@ -56,9 +56,10 @@ def anchors(block: T.Block, ranges: T.Ranges, length: int, gram: int) -> tuple[n
     return text[new], place[new], starts[new], starts[last]
 
 
-def _anchor_rows(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of anchors: text, number, place, first and last start, gram's hash, end and hash of the
-    text up to the next anchor's gram (null at the last anchor)."""
+def _anchor_rows(length: int, gram: int, step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of anchors: text, number, place, first and last start, gram's hash, and the first anchor at
+    least ``step`` bytes on, with the end of its gram and the hash of the text up to there (null
+    where there is none)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -73,17 +74,20 @@ def _anchor_rows(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]],
                     continue
                 base = block.offsets[text]
                 first = np.searchsorted(text, text)
-                has_next = np.zeros(len(text), bool)
-                has_next[:-1] = text[1:] == text[:-1]
-                end = place + gram
-                end[:-1][has_next[:-1]] = place[1:][has_next[:-1]] + gram
+                # places grow within a text and from text to text
+                then = np.searchsorted(place, place + step)
+                has_next = then < len(text)
+                then[~has_next] = 0
+                has_next &= text[then] == text
+                end = np.where(has_next, place[then], place) + gram
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc").take(pa.array(text)), pa.array((np.arange(len(text)) - first).astype(np.int32)),
                      pa.array((place - base).astype(np.int32)), pa.array((low - base).astype(np.int32)),
                      pa.array((high - base).astype(np.int32)), pa.array(ranges(place, place + gram).view(np.int64)),
+                     pa.array((then - first).astype(np.int32), mask=~has_next),
                      pa.array((end - base).astype(np.int32), mask=~has_next),
                      pa.array(ranges(place, end).view(np.int64), mask=~has_next)],
-                    names=["doc", "i", "place", "low", "high", "gram", "stop", "rank"])
+                    names=["doc", "i", "place", "low", "high", "gram", "then", "stop", "rank"])
 
     return run
 
@@ -97,20 +101,22 @@ def repeated(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
 
 def _doubled(anchored: DataFrame, length: int, past: int) -> DataFrame:
     """Intervals of starts (``doc``, ``low``, ``high``) whose passages the doubling finds repeated."""
+    columns = ["doc", "i", "id", "place", "then", "stop"]
     state = finished(repeated(anchored.where("rank is not null"), ["rank"], "id")
-                     .select("doc", "i", "id", "place", "stop", F.col("least").alias("rank"), F.lit(0).alias("level")), "ranks")
+                     .select(*columns, F.col("least").alias("rank"), F.lit(0).alias("level")), "ranks")
     level, found = 0, [state]
     while True:
         short = state.where((F.col("stop") - F.col("place") < past) & (F.col("level") == level))
         if short.isEmpty():
             break
-        after = state.select("doc", (F.col("i") - 2 ** level).alias("i"), F.col("stop").alias("stop_2"),
+        # a text that is past the length keeps its rank; the level tells such ranks from newer ones
+        after = state.select("doc", F.col("i").alias("then"), F.col("then").alias("then_2"), F.col("stop").alias("stop_2"),
                              F.col("rank").alias("rank_2"), F.col("level").alias("level_2"))
-        pairs = finished(short.join(after, ["doc", "i"]), "pairs")
+        pairs = finished(short.join(after, ["doc", "then"]), "pairs")
         level += 1
-        more = finished(repeated(pairs, ["rank", "rank_2", "level_2"], "id")
-                        .select("doc", "i", "id", "place", F.col("stop_2").alias("stop"), F.col("least").alias("rank"),
-                                F.lit(level).alias("level")), "ranks")
+        more = finished(repeated(pairs, ["rank", "rank_2", "level_2"], "id").select(
+            "doc", "i", "id", "place", F.col("then_2").alias("then"), F.col("stop_2").alias("stop"),
+            F.col("least").alias("rank"), F.lit(level).alias("level")), "ranks")
         found.append(more)
         state = more.unionByName(state.where(F.col("stop") - F.col("place") >= past))
     whole = found[0]
@@ -131,8 +137,9 @@ def _mask(size: int, ranges: list[dict] | None) -> np.ndarray:
 
 
 def _cell_rows(length: int, cell: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each cell of starts of repeated anchors: the hash of the bytes all its strings have, and
-    whether some of its starts are open. Cells are counted back from their anchor."""
+    """For each cell of starts of repeated anchors: the hash of the bytes all its strings have, that of
+    the bytes any of them has (null where the text ends before), and whether some of its starts are
+    open. Cells are counted back from their anchor, so equal passages have equal cells."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, out = batch.column("doc"), []
@@ -151,12 +158,17 @@ def _cell_rows(length: int, cell: int) -> Callable[[Iterator[pa.RecordBatch]], I
                 a, b = np.maximum(begin - cell + 1, low[owner]), np.minimum(begin, high[owner])
                 is_open = open_before[b + 1] - open_before[a] > 0
                 key = T.mixed(ranges(begin, stop) ^ number.astype(np.uint64))
-                out.append((np.full(len(owner), row), a, b, is_open, key))
+                inside = (begin - cell + 1 >= 0) & (begin + length <= len(data))
+                wide = np.zeros(len(owner), np.uint64)
+                wide[inside] = ranges(begin[inside] - cell + 1, begin[inside] + length)
+                out.append((np.full(len(owner), row), a, b, is_open, key, wide, ~inside, begin))
             if out:
-                row, a, b, is_open, key = (np.concatenate(c) for c in zip(*out))
+                row, a, b, is_open, key, wide, beyond, begin = (np.concatenate(c) for c in zip(*out))
                 yield pa.RecordBatch.from_arrays(
                     [docs.take(pa.array(row)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(is_open),
-                     pa.array(key.view(np.int64))], names=["doc", "low", "high", "open", "key"])
+                     pa.array(key.view(np.int64)), pa.array(wide.view(np.int64), mask=beyond),
+                     pa.array(begin.astype(np.int32))],
+                    names=["doc", "low", "high", "open", "key", "wide", "begin"])
 
     return run
 
@@ -187,24 +199,33 @@ def repeated_starts(texts: DataFrame, copies: DataFrame, length: int, gram: int,
         of = found.join(copies.select("doc", "first"), "doc", "left")
         return texts.join(of, "doc").where("first is null or key = first").drop("first", "key")
 
+    past = 2 * length - gram + 1  # so much repeated text leaves no start open up to the next anchor
     rows = finished(texts.select("doc", "text").mapInArrow(
-        _anchor_rows(length, gram), "doc binary, i int, place int, low int, high int, gram long, stop int, rank long")
+        _anchor_rows(length, gram, -(-(past - gram) // 4)),
+        "doc binary, i int, place int, low int, high int, gram long, then int, stop int, rank long")
         .withColumn("id", F.xxhash64("doc", "place")), "anchors")
     anchored = finished(repeated(rows, ["gram"], "id").drop("least", "gram").dropDuplicates(["doc", "i"]), "repeated")
-    known = finished(_doubled(anchored, length, 2 * length - gram + 1), "doubled")
+    known = finished(_doubled(anchored, length, past), "doubled")
 
     marks = anchored.groupBy("doc").agg(F.collect_list(F.struct("place", "low", "high")).alias("marks"))
     spans = known.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("known"))
     cells = finished(once(marks.join(spans, "doc", "left")).mapInArrow(
-        _cell_rows(length, cell), "doc binary, low int, high int, open boolean, key long"), "cells")
-    whole = cells.withColumn("id", F.xxhash64("doc", "low"))
-    alike = whole.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("greatest"), F.max("open").alias("any_open"))
-    close = whole.join(alike.where("least <> greatest and any_open"), "key")
+        _cell_rows(length, cell), "doc binary, low int, high int, open boolean, key long, wide long, begin int")
+        .withColumn("id", F.xxhash64("doc", "begin")), "cells")
+    # neighbouring anchors may share a cell's place, each with its own starts; the place is the id
+    # a cell is closed if all that its strings cover is repeated; open ones meet all that are alike
+    wide = (cells.where("wide is not null").groupBy("wide")
+            .agg(F.min("id").alias("least"), F.max("id").alias("greatest"), F.max("open").alias("any_open"))
+            .where("least <> greatest and any_open").select("wide", F.lit(True).alias("closed")))
+    cells = finished(cells.join(wide, "wide", "left").select("doc", "low", "high", "key", "id", "closed", (
+        F.col("open") & F.col("closed").isNull()).alias("open")), "cells")
+    alike = cells.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("greatest"), F.max("open").alias("any_open"))
+    close = cells.join(alike.where("least <> greatest and any_open").select("key"), "key")
     ranges = finished(close.groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("cells")), "close")
     starts = finished(once(ranges).mapInArrow(_start_rows(length), "doc binary, start int, key long")
                       .withColumn("id", F.xxhash64("doc", "start")), "starts")
     exact = repeated(starts, ["key"], "id").select("doc", F.col("start").alias("low"), F.col("start").alias("high"))
-    return known.select("doc", "low", "high").union(exact)
+    return known.select("doc", "low", "high").union(cells.where("closed").select("doc", "low", "high")).union(exact)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400,
