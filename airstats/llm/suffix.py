@@ -8,9 +8,10 @@ Spark sorts the anchors by their rank, which stands for the text from an anchor
 In each round an anchor's rank and that of the anchor 1, 2, 4, ... places on are paired, pairs
 that occur once leave, and equal pairs get a rank of their own, until a text is unique or past the
 length. What is then left open are the ends of passages: starts whose anchor is repeated but whose
-passage is not known to be. They are told by the hash of what cells of neighbouring starts have in
-common, and where that repeats, start by start. So the result is exact to the byte, but for
-collisions of 64-bit hashes.
+passage is not known to be. They are looked at in ever smaller cells of neighbouring starts: a cell
+is closed if all bytes that its strings cover are repeated together, given up if what they have in
+common is not, and else divided, down to single starts. So the result is exact to the byte, but
+for collisions of 64-bit hashes.
 
 Texts are UTF-8 bytes, null counts as empty; shorter ones than ``length`` lose nothing. Equal texts
 are taken for one, whose repetition is known; each row has its own result row. No rank, gram or
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from airstats.llm import text as T
-from airstats.llm.phases import finished
+from airstats.llm.phases import finished, release
 
 
 def anchors(block: T.Block, ranges: T.Ranges, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -119,12 +120,15 @@ def _doubled(anchored: DataFrame, length: int, past: int) -> DataFrame:
             F.col("least").alias("rank"), F.lit(level).alias("level")), "ranks")
         found.append(more)
         state = more.unionByName(state.where(F.col("stop") - F.col("place") >= past))
+        release(pairs)
     whole = found[0]
     for part in found[1:]:
         whole = whole.unionByName(part)
-    return (whole.where(F.col("stop") - F.col("place") >= length)
-            .groupBy("doc", "place").agg(F.max("stop").alias("stop"))
-            .select("doc", F.col("place").alias("low"), (F.col("stop") - length).alias("high")))
+    known = finished(whole.where(F.col("stop") - F.col("place") >= length)
+                     .groupBy("doc", "place").agg(F.max("stop").alias("stop"))
+                     .select("doc", F.col("place").alias("low"), (F.col("stop") - length).alias("high")), "doubled")
+    release(*found)
+    return known
 
 
 def _mask(size: int, ranges: list[dict] | None) -> np.ndarray:
@@ -148,7 +152,7 @@ def _cell_rows(length: int, cell: int) -> Callable[[Iterator[pa.RecordBatch]], I
                 ranges, resolved = T.Ranges(data), _mask(len(data) + 1, known.as_py())
                 open_before = np.concatenate([[0], np.cumsum(~resolved)])
                 marks = marks.as_py()
-                place, low, high = (np.array([m[f] for m in marks], np.int64) for f in ("place", "low", "high"))
+                place, low, high, was_open = (np.array([m[f] for m in marks], np.int64) for f in ("place", "low", "high", "open"))
                 first, last = (place - high) // cell, (place - low) // cell
                 many = last - first + 1
                 owner = np.repeat(np.arange(len(marks)), many)
@@ -156,34 +160,19 @@ def _cell_rows(length: int, cell: int) -> Callable[[Iterator[pa.RecordBatch]], I
                 begin = place[owner] - number * cell  # the cell's starts are begin - cell + 1 .. begin
                 stop = begin - cell + 1 + length
                 a, b = np.maximum(begin - cell + 1, low[owner]), np.minimum(begin, high[owner])
-                is_open = open_before[b + 1] - open_before[a] > 0
+                is_open = (open_before[b + 1] - open_before[a] > 0) & (was_open[owner] > 0)
                 key = T.mixed(ranges(begin, stop) ^ number.astype(np.uint64))
                 inside = (begin - cell + 1 >= 0) & (begin + length <= len(data))
                 wide = np.zeros(len(owner), np.uint64)
                 wide[inside] = ranges(begin[inside] - cell + 1, begin[inside] + length)
-                out.append((np.full(len(owner), row), a, b, is_open, key, wide, ~inside, begin))
+                out.append((np.full(len(owner), row), place[owner], a, b, is_open, key, wide, ~inside, begin))
             if out:
-                row, a, b, is_open, key, wide, beyond, begin = (np.concatenate(c) for c in zip(*out))
+                row, place, a, b, is_open, key, wide, beyond, begin = (np.concatenate(c) for c in zip(*out))
                 yield pa.RecordBatch.from_arrays(
-                    [docs.take(pa.array(row)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(is_open),
+                    [docs.take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(is_open),
                      pa.array(key.view(np.int64)), pa.array(wide.view(np.int64), mask=beyond),
                      pa.array(begin.astype(np.int32))],
-                    names=["doc", "low", "high", "open", "key", "wide", "begin"])
-
-    return run
-
-
-def _start_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Hashes of the strings at every start of the given ranges."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, (data, cells) in enumerate(zip(batch.column("text"), batch.column("cells"))):
-                data = np.frombuffer((data.as_py() or "").encode(), np.uint8)
-                starts = np.flatnonzero(_mask(len(data) + 1, cells.as_py()))
-                key = T.Ranges(data)(starts, starts + length)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").take(pa.array(np.full(len(starts), row))), pa.array(starts.astype(np.int32)),
-                     pa.array(key.view(np.int64))], names=["doc", "start", "key"])
+                    names=["doc", "place", "low", "high", "open", "key", "wide", "begin"])
 
     return run
 
@@ -202,30 +191,39 @@ def repeated_starts(texts: DataFrame, copies: DataFrame, length: int, gram: int,
     past = 2 * length - gram + 1  # so much repeated text leaves no start open up to the next anchor
     rows = finished(texts.select("doc", "text").mapInArrow(
         _anchor_rows(length, gram, -(-(past - gram) // 4)),
-        "doc binary, i int, place int, low int, high int, gram long, then int, stop int, rank long")
-        .withColumn("id", F.xxhash64("doc", "place")), "anchors")
-    anchored = finished(repeated(rows, ["gram"], "id").drop("least", "gram").dropDuplicates(["doc", "i"]), "repeated")
-    known = finished(_doubled(anchored, length, past), "doubled")
+        "doc binary, i int, place int, low int, high int, gram long, then int, stop int, rank long"), "anchors")
+    anchored = finished(repeated(rows.withColumn("id", F.xxhash64("doc", "place")), ["gram"], "id")
+                        .drop("least", "gram").dropDuplicates(["doc", "i"]), "repeated")
+    release(rows)
+    known = _doubled(anchored, length, past)
 
-    marks = anchored.groupBy("doc").agg(F.collect_list(F.struct("place", "low", "high")).alias("marks"))
     spans = known.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("known"))
-    cells = finished(once(marks.join(spans, "doc", "left")).mapInArrow(
-        _cell_rows(length, cell), "doc binary, low int, high int, open boolean, key long, wide long, begin int")
-        .withColumn("id", F.xxhash64("doc", "begin")), "cells")
-    # neighbouring anchors may share a cell's place, each with its own starts; the place is the id
-    # a cell is closed if all that its strings cover is repeated; open ones meet all that are alike
-    wide = (cells.where("wide is not null").groupBy("wide")
-            .agg(F.min("id").alias("least"), F.max("id").alias("greatest"), F.max("open").alias("any_open"))
-            .where("least <> greatest and any_open").select("wide", F.lit(True).alias("closed")))
-    cells = finished(cells.join(wide, "wide", "left").select("doc", "low", "high", "key", "id", "closed", (
-        F.col("open") & F.col("closed").isNull()).alias("open")), "cells")
-    alike = cells.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("greatest"), F.max("open").alias("any_open"))
-    close = cells.join(alike.where("least <> greatest and any_open").select("key"), "key")
-    ranges = finished(close.groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("cells")), "close")
-    starts = finished(once(ranges).mapInArrow(_start_rows(length), "doc binary, start int, key long")
-                      .withColumn("id", F.xxhash64("doc", "start")), "starts")
-    exact = repeated(starts, ["key"], "id").select("doc", F.col("start").alias("low"), F.col("start").alias("high"))
-    return known.select("doc", "low", "high").union(cells.where("closed").select("doc", "low", "high")).union(exact)
+    marks = anchored.select("doc", "place", "low", "high", F.lit(1).alias("open"))
+    found, last = known.select("doc", "low", "high"), anchored
+    while True:
+        of_doc = marks.groupBy("doc").agg(F.collect_list(F.struct("place", "low", "high", "open")).alias("marks"))
+        of_doc = of_doc.join(spans, "doc", "left") if spans is not None else of_doc.withColumn(
+            "known", F.lit(None).cast("array<struct<low:int,high:int>>"))
+        cells = finished(once(of_doc).select("doc", "text", "marks", "known").mapInArrow(
+            _cell_rows(length, cell),
+            "doc binary, place int, low int, high int, open boolean, key long, wide long, begin int"), "cells")
+        release(last)
+        # neighbouring anchors may share a cell's place, each with its own starts; the place is the id
+        named = cells.withColumn("id", F.xxhash64("doc", "begin"))
+        ends = [F.min("id").alias("least"), F.max("id").alias("greatest"), F.max("open").alias("any_open")]
+        wide = (named.where("wide is not null").groupBy("wide").agg(*ends)
+                .where("least <> greatest and any_open").select("wide", F.lit(True).alias("closed")))
+        last = finished(named.join(wide, "wide", "left").select(
+            "doc", "place", "low", "high", "key", "begin", "closed",
+            (F.col("open") & F.col("closed").isNull()).alias("open")), "judged")
+        release(cells)
+        found = found.union(finished(last.where("closed").select("doc", "low", "high"), "closed"))
+        if cell == 1:
+            return found
+        named = last.withColumn("id", F.xxhash64("doc", "begin"))
+        alike = named.groupBy("key").agg(*ends).where("least <> greatest and any_open").select("key")
+        marks = named.join(alike, "key").select("doc", "place", "low", "high", F.col("open").cast("int").alias("open"))
+        spans, cell = None, max(cell // 5, 1)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400,
