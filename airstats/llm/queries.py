@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from airstats.llm import chat, decontaminate, html, jaccard, katz, pieces, quality, suffix, toxicity
+from airstats.llm import chat, decontaminate, html, idfile, jaccard, katz, pieces, quality, suffix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -53,6 +53,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "base_failed", "kept")
 
 
+@query
+def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = idfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return idfile.checksums(files)
+
+
 @query
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.without_repeats(table(spark, sf_dir, "documents"))

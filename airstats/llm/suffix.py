@@ -228,8 +228,8 @@ def repeated_starts(texts: DataFrame, copies: DataFrame, length: int, gram: int,
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400,
                     gram: int | None = None, cell: int | None = None) -> DataFrame:
-    """``key``, kept (binary, what remains of the text's bytes), n_bytes, n_removed and n_spans (maximal
-    removed runs) for each row of ``docs``."""
+    """``key``, kept (binary, what remains of the text's bytes), kept_text (the same without parts of
+    signs), n_bytes, n_removed and n_spans (maximal removed runs) for each row of ``docs``."""
     gram = gram or max(length // 4, 1)
     cell = cell or max(length // 16, 1)
     narrow = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -255,13 +255,14 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                     np.add.at(change, [r["high"] + length for r in ranges], -1)
                 gone = np.cumsum(change)[:-1] > 0
                 runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((data[~gone].tobytes(), len(data), int(gone.sum()), runs))
-            kept, size, removed, runs = zip(*out) if out else ((),) * 4
+                rest = data[~gone].tobytes()
+                out.append((rest, rest.decode("utf-8", "ignore"), len(data), int(gone.sum()), runs))
+            kept, rest, size, removed, runs = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(kept, pa.binary()), pa.array(size, pa.int64()),
+                [batch.column("key"), pa.array(kept, pa.binary()), pa.array(rest, pa.string()), pa.array(size, pa.int64()),
                  pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
-                names=["key", "kept", "n_bytes", "n_removed", "n_spans"])
+                names=["key", "kept", "kept_text", "n_bytes", "n_removed", "n_spans"])
 
     return (narrow.join(found, "doc", "left").select("key", "text", "n", "starts")
-            .mapInArrow(run, f"key {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
+            .mapInArrow(run, f"key {kind}, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long")
             .withColumnRenamed("key", key))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from airstats.llm import decontaminate, pieces, quality
+from airstats.llm import decontaminate, jaccard, pieces, quality, suffix
 from airstats.storage import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,6 +27,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _kept(docs, verdicts.where("kept"))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least key, of each group of near copies."""
+    found = jaccard.near_copies(docs)
+    return _kept(docs, found.where("doc_id = component_id")).dropDuplicates(["doc_id"])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 400 bytes that occur elsewhere too; blank ones go."""
+    left = suffix.without_repeats(docs).select("doc_id", F.col("kept_text").alias("text"))
+    return (docs.drop("text", "n_chars").join(left.where(r"text rlike '[^ \\t-\\r]'"), "doc_id")
+            .withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -40,6 +53,8 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram jaccard join", near_copies),
+    ("suffix-array dedup", repeated_passages),
     ("benchmark decontamination", decontamination),
     ("sentencepiece", sentencepiece),
 ]
