@@ -215,7 +215,9 @@ class Classifier:
 
         Languages with fewer than ``least`` labelled texts of either kind get the threshold of all.
         """
-        z = self.logits(texts, self.table())
+        table = self.table()
+        z = np.concatenate([self.logits(texts.part(rows), table)
+                            for rows in np.array_split(np.arange(len(texts)), len(texts) // 64 + 1)])
         self.threshold[:] = _cut(z, labels)
         for i in range(len(LANGUAGES)):
             of = texts.language == i
