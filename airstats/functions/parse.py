@@ -41,15 +41,15 @@ def hhmm_hour(c: Column | str) -> Column:
 
 
 def _clock_hour(c: Column | str) -> Column:
-    """Hour of a date-time text or a bare clock time, null if it is neither.
+    """Hour of a date-time text or a bare clock time, null if it is neither, as bare digits are.
 
     Read as wall-clock time, so the session time zone and its daylight gaps play no part.
     """
     text = _col(c).cast("string")
-    return F.coalesce(
+    return F.when(~text.rlike(r"^\s*\d+\s*$"), F.coalesce(
         F.hour(text.try_cast("timestamp_ntz")),
         F.hour(F.concat(F.lit("1970-01-01 "), text).try_cast("timestamp_ntz")),
-    )
+    ))
 
 
 def datetime_hour(c: Column | str, default: int = DEFAULT_HOUR) -> Column:

@@ -100,7 +100,7 @@ class Prepared:
     """
 
     def __init__(self, features: DataFrame, split: str = "split", keep: Sequence[str] = (),
-                 on_null_number: str = "skip"):
+                 on_null_number: str = "impute"):
         rows = stored(features, "features")
         train = rows.where(F.col(split) == TRAIN)
         self.rows = rows
@@ -117,7 +117,7 @@ class Prepared:
 
 
 def prepare(df: DataFrame, key: str | Sequence[str], fit_on: str = "train",
-            on_null_number: str = "skip", on_null_delay: str = "drop") -> Prepared:
+            on_null_number: str = "impute", on_null_delay: str = "drop") -> Prepared:
     """Clean flights to split, encoded rows. A key of several columns becomes one, ``flight_key``.
 
     ``fit_on="all"`` computes route means and frequent airports before the split, from test rows

@@ -5,31 +5,42 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # Column names and types of the raw CSV.
-_TEXT = (
-    "FL_DATE", "OP_CARRIER", "ORIGIN", "DEST", "CRS_DEP_TIME", "DEP_TIME",
-    "WHEELS_OFF", "WHEELS_ON", "CRS_ARR_TIME", "ARR_TIME",
-)
-_WHOLE = (
-    "OP_CARRIER_FL_NUM", "FLIGHTS", "MONTH", "DAY_OF_MONTH", "DAY_OF_WEEK",
-    "ORIGIN_INDEX", "DEST_INDEX",
-)
-_ORDER = (
-    "FL_DATE", "OP_CARRIER", "OP_CARRIER_FL_NUM", "ORIGIN", "DEST", "CRS_DEP_TIME",
-    "DEP_TIME", "DEP_DELAY", "TAXI_OUT", "WHEELS_OFF", "WHEELS_ON", "TAXI_IN",
-    "CRS_ARR_TIME", "ARR_TIME", "ARR_DELAY", "CRS_ELAPSED_TIME", "ACTUAL_ELAPSED_TIME",
-    "AIR_TIME", "FLIGHTS", "MONTH", "DAY_OF_MONTH", "DAY_OF_WEEK", "ORIGIN_INDEX",
-    "DEST_INDEX", "O_TEMP", "O_PRCP", "O_WSPD", "D_TEMP", "D_PRCP", "D_WSPD",
-    "O_LATITUDE", "O_LONGITUDE", "D_LATITUDE", "D_LONGITUDE",
-)
-
-
-def _type_of(name: str) -> T.DataType:
-    if name in _TEXT:
-        return T.StringType()
-    return T.IntegerType() if name in _WHOLE else T.FloatType()
-
-
-FLIGHT_SCHEMA = T.StructType([T.StructField(name, _type_of(name)) for name in _ORDER])
+FLIGHT_SCHEMA = T.StructType([
+    T.StructField("FL_DATE", T.StringType()),
+    T.StructField("OP_CARRIER", T.StringType()),
+    T.StructField("OP_CARRIER_FL_NUM", T.IntegerType()),
+    T.StructField("ORIGIN", T.StringType()),
+    T.StructField("DEST", T.StringType()),
+    T.StructField("CRS_DEP_TIME", T.StringType()),
+    T.StructField("DEP_TIME", T.StringType()),
+    T.StructField("DEP_DELAY", T.FloatType()),
+    T.StructField("TAXI_OUT", T.FloatType()),
+    T.StructField("WHEELS_OFF", T.StringType()),
+    T.StructField("WHEELS_ON", T.StringType()),
+    T.StructField("TAXI_IN", T.FloatType()),
+    T.StructField("CRS_ARR_TIME", T.StringType()),
+    T.StructField("ARR_TIME", T.StringType()),
+    T.StructField("ARR_DELAY", T.FloatType()),
+    T.StructField("CRS_ELAPSED_TIME", T.FloatType()),
+    T.StructField("ACTUAL_ELAPSED_TIME", T.FloatType()),
+    T.StructField("AIR_TIME", T.FloatType()),
+    T.StructField("FLIGHTS", T.IntegerType()),
+    T.StructField("MONTH", T.IntegerType()),
+    T.StructField("DAY_OF_MONTH", T.IntegerType()),
+    T.StructField("DAY_OF_WEEK", T.IntegerType()),
+    T.StructField("ORIGIN_INDEX", T.IntegerType()),
+    T.StructField("DEST_INDEX", T.IntegerType()),
+    T.StructField("O_TEMP", T.FloatType()),
+    T.StructField("O_PRCP", T.FloatType()),
+    T.StructField("O_WSPD", T.FloatType()),
+    T.StructField("D_TEMP", T.FloatType()),
+    T.StructField("D_PRCP", T.FloatType()),
+    T.StructField("D_WSPD", T.FloatType()),
+    T.StructField("O_LATITUDE", T.FloatType()),
+    T.StructField("O_LONGITUDE", T.FloatType()),
+    T.StructField("D_LATITUDE", T.FloatType()),
+    T.StructField("D_LONGITUDE", T.FloatType()),
+])
 
 # Texts read as null, the loader's own and those a CSV reader takes by default.
 NULL_TOKENS = (

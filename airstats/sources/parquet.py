@@ -64,16 +64,44 @@ def load_years(spark: SparkSession, src: str | Sequence[str], dst: str, years: S
                force: bool = False) -> list[int]:
     """Load the CSV rows of ``years`` that are not in the table; returns the years loaded.
 
-    ``force`` loads a year again: its months are replaced, other years stay untouched. All years
-    come from one scan of the source and are committed together.
+    ``force`` loads a year again: its months are replaced, and months that the source no longer has
+    go once the others are written; other years stay untouched. All years come from one scan of
+    the source and are committed together.
     """
     todo = sorted(set(years) if force else set(years) - loaded_years(spark, dst))
     if todo:
+        before = _files_by_folder(spark, dst, todo) if force else {}
         rows = prepared(read_flights_csv(spark, src).good)
         write_partitioned(rows.where(F.col("year").isin(*todo)), dst, mode="replace")
+        after = _files_by_folder(spark, dst, todo) if force else {}
+        # a folder that the load wrote has other files than before
+        _delete(spark, [folder for folder, files in after.items() if before.get(folder) == files])
     return todo
 
 
+def _files_by_folder(spark: SparkSession, table: str, years: Sequence[int]) -> dict[str, frozenset[str]]:
+    """Data files in each month's folder of some years of a table."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(table)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {}
+    for year in years:
+        folder = jvm.org.apache.hadoop.fs.Path(root, f"year={year}")
+        if not files.exists(folder):
+            continue
+        for month in files.listStatus(folder):
+            if month.isDirectory():
+                found[month.getPath().toString()] = frozenset(
+                    f.getPath().getName() for f in files.listStatus(month.getPath()))
+    return found
+
+
+def _delete(spark: SparkSession, folders: Sequence[str]) -> None:
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _per_file(spark: SparkSession, path: str) -> DataFrame:
     """Year, path, bytes and rows of each data file."""
     return (
@@ -127,7 +155,10 @@ def footer_schemas(spark: SparkSession, path: str) -> DataFrame:
             for file in batch["file"]:
                 # Hadoop writes file:/x where Arrow expects file:///x.
                 local = file.startswith("file:/") and not file.startswith("file://")
-                filesystem, inner = fs.FileSystem.from_uri("file://" + file[5:] if local else file)
+                place = "file://" + file[5:] if local else file
+                if place.startswith(("s3a://", "s3n://")):
+                    place = "s3" + place[3:]
+                filesystem, inner = fs.FileSystem.from_uri(place)
                 schema = pq.read_schema(inner, filesystem=filesystem)
                 yield pd.DataFrame({"file": file, "column": schema.names, "type": [str(t) for t in schema.types]})
 
@@ -147,30 +178,50 @@ def type_profile(spark: SparkSession, path: str, cols: Sequence[str]) -> DataFra
     )
 
 
-def conforming_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Files that have all columns of ``schema`` in a type Spark reads as the one asked for."""
-    readable = {
-        "string": ("string", "large_string"), "int": ("int8", "int16", "int32"),
+def _footer_types(kind: T.DataType) -> tuple[str, ...]:
+    """Types in footers that Spark reads as ``kind``; ValueError if there is no rule for it."""
+    units = ("ms", "us", "ns")
+    simple = {
+        "string": ("string", "large_string"), "binary": ("binary", "large_binary"),
+        "tinyint": ("int8",), "smallint": ("int8", "int16"), "int": ("int8", "int16", "int32"),
         "bigint": ("int8", "int16", "int32", "int64"), "float": ("float",), "double": ("float", "double"),
         "boolean": ("bool",), "date": ("date32[day]",),
+        # the old 96-bit times have no zone in footers
+        "timestamp": (*(f"timestamp[{u}, tz=UTC]" for u in units), "timestamp[ns]"),
+        "timestamp_ntz": tuple(f"timestamp[{u}]" for u in units),
     }
-    fits = None
+    if isinstance(kind, T.DecimalType):
+        return tuple(f"decimal128({p}, {kind.scale})" for p in range(1, kind.precision + 1))
+    if kind.simpleString() not in simple:
+        raise ValueError(f"no rule which files hold {kind.simpleString()}")
+    return simple[kind.simpleString()]
+
+
+def conforming_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Files that have all columns of ``schema`` in a type Spark reads as the one asked for.
+
+    A column may also be a partition column, which stands in the file's path.
+    """
+    fits, named = F.lit(False), F.lit(0)
     for f in schema.fields:
-        name = f.dataType.simpleString()
-        one = (F.lower("column") == f.name.lower()) & F.col("type").isin(*readable.get(name, (name,)))
-        fits = one if fits is None else fits | one
+        fits |= (F.lower("column") == f.name.lower()) & F.col("type").isin(*_footer_types(f.dataType))
+        named += F.lower("file").contains(f"/{f.name.lower()}=").cast("int")
     return (
         footer_schemas(spark, path).groupBy("file").agg(F.count_if(fits).alias("n"))
-        .where(F.col("n") == len(schema.fields)).select("file")
+        .where(F.col("n") + named == len(schema.fields)).select("file")
     )
 
 
 def read_conforming(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read the files of a folder that conform to ``schema``; skip those that do not.
 
-    The driver sees file names only, as it does for any scan.
+    Partition columns of the folder may be part of the schema. The driver sees file names only, as
+    it does for any scan.
     """
     files = [row.file for row in conforming_files(spark, path, schema).toLocalIterator()]
     if not files:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*files)
+    reader = spark.read.schema(schema)
+    if any(f"/{name.lower()}=" in files[0].lower() for name in schema.names):
+        reader = reader.option("basePath", path)
+    return reader.parquet(*files).select(*schema.names)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,15 +24,19 @@ def flight_lines(spark: SparkSession, src: str, files_per_load: int = FILES_PER_
 
 
 def stream_ingest(spark: SparkSession, src: str, dst: str, checkpoint: str,
-                  files_per_load: int = FILES_PER_LOAD) -> StreamingQuery:
+                  files_per_load: int = FILES_PER_LOAD, feed: str | None = None) -> StreamingQuery:
     """Load all files not loaded yet into ``dst`` and stop.
 
-    Each micro-batch writes partitions of its own, ``year=/month=/load=<batch>``, and replaces
+    Each micro-batch writes partitions of its own, ``year=/month=/load=<feed>-<batch>``, and replaces
     them when it is repeated after a failure; so every row arrives once, and a year may be spread
-    over any number of loads.
+    over any number of loads. Batches are numbered within a checkpoint, so a table that several
+    feeds write to tells them apart by ``feed``, which follows from the checkpoint's path unless
+    it is given.
     """
+    feed = feed or md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
     def load(batch: DataFrame, batch_id: int) -> None:
-        rows = prepared(typed(batch).good).withColumn("load", F.lit(batch_id))
+        rows = prepared(typed(batch).good).withColumn("load", F.lit(f"{feed}-{batch_id}"))
         write_partitioned(rows, dst, STREAM_PARTITIONS, mode="replace")
 
     return (
