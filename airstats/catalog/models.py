@@ -161,7 +161,7 @@ def _differences(a: DataFrame, b: DataFrame) -> DataFrame:
 @query("s12_save_and_load", _TEST_SIZE)
 def _(spark, sf):
     p = prepared(spark, sf)
-    model, path = p.whole(models.fit_ovr_logistic(p.train, max_iter=50)), scratch_path(spark, "model")
+    model, path = p.whole(models.fit_ovr_logistic(p.train)), scratch_path(spark, "model")
     scoring.save_model(model, path)
     return _differences(scoring.score(model, p.test_rows), scoring.score(scoring.load_model(path), p.test_rows))
 
@@ -183,7 +183,7 @@ def score_requests(spark, sf):
 @query("m16_score_stream", _TEST_SIZE)
 def scored_stream(spark, sf):
     p = prepared(spark, sf)
-    model = p.whole(models.fit_ovr_logistic(p.train, max_iter=50))
+    model = p.whole(models.fit_ovr_logistic(p.train))
     src, dst, state = (scratch_path(spark, n) for n in ("requests", "scores", "progress"))
     p.test_rows.write.parquet(src)
     stream = spark.readStream.schema(p.test_rows.schema).parquet(src)

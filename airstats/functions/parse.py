@@ -57,14 +57,17 @@ def datetime_hour(c: Column | str, default: int = DEFAULT_HOUR) -> Column:
     return F.coalesce(_clock_hour(c), F.lit(default))
 
 
-def dep_hour(c: Column | str, time_format: str = "hhmm") -> Column:
-    """Departure hour of ``hhmm`` or ``datetime`` text; ``auto`` takes each row as it is written."""
+def dep_hour(c: Column | str, time_format: str = "hhmm", default: int = 0) -> Column:
+    """Departure hour of ``hhmm`` or ``datetime`` text; ``auto`` takes each row as it is written.
+
+    ``default`` stands for a text that is neither; ``hhmm`` alone reads such a text as 0.
+    """
     if time_format == "hhmm":
         return hhmm_hour(c)
     if time_format == "datetime":
-        return datetime_hour(c, 0)
+        return datetime_hour(c, default)
     if time_format == "auto":
-        return F.when(to_number(c, None).isNotNull(), hhmm_hour(c)).otherwise(datetime_hour(c, 0))
+        return F.when(to_number(c, None).isNotNull(), hhmm_hour(c)).otherwise(datetime_hour(c, default))
     raise ValueError(f"unknown time format: {time_format}")
 
 

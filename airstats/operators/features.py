@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from airstats.functions import (
-    code_text, datetime_hour, delay_level, is_weekend, season, time_of_day, to_number,
+    code_text, delay_level, dep_hour, is_weekend, season, time_of_day, to_number,
 )
+from airstats.functions.parse import DEFAULT_HOUR
 from airstats.operators.filters import clean_for_model
 from airstats.operators.rank import OTHER, TOP_AIRPORTS, as_list, keep_or_other
 from airstats.storage import stored
@@ -38,9 +39,10 @@ def with_targets(df: DataFrame) -> DataFrame:
     return df.withColumn("total_delay", total).withColumn("delay_level", delay_level("total_delay"))
 
 
-def with_time_features(df: DataFrame) -> DataFrame:
+def with_time_features(df: DataFrame, time_format: str = "datetime") -> DataFrame:
+    """DEP_HOUR, IS_WEEKEND and SEASON; ``time_format`` as in ``dep_hour``."""
     return df.withColumns({
-        "dep_hour": datetime_hour("crs_dep_time"),
+        "dep_hour": dep_hour("crs_dep_time", time_format, DEFAULT_HOUR),
         "is_weekend": is_weekend("day_of_week"),
         "season": season("month"),
     })
@@ -106,14 +108,14 @@ def with_grouped_ends(df: DataFrame, totals: DataFrame, k: int = TOP_AIRPORTS) -
 
 def build_features(df: DataFrame, keep: Sequence[str] = (), on_null_delay: str = "drop",
                    fit_on: str = "train", split_col: str | None = None,
-                   k: int = TOP_AIRPORTS) -> DataFrame:
+                   k: int = TOP_AIRPORTS, time_format: str = "datetime") -> DataFrame:
     """Clean rows with both targets and all features; raw delay, time and airport columns dropped.
 
     ``keep`` names further columns to carry along, such as the flight's key. With
     ``fit_on="train"`` route means and most frequent airports come from training rows only.
     """
     carried = list(dict.fromkeys([*keep, *([split_col] if split_col else [])]))
-    rows = with_time_features(with_targets(clean_for_model(df, on_null_delay, carried)))
+    rows = with_time_features(with_targets(clean_for_model(df, on_null_delay, carried)), time_format)
     totals = route_totals(_fitted_on(rows, fit_on, split_col))
     full = with_grouped_ends(with_route_risk(rows, totals), totals, k)
     return full.drop("arr_delay", "dep_delay", "crs_dep_time", "origin", "dest")

@@ -49,7 +49,7 @@ def stratified_sample(df: DataFrame, by: Sequence[str], quota: Column, weight: C
 
     Exponential race: every row gets -ln(u) / weight with u hashed from ``key``, and the smallest
     win; that is the distribution of drawing one row after the other in proportion to the weights
-    left. A stratum no larger than its quota is taken whole. Rows of weight 0 only fill what is
+    left. A stratum no larger than its quota is taken whole. Rows of weight 0 (or NaN) only fill what is
     left, evenly, so a stratum with no weight at all is sampled evenly.
 
     ``key`` must be unique, and ``quota`` the same throughout a stratum; rows with a null in
@@ -69,7 +69,7 @@ def stratified_sample(df: DataFrame, by: Sequence[str], quota: Column, weight: C
     hit = -F.ln(uniform(hash52(key_text(key), seed)))
     runners = (
         df.where(in_stratum)
-        .withColumns({"_hit": hit, "_weight": weight.cast("double"), "_quota": quota})
+        .withColumns({"_hit": hit, "_weight": F.nanvl(weight.cast("double"), F.lit(0.0)), "_quota": quota})
         .withColumn("_race", F.when(F.col("_weight") > 0, F.col("_hit") / F.col("_weight"))
                     .otherwise(float("inf")))
     )

@@ -268,9 +268,11 @@ def grid_fit(fit: Callable[..., Model], grid: Mapping[str, Sequence], train: Dat
         try:
             models[i] = fit(train, **params)
             metrics = class_metrics(score(models[i], test), LABEL, "class")
-            rows.append(metrics.select(F.lit(i).alias("config"), *labels, *metrics.columns,
-                                       F.lit(None).cast("string").alias("error")))
-        except Exception as e:  # any failure of a fit is reported, the search goes on
+            row = metrics.select(F.lit(i).alias("config"), *labels, *metrics.columns,
+                                 F.lit(None).cast("string").alias("error"))
+            rows.append(stored(row, "configuration"))
+        except Exception as e:  # any failure of a fit or a score is reported, the search goes on
+            models.pop(i, None)
             rows.append(train.sparkSession.range(1).select(
                 F.lit(i).alias("config"), *labels, F.lit(str(e)).alias("error")))
     results = rows[0]

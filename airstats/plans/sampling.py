@@ -45,9 +45,10 @@ def frequent(df: DataFrame) -> tuple[Column, Column]:
     return rank.as_list(top.where("kind = 'carrier'")), rank.as_list(top.where("kind = 'airport'"))
 
 
-def with_strata(df: DataFrame, time_format: str = "hhmm") -> DataFrame:
-    """Flights with priority score and delay group."""
-    carriers, airports = frequent(df)
+def with_strata(df: DataFrame, time_format: str = "hhmm",
+                top: tuple[Column, Column] | None = None) -> DataFrame:
+    """Flights with priority score and delay group; ``top`` is the result of ``frequent``, if at hand."""
+    carriers, airports = top or frequent(df)
     return strata.with_priority(df, carriers, airports, time_format).withColumn(
         "delay_group", delay_group("arr_delay"))
 
@@ -61,14 +62,15 @@ def draw(scored: DataFrame, key: str | Sequence[str]) -> DataFrame:
 
 def sample_flights(df: DataFrame, key: str | Sequence[str], time_format: str = "hhmm") -> Sampled:
     """Draw the sample, write it to the scratch folder and report on it."""
-    population = with_strata(df, time_format)
+    top = frequent(df)
+    population = with_strata(df, time_format, top)
     drawn = draw(population, key).drop("priority_score").withColumn("sampling_month", F.col("month"))
     sample = stored(drawn, "sample")
     return Sampled(
         sample,
         strata.sampling_log(population, sample),
         strata.group_shares(sample),
-        strata.carrier_coverage(sample, frequent(df)[0]),
+        strata.carrier_coverage(sample, top[0]),
     )
 
 

@@ -28,6 +28,7 @@ def test_hours(spark):
     stamps = ["2023-03-12 02:30:00", "06:30", "2023-01-01T23:00:00", "n/a", None]
     assert values(spark, fn.datetime_hour, stamps) == [2, 6, 23, 12, 12]
     assert values(spark, lambda c: fn.dep_hour(c, "auto"), ["0630", "2023-01-01 07:10:00", "n/a"]) == [6, 7, 0]
+    assert values(spark, lambda c: fn.dep_hour(c, "auto", 12), ["0630", "2023-01-01 07:10:00", "n/a", None]) == [6, 7, 12, 12]
     with pytest.raises(ValueError):
         fn.dep_hour("x", "other")
 

@@ -35,6 +35,12 @@ def test_no_weight_at_all_still_fills_the_quota(spark):
     assert stratified_sample(df, ["g"], F.lit(20), "w", "id").count() == 20
 
 
+def test_weight_that_is_no_number_counts_as_none(spark):
+    df = spark.range(100).withColumns({"g": F.lit("a"), "w": F.when(F.col("id") < 50, 1.0).otherwise(float("nan"))})
+    got = stratified_sample(df, ["g"], F.lit(45), "w", "id")
+    assert got.count() == 45 and got.where("id >= 50").isEmpty()
+
+
 def test_hot_stratum_and_null_stratum(spark):
     df = spark.range(30_000).withColumn(
         "g", F.when(F.col("id") % 3 == 0, "small").when(F.col("id") % 3 == 1, "hot").otherwise(F.lit(None)))
