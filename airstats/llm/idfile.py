@@ -32,13 +32,15 @@ from airstats.llm.phases import finished
 #: Most ids of a block, and ids after which a record ends.
 BLOCK, RECORD = 4096, 6 << 20
 #: Pre-tokens a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 _SLOTS = 1024
-_NONE = np.uint16(65535)
-_TOTAL = np.uint64(24)
-_TOP, _BOTTOM = np.uint64(1) << np.uint64(56), np.uint64(1) << np.uint64(40)
-_EIGHT, _HIGH = np.uint64(8), np.uint64(56)
+#: No id has been seen in a slot: 65535 with no trust.
+_EMPTY = 65535 << 2
+#: Parts of the code range that say which prediction holds, and parts that an id from the counts lies in.
+_KINDS, _COUNTED = 12, 20
+_KIND_BITS, _COUNT_BITS = np.uint64(_KINDS), np.uint64(_COUNTED)
+_WORD, _HALF = np.uint64(1) << np.uint64(32), np.uint64(32)
 
 
 class Encoder:
@@ -52,7 +54,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
@@ -64,79 +66,84 @@ class Encoder:
         for at in range(0, len(new), 10_000):
             for piece, ids in zip(new[at:at + 10_000], self._ids(new[at:at + 10_000])):
                 known[piece] = np.array(ids, "<u2").tobytes()
-        return [np.array(self._ids([t])[0], "<u2").tobytes() if part is None else b"".join([known[p] for p in part])
+        return [np.array(self._ids([t])[0], "<u2").tobytes() if part is None else b"".join(map(known.__getitem__, part))
                 for t, part in zip(texts, parts)]
 
 
 class Model:
-    """Predictions for one position of each block, side by side."""
+    """Predictions for one position of each block, side by side.
+
+    A slot of ``seen`` holds the id that came last in a context and how far to trust it (0 to 3). For
+    each pair of trusts, ``share`` holds how often order 2 was right, and how often only order 1.
+    """
 
     def __init__(self, blocks: int, counts: np.ndarray):
-        self.row = np.arange(blocks)
-        self.base = self.row * _SLOTS
-        self.guess = [np.full(blocks * _SLOTS, _NONE) for _ in range(2)]
-        self.trust = [np.zeros(blocks * _SLOTS, np.uint8) for _ in range(2)]
-        self.right = np.tile(np.array([2, 2, 4], np.uint64), (blocks * 16, 1))
+        self.base, self.row = np.arange(blocks) * _SLOTS, np.arange(blocks) * 16
+        self.seen = [np.full(blocks * _SLOTS, _EMPTY, np.int32) for _ in range(2)]
+        two = np.repeat([0, 1 << 14, 1 << 15, 3 << 14], 4)
+        one = np.tile([0, 1 << 14, 1 << 15, 3 << 14], 4) * (65536 - two) >> 16
+        self.share = [np.tile(x, blocks) for x in (two, one)]
         self.last = np.zeros((2, blocks), np.int64)
-        # every id that comes has a share that stays above zero when the other predictions leave little
+        # every id that comes has a share of the counts' range
         present = np.flatnonzero(counts)
-        share = np.zeros(len(counts), np.uint64)
-        room = (1 << 24) - 40 * len(present)
-        share[present] = 40 + (counts[present].astype(float) / max(counts.sum(), 1) * room).astype(np.uint64)
+        share = np.zeros(len(counts), np.int64)
+        room = (1 << _COUNTED) - len(present)
+        share[present] = 1 + (counts[present].astype(float) / max(counts.sum(), 1) * room).astype(np.int64)
         if len(present):
-            share[present[counts[present].argmax()]] += np.uint64((1 << 24) - int(share.sum()))
-        self.below = np.concatenate([[0], np.cumsum(share)]).astype(np.uint64)
+            share[present[counts[present].argmax()]] += (1 << _COUNTED) - int(share.sum())
+        self.width = share.astype(np.uint64)
+        self.below = (np.cumsum(share) - share).astype(np.uint64)
+        self.owner = np.repeat(np.arange(len(counts), dtype=np.uint16), share)
 
     def predict(self, k: int) -> None:
-        one, two = self.last[0, :k], self.last[1, :k]
-        self.at = [self.base[:k] + ((one * 40503 + two * 60493 >> 4) & (_SLOTS - 1)),
-                   self.base[:k] + ((one * 40503 >> 4) & (_SLOTS - 1))]
-        self.said = [g[a] for g, a in zip(self.guess, self.at)]
-        self.sure = [t[a] for t, a in zip(self.trust, self.at)]
-        self.context = self.row[:k] * 16 + np.minimum(self.sure[0], 3) * 4 + np.minimum(self.sure[1], 3)
-        right = self.right[self.context]
-        total = right.sum(1)
-        self.two = (right[:, 0] << _TOTAL) // total
-        self.one = (right[:, 1] << _TOTAL) // total
-        self.zero = (np.uint64(1) << _TOTAL) - self.two - self.one
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and width of the code range of each id."""
-        hit = [ids == g for g in self.said]
-        before = self.two + self.one
-        low = before + (self.below[ids] * self.zero >> _TOTAL)
-        high = before + (self.below[ids + 1] * self.zero >> _TOTAL)
-        low = np.where(hit[0], 0, np.where(hit[1], self.two, low))
-        high = np.where(hit[0], self.two, np.where(hit[1], before, high))
-        return low, high - low
-
-    def symbol(self, value: np.ndarray) -> np.ndarray:
-        """Ids whose code range holds the values."""
-        before = self.two + self.one
-        inner = np.where(value >= before, value - before, 0)
-        # the least target that the scaling brings to this value or beyond it
-        target = ((inner + np.uint64(1)) << _TOTAL) - np.uint64(1)
-        ids = np.searchsorted(self.below, target // self.zero, side="right") - 1
-        ids = np.where(value < self.two, self.said[0], np.where(value < before, self.said[1], ids))
-        return ids.astype(np.int64)
-
-    def update(self, ids: np.ndarray) -> None:
+        mixed = self.last[0, :k] * 40503
+        base = self.base[:k]
+        self.at = [((mixed + self.last[1, :k] * 60493) >> 4 & _SLOTS - 1) + base, (mixed >> 4 & _SLOTS - 1) + base]
+        self.was = [seen.take(at) for seen, at in zip(self.seen, self.at)]
+        self.sure = [was & 3 for was in self.was]
+        self.said = [was >> 2 for was in self.was]
+        self.context = (self.sure[0] * 4 + self.sure[1]) + self.row[:k]
+        self.shares = [share.take(self.context) for share in self.share]
+        # each prediction keeps a little, the counts a sixteenth at least
+        self.two = ((self.shares[0] * 3832 >> 16) + 4).view(np.uint64)
+        self.both = ((self.shares[1] * 3832 >> 16) + 4).view(np.uint64) + self.two
+
+    def narrow(self, ids: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
+        """Narrow the code ranges to those of the ids, and learn from the ids."""
+        two, both = self.two, self.both
+        hit = [ids == said for said in self.said]
+        hit[1] &= ~hit[0]
+        other = np.flatnonzero(~(hit[0] | hit[1]))
+        begin, end = np.where(hit[0], np.uint64(0), two), np.where(hit[0], two, both)
+        begin[other], end[other] = both[other], np.uint64(1 << _KINDS)
+        unit = width >> _KIND_BITS
+        low += unit * begin
+        width[:] = unit * (end - begin)
+        new = ids[other]
+        unit = width[other] >> _COUNT_BITS
+        low[other] += unit * self.below[new]
+        width[other] = unit * self.width[new]
+        for share, was, right in zip(self.share, self.shares, hit):
+            share[self.context] = was + ((right.astype(np.int64) << 16) - was >> 4)
+        hit[1] = ids == self.said[1]
+        fresh = (ids << 2 | 1).astype(np.int32)
+        for seen, at, was, sure, right in zip(self.seen, self.at, self.was, self.sure, hit):
+            seen[at] = np.where(right, was + (sure < 3), np.where(sure > 1, was & -4 | 1, fresh))
         k = len(ids)
-        hit = [ids == g for g in self.said]
-        kind = np.where(hit[0], 0, np.where(hit[1], 1, 2))
-        right = self.right
-        right[self.context, kind] += np.uint64(16)
-        full = self.context[right[self.context].sum(1) > 2000]
-        if len(full):
-            right[full] = right[full] // np.uint64(2) + np.uint64(1)
-        # what is left to the counts never gets below a sixteenth
-        right[self.context, 2] = np.maximum(right[self.context, 2], (right[self.context, 0] + right[self.context, 1]) >> np.uint64(4))
-        for guess, trust, at, said, sure, was in zip(self.guess, self.trust, self.at, self.said, self.sure, hit):
-            guess[at] = np.where(was | (sure > 1), said, ids)
-            trust[at] = np.where(was, np.minimum(sure + 1, 15), np.where(sure > 1, sure >> 1, 1))
         self.last[1, :k] = self.last[0, :k]
         self.last[0, :k] = ids
 
+    def symbol(self, offset: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Ids whose code range holds the offsets."""
+        unit = width >> _KIND_BITS
+        value = np.minimum(offset // unit, np.uint64((1 << _KINDS) - 1))
+        ids = np.where(value < self.two, self.said[0], self.said[1]).astype(np.int64)
+        other = np.flatnonzero(value >= self.both)
+        unit, both = unit[other], self.both[other]
+        inner = (offset[other] - unit * both) // (unit * (np.uint64(1 << _KINDS) - both) >> _COUNT_BITS)
+        ids[other] = self.owner[np.minimum(inner, np.uint64((1 << _COUNTED) - 1)).view(np.int64)]
+        return ids
+
 
 def _cut(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and lengths of blocks; the longer ones come first."""
@@ -156,45 +163,40 @@ def pack(ids: np.ndarray) -> tuple[bytes, list[bytes], list[int]]:
         return head, [], []
     model = Model(blocks, counts)
     low, width = np.zeros(blocks, np.uint64), np.full(blocks, ~np.uint64(0))
-    out = np.zeros((blocks, 5 * int(lengths[0]) + 16), np.uint8)
+    out = np.zeros((blocks, int(lengths[0]) + 2), "<u4")
     place = np.zeros(blocks, np.int64)
-    for t in range(int(lengths[0])):
+    # ids of a position lie together
+    steps = np.ascontiguousarray(np.pad(ids, (0, blocks * int(lengths[0]) - len(ids))).reshape(blocks, -1).T)
+    for t, now in enumerate(steps):
         k = blocks if t < lengths[-1] else blocks - 1
-        now = ids[starts[:k] + t]
         model.predict(k)
-        begin, span = model.interval(now)
-        unit = width[:k] >> _TOTAL
-        low[:k] += unit * begin
-        width[:k] = unit * span
+        model.narrow(now[:k], low[:k], width[:k])
         _shift(low[:k], width[:k], out, place)
-        model.update(now)
-    for _ in range(8):
-        out[model.row, place] = low >> _HIGH
-        low <<= _EIGHT
+    every = np.arange(blocks)
+    for word in (low >> _HALF, low & _WORD - np.uint64(1)):
+        out[every, place] = word
         place += 1
     return head, [out[i, :n].tobytes() for i, n in enumerate(place.tolist())], [
         zlib.crc32(ids[s:s + n].astype("<u4")) for s, n in zip(starts, lengths)]
 
 
-def _shift(low: np.ndarray, width: np.ndarray, out: np.ndarray | None, place: np.ndarray,
-           code: np.ndarray | None = None) -> None:
-    """Bring ranges to full width: write the bytes that are settled, or read as many."""
-    rows = np.arange(len(low))
-    while True:
-        a, b = low[rows], width[rows]
-        settled = (a ^ (a + b)) < _TOP
-        short = ~settled & (b < _BOTTOM)
-        go = settled | short
-        if not go.any():
-            return
-        rows, a, b, short = rows[go], a[go], b[go], short[go]
-        b = np.where(short, (~a + np.uint64(1)) & (_BOTTOM - np.uint64(1)), b)
-        if code is None:
-            out[rows, place[rows]] = a >> _HIGH
-        else:
-            code[rows] = code[rows] << _EIGHT | out[rows, place[rows]]
-        place[rows] += 1
-        low[rows], width[rows] = a << _EIGHT, b << _EIGHT
+def _shift(low: np.ndarray, width: np.ndarray, words: np.ndarray, place: np.ndarray, code: np.ndarray | None = None) -> None:
+    """Widen ranges below a word: write their upper word, or read the next one.
+
+    A range in which the upper word changes ends where it changes.
+    """
+    rows = np.flatnonzero(width < _WORD)
+    if not len(rows):
+        return
+    a, b, at = low[rows], width[rows], place[rows]
+    changes = (a ^ (a + b - np.uint64(1))) >= _WORD
+    b = np.where(changes, _WORD - (a & _WORD - np.uint64(1)), b)
+    if code is None:
+        words[rows, at] = a >> _HALF
+    else:
+        code[rows] = code[rows] << _HALF | words[rows, at]
+    place[rows] = at + 1
+    low[rows], width[rows] = a << _HALF, b << _HALF
 
 
 def unpack(head: bytes, blocks: list[bytes], checks: list[int], size: int) -> np.ndarray:
@@ -205,28 +207,24 @@ def unpack(head: bytes, blocks: list[bytes], checks: list[int], size: int) -> np
     if not len(starts):
         return ids
     model = Model(len(starts), counts)
-    longest = max(map(len, blocks)) + 8
-    data = np.zeros((len(blocks), longest), np.uint8)
+    data = np.zeros((len(blocks), int(lengths[0]) + 2), "<u4")
     for i, block in enumerate(blocks):
-        data[i, :len(block)] = np.frombuffer(block, np.uint8)
+        words = np.frombuffer(block, "<u4", min(len(block) // 4, data.shape[1]))
+        data[i, :len(words)] = words
     low, width = np.zeros(len(starts), np.uint64), np.full(len(starts), ~np.uint64(0))
-    code, place = np.zeros(len(starts), np.uint64), np.full(len(starts), 8)
-    for j in range(8):
-        code = code << _EIGHT | data[:, j]
-    last = (np.uint64(1) << _TOTAL) - np.uint64(1)
+    code = data[:, 0].astype(np.uint64) << _HALF | data[:, 1]
+    place = np.full(len(starts), 2)
+    steps = np.zeros((int(lengths[0]), len(starts)), np.int64)
     for t in range(int(lengths[0])):
         k = len(starts) if t < lengths[-1] else len(starts) - 1
         model.predict(k)
-        unit = width[:k] >> _TOTAL
-        now = model.symbol(np.minimum((code[:k] - low[:k]) // unit, last))
-        np.clip(now, 0, len(counts) - 1, out=now)  # only a damaged block gets there
-        begin, span = model.interval(now)
-        low[:k] += unit * begin
-        width[:k] = np.maximum(unit * span, 1)
-        np.minimum(place, longest - 1, out=place)
+        now = model.symbol(code[:k] - low[:k], width[:k])
+        np.minimum(now, len(counts) - 1, out=now)  # only a damaged block gets there
+        np.minimum(place, data.shape[1] - 1, out=place)
+        model.narrow(now, low[:k], width[:k])
         _shift(low[:k], width[:k], data, place, code)
-        model.update(now)
-        ids[starts[:k] + t] = now
+        steps[t, :k] = now
+    ids = steps.T.reshape(-1)[:size]
     for i, (s, n) in enumerate(zip(starts.tolist(), lengths.tolist())):
         if zlib.crc32(ids[s:s + n].astype("<u4")) != checks[i]:
             raise ValueError(f"block {i}: its checksum is wrong")
