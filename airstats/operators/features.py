@@ -143,6 +143,14 @@ def target_encoding(df: DataFrame, col: str, target: str) -> DataFrame:
     return stored(means, f"te-{col}")
 
 
+def target_encodings(df: DataFrame, cols: Sequence[str], target: str) -> dict[str, DataFrame]:
+    """As ``target_encoding`` for several columns: one pass over the rows, each table rolled up from it."""
+    sums = stored(df.groupBy(*cols).agg(F.sum(target).alias("_sum"), F.count(target).alias("_known")), "te-sums")
+    mean = F.sum("_sum") / F.nullif(F.sum("_known"), F.lit(0))
+    return {c: stored(sums.where(F.col(c).isNotNull()).groupBy(c).agg(mean.alias(f"te_{c}")), f"te-{c}")
+            for c in cols}
+
+
 def apply_encoding(df: DataFrame, mapping: DataFrame, col: str) -> DataFrame:
     """Look a category up; an unseen one takes the unweighted mean of all categories."""
     te = f"te_{col}"
@@ -181,5 +189,6 @@ __all__ = [
     "CATEGORICAL_FEATURES", "ENCODED_COLUMNS", "NUMERIC_FEATURES", "OTHER", "SERVING_FEATURES",
     "TEST", "TRAIN", "apply_encoding", "build_features", "route_count", "route_risk",
     "route_totals", "serving_features", "standard_stats", "standardise", "target_encoding",
+    "target_encodings",
     "with_grouped_ends", "with_route_risk", "with_targets", "with_time_features",
 ]

@@ -15,8 +15,10 @@ TEST_SHARE = 0.2
 SPLIT_SEED = 42
 CLASSES = (0, 1, 2, 3)
 
-# Bins times classes are counted; a bin of the largest class is ranked in one task.
+# Bins times classes are counted, level by level of hash bits, until the bin in which a class fills up
+# has at most so many rows; those are ranked in one task.
 _BIN_BITS = 14
+_EDGE_ROWS = 100_000
 _HASH_BITS = 52
 
 
@@ -49,32 +51,27 @@ def stratified_split(df: DataFrame, label: str, key: str | Sequence[str], test:
 
     ``exact=True`` gives every class its quota without shuffling the rows, however unequal the
     classes are: counters per class and leading hash bits show in which bin of hashes a class
-    fills up, the few keys in that bin are ranked to find the last one in, and the rows are then
-    compared with that one. Should a key have copies, all of them go where the first one goes.
+    fills up, further bits divide a bin of many rows, the few keys left are ranked to find the last
+    one in, and the rows are then compared with that one. Should a key have copies, all of them go where the first one goes.
     """
     text = key_text(key)
     if not exact:
         inside = uniform(hash52(text, seed)) < test
         return df.withColumn("split", F.when(inside, TEST).otherwise(TRAIN))
 
-    drawn = df.withColumns({"_hash": hash52(text, seed), "_key": text}).withColumn(
-        "_bin", F.shiftright("_hash", _HASH_BITS - _BIN_BITS))
-    bins = stored(drawn.groupBy(label, "_bin").agg(F.count("*").alias("_n")), "split-bins")
+    drawn = df.withColumns({"_hash": hash52(text, seed), "_key": text})
+    keys = drawn.select(label, "_hash", "_key")
+    bits = min(_BIN_BITS, _HASH_BITS)
+    bins = _counted(keys, label, bits)
     quotas = class_quotas(bins.groupBy(label).agg(F.sum("_n").alias("n")), label, test)
-    upto = F.sum("_n").over(Window.partitionBy(label).orderBy("_bin"))
-    edges = stored(
-        bins.withColumn("_upto", upto)
-        .join(quotas, label)
-        .where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
-        .select(label, F.col("_bin").alias("_edge"),
-                (F.col("quota") - (F.col("_upto") - F.col("_n"))).alias("_left")),
-        "split-edges",
-    )
+    edges = _edges(bins, quotas.withColumnRenamed("quota", "_wanted"), label)
+    while bits < _HASH_BITS and (edges.agg(F.max("_n")).head()[0] or 0) > _EDGE_ROWS:
+        narrowed = _at_edge(keys, edges, label, bits)
+        bits = min(bits + _BIN_BITS, _HASH_BITS)
+        edges = _edges(_counted(narrowed, label, bits), edges.select(label, F.col("_left").alias("_wanted")), label)
     # Copies of a key are added up before they meet; they stay on one side of the split.
-    at_edge = (
-        drawn.select(label, "_hash", "_key", "_bin").join(edges, label).where("_bin = _edge")
-        .groupBy(label, "_hash", "_key").agg(F.count("*").alias("_n"), F.max("_left").alias("_left"))
-    )
+    at_edge = _at_edge(keys, edges, label, bits).groupBy(label, "_hash", "_key").agg(
+        F.count("*").alias("_n"), F.max("_left").alias("_left"))
     reached = F.sum("_n").over(Window.partitionBy(label).orderBy("_hash", "_key"))
     last_in = stored(
         at_edge.withColumn("_reached", reached)
@@ -91,6 +88,27 @@ def stratified_split(df: DataFrame, label: str, key: str | Sequence[str], test:
     )
 
 
+def _counted(keys: DataFrame, label: str, bits: int) -> DataFrame:
+    """Rows per class and leading bits of the hash, a written table."""
+    bins = keys.groupBy(label, F.shiftright("_hash", _HASH_BITS - bits).alias("_bin"))
+    return stored(bins.agg(F.count("*").alias("_n")), "split-bins")
+
+
+def _edges(bins: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
+    """The bin in which each class reaches the rows wanted, its rows, and how many of them get in."""
+    before = F.sum("_n").over(Window.partitionBy(label).orderBy("_bin")) - F.col("_n")
+    return stored(
+        bins.withColumn("_before", before).join(wanted, label)
+        .where((F.col("_before") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_before") + F.col("_n")))
+        .select(label, F.col("_bin").alias("_edge"), "_n", (F.col("_wanted") - F.col("_before")).alias("_left")),
+        "split-edges")
+
+
+def _at_edge(keys: DataFrame, edges: DataFrame, label: str, bits: int) -> DataFrame:
+    """Keys whose hash begins with the bits of their class's bin."""
+    return keys.join(edges.drop("_n"), label).where(F.shiftright("_hash", _HASH_BITS - bits) == F.col("_edge"))
+
+
 def with_balanced_weight(df: DataFrame, label: str, classes: Sequence[int] = CLASSES,
                          fit_on: DataFrame | None = None, out: str = "weight") -> DataFrame:
     """n / (k * n_c), k the number of classes that occur. Counts are one row, no join is needed."""

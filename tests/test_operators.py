@@ -121,6 +121,24 @@ def test_split_sizes_are_exact(spark, sizes):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_split_divides_bins_of_many_rows(spark, monkeypatch):
+    df = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("id"), (F.col("id") % 7 == 0).cast("int").alias("y"))
+    expected = sorted(map(tuple, split.stratified_split(df, "y", "id").collect()))
+    levels, counted = [], split._counted
+    monkeypatch.setattr(split, "_counted", lambda keys, label, bits: (levels.append(bits), counted(keys, label, bits))[1])
+    monkeypatch.setattr(split, "_BIN_BITS", 3)
+    monkeypatch.setattr(split, "_EDGE_ROWS", 20)
+    assert sorted(map(tuple, split.stratified_split(df, "y", "id").collect())) == expected
+    assert levels[:3] == [3, 6, 9]
+
+
+def test_encodings_of_one_pass_equal_single_ones(spark):
+    rows = [("a", "x", 1), ("a", "y", 4), ("b", "y", None), (None, "x", 7), ("b", None, 2), ("c", "x", None)]
+    df = spark.createDataFrame(rows, "c string, d string, y int")
+    for c, mapping in features.target_encodings(df, ["c", "d"], "y").items():
+        assert sorted(map(tuple, mapping.collect())) == sorted(map(tuple, features.target_encoding(df, c, "y").collect()))
+
+
 def test_class_report_of_absent_classes_is_zero(spark):
     preds = spark.createDataFrame([(0, 0.0), (0, 1.0), (1, 1.0)], "label int, prediction double")
     report = {r["row"]: r for r in evaluate.class_report(preds).collect()}
