@@ -77,9 +77,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    trained, counts = katz.train(docs.where(~held_out))
-    return katz.scored(docs, trained, counts).select(
-        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(trained.tokens).cast("long").alias("train_tokens"),
+    found, tokens = katz.document_scores(docs.where(~held_out), docs)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         "base_score", "score")
 
 
