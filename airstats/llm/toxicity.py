@@ -28,6 +28,8 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 12, (1, 2, 3), 8
 STEMS = (4, 5)
 #: Learning texts that must have a bucket.
 LEAST_TEXTS = 3
+#: Bins of a logit's unit when labelled texts are counted, and the largest logit that is told apart.
+BINS, MOST = 64, 128
 
 # fixed values: frequent function words of each language
 FUNCTION_WORDS = {
@@ -210,39 +212,65 @@ class Classifier:
                 self.dense = step("dense", self.dense, x.T @ error)
                 self.offset = step("offset", self.offset, np.float32(error.sum()))
 
-    def calibrate(self, texts: Texts, labels: np.ndarray, least: int = 20) -> None:
+    def calibrate(self, counted: pa.Table, least: int = 20) -> None:
         """Per language, the logit that tells the two kinds apart best, and with most room.
 
+        ``counted`` has language, bin (of the logit), toxic and clean, as ``logit_counts`` gives them.
         Languages with fewer than ``least`` labelled texts of either kind get the threshold of all.
         """
-        table = self.table()
-        z = np.concatenate([self.logits(texts.part(rows), table)
-                            for rows in np.array_split(np.arange(len(texts)), len(texts) // 64 + 1)])
-        self.threshold[:] = _cut(z, labels)
+        language, place, toxic, clean = (counted[c].to_numpy() for c in ("language", "bin", "toxic", "clean"))
+        self.threshold[:] = _cut(place, toxic, clean)
         for i in range(len(LANGUAGES)):
-            of = texts.language == i
-            if min((labels[of] == 1).sum(), (labels[of] == 0).sum()) >= least:
-                self.threshold[i] = _cut(z[of], labels[of])
+            of = language == i
+            if min(toxic[of].sum(), clean[of].sum()) >= least:
+                self.threshold[i] = _cut(place[of], toxic[of], clean[of])
 
 
-def _cut(z: np.ndarray, labels: np.ndarray) -> float:
-    order = np.argsort(z, kind="stable")
-    z, toxic = z[order], labels[order] == 1
+def _cut(place: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The logit with fewest errors between bins, where toxic and clean texts are counted."""
+    z, back = np.unique(place, return_inverse=True)
+    toxic, clean = np.bincount(back, toxic), np.bincount(back, clean)
     # wrong when all from place i on count as toxic
-    wrong = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum((~toxic)[::-1])[::-1], [0]])
+    wrong = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
+    z = (z + 0.5) / BINS
     edges = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
     room = np.concatenate([[0], np.diff(z), [0]])
     best = np.flatnonzero(wrong == wrong.min())
     return float(edges[best[room[best].argmax()]])
 
 
+def logit_counts(docs: DataFrame, marks: DataFrame, model: Classifier) -> DataFrame:
+    """How many toxic and clean texts there are for each language and bin of logits.
+
+    ``docs`` has key and text, ``marks`` key and label. All labelled rows count; only keys, languages
+    and bins are shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
+        table = fitted.table()
+        for batch in batches:
+            for rows, block in T.sub_batches(batch, "text"):
+                texts = Texts.of(block)
+                place = np.floor(np.clip(fitted.logits(texts, table), -MOST, MOST) * BINS)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("key"), pa.array(texts.language.astype(np.int32)), pa.array(place.astype(np.int32))],
+                    names=["key", "language", "bin"])
+
+    kind = docs.select("key").schema[0].dataType.simpleString()
+    found = docs.select("key", "text").mapInArrow(run, f"key {kind}, language int, bin int")
+    return found.join(marks, "key").groupBy("language", "bin").agg(
+        F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"))
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
           toxic_rows: int = 1400, clean_rows: int = 2600) -> Classifier | float:
     """A classifier learnt from at most ``toxic_rows`` + ``clean_rows`` labelled rows, whole texts.
 
-    The rows are those of the least key hashes of each kind. A fifth of them, those of another
-    hash, sets the thresholds together with the rest, so that thresholds don't sit on rows learnt
-    by heart alone. Without both kinds the result is the share of toxic rows.
+    The rows are those of the least key hashes of each kind; a fifth of them is not learnt from. The
+    thresholds are set by all labelled rows of ``docs``, in the mix they have, from counts of their
+    logits. Without both kinds the result is the share of toxic rows.
     """
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label"))
     ranked = marks.withColumn("at", F.xxhash64(F.col("key"), F.lit(1)))
@@ -250,8 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     for value, limit in ((1, toxic_rows), (0, clean_rows)):
         part = ranked.where(F.col("label") == value).orderBy("at", "key").limit(limit)
         drawn = part if drawn is None else drawn.unionAll(part)
-    rows = (docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-            .join(F.broadcast(drawn), "key").select("label", "text", "at").toArrow().sort_by("at"))
+    whole = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = whole.join(F.broadcast(drawn), "key").select("label", "text", "at").toArrow().sort_by("at")
     kinds = np.array(rows.column("label").to_pylist(), np.int64)
     if len(set(kinds.tolist())) < 2:
         return float(kinds.mean()) if len(kinds) else 0.0
@@ -263,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if len(set(kinds[own].tolist())) < 2:
         own[:] = True
     model.fit(texts.part(np.flatnonzero(own)), kinds[own])
-    model.calibrate(texts, kinds)
+    model.calibrate(logit_counts(whole, marks, model).toArrow())
     return model
 
 

@@ -65,3 +65,15 @@ def test_pooling_stays_within_texts():
     values = np.arange(5, dtype=np.float32)[:, None] + 1
     best, has = toxicity._pooled(values, texts.bounds, 2)
     assert best[:, 0].tolist() == [2, 0, 0, 0, 5] and has.tolist() == [0, 4]
+
+
+def test_thresholds_count_all_labelled_rows(table):
+    # rows beyond the learnt ones in which a stem is clean more often than not
+    more = table.where("toxic = 1").crossJoin(table.sparkSession.range(1, 4)).select(
+        (F.col("doc_id") + 1000 * F.col("id")).alias("doc_id"), "text", F.lit(0).alias("toxic"))
+    rows = table.union(more)
+    model = toxicity.train(rows.drop("toxic"), rows.select("doc_id", "toxic"), toxic_rows=100, clean_rows=100)
+    got = toxicity.scored(rows.drop("toxic"), model).join(rows.select("doc_id", "toxic"), "doc_id").toPandas()
+    score, toxic = got.score.to_numpy(), got.toxic.to_numpy()
+    least = min(((score >= cut) != toxic).sum() for cut in [*np.unique(score), 2])
+    assert ((got.predicted != got.toxic).sum()) <= least + 2
