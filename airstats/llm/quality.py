@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -107,9 +108,11 @@ class Forest:
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     rows_per_tree: int
     threshold: float = float("inf")
+    columns: list[int] | None = None
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / usual path): towards 1 for rows that few splits set apart."""
+        x = x if self.columns is None else x[:, self.columns]
         total = np.zeros(len(x))
         for feature, value, left, path in self.trees:
             at = np.zeros(len(x), np.int64)
@@ -169,31 +172,62 @@ def scored(stats: DataFrame, forest: Forest) -> DataFrame:
     return stats.mapInArrow(run, schema)
 
 
+def _score_counts(marked: DataFrame, forests: list[Forest], bins: int) -> DataFrame:
+    """How many rows of quality 1 and of others each forest gives a score in each bin."""
+    shared = marked.sparkSession.sparkContext.broadcast(forests)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = features({s: batch.column(s).to_numpy(zero_copy_only=False) for s in STATS})
+            is_good = batch.column("quality").to_numpy(zero_copy_only=False) == 1
+            for number, forest in enumerate(shared.value):
+                found, at = np.unique(np.floor(forest.score(x) * bins).astype(np.int32), return_inverse=True)
+                good = np.bincount(at, is_good, len(found)).astype(np.int64)
+                bad = np.bincount(at, ~is_good, len(found)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), number, np.int32)), *map(pa.array, (found, good, bad))],
+                    names=["forest", "bin", "good", "bad"])
+
+    found = marked.select(*STATS, "quality").mapInArrow(run, "forest int, bin int, good long, bad long")
+    return found.groupBy("forest", "bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
 def fit(stats: DataFrame, labels: DataFrame, label_key: str = "doc_id", sample_rows: int = 8192,
         trees: int = 100, rows_per_tree: int = 256, max_clean_loss: float = 0.001, bins: int = 2000) -> Forest:
-    """Grow the forest on ``sample_rows`` rows that pass the base rules (those of the least key
-    hashes), then set its threshold from all labelled rows.
+    """Grow forests on ``sample_rows`` rows that pass the base rules (those of the least key
+    hashes), one for each set of features, then choose one and its threshold by all labelled rows.
 
-    The threshold is the least at which at most ``max_clean_loss`` of the rows of quality 1 are
-    rejected. It comes from counts of scores in ``bins`` bins, so the driver gets no rows.
+    That is the forest and threshold of best balanced accuracy among those that reject at most
+    ``max_clean_loss`` of the rows of quality 1; rare values of a feature that good rows have too
+    don't hide the bad ones that way. Equals go to more features, and to the middle of the equal
+    thresholds. It comes from counts of scores in ``bins`` bins, so the driver gets no rows.
     """
     passing = stats.where(~F.col("base_failed"))
     drawn = (passing.withColumn("at", F.xxhash64("key")).orderBy("at", *STATS).limit(sample_rows)
              .select(*STATS).toPandas())
-    forest = grow_forest(features({s: drawn[s].to_numpy() for s in STATS}), trees, rows_per_tree)
+    x = features({s: drawn[s].to_numpy() for s in STATS})
+    forests = []
+    for size in range(len(FEATURES), 0, -1):
+        for columns in map(list, combinations(range(len(FEATURES)), size)):
+            forests.append(grow_forest(x[:, columns], trees, rows_per_tree))
+            forests[-1].columns = columns
     marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col(label_key).alias("key")).agg(
         F.max("quality").alias("quality"))
-    counted = (scored(passing, forest).join(marks, "key")
-               .groupBy(F.floor(F.col("anomaly") * bins).cast("int").alias("bin"))
-               .agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"),
-                    F.sum((F.col("quality") != 1).cast("long")).alias("bad")).toPandas())
-    good, bad = np.zeros(bins + 2), np.zeros(bins + 2)
-    good[counted["bin"].to_numpy(int)] = counted["good"]
-    bad[counted["bin"].to_numpy(int)] = counted["bad"]
+    counted = _score_counts(passing.join(marks, "key"), forests, bins).toPandas()
+    good, bad = np.zeros((len(forests), bins + 2)), np.zeros((len(forests), bins + 2))
+    place = counted["forest"].to_numpy(int), counted["bin"].to_numpy(int)
+    good[place], bad[place] = counted["good"], counted["bad"]
+    chosen, most = forests[0], 0.0
     if good.sum() and bad.sum():
-        lost = np.cumsum(good[::-1])[::-1]  # rejected when the threshold is the lower edge of the bin
-        forest.threshold = float(np.flatnonzero(lost <= max_clean_loss * good.sum())[0]) / bins
-    return forest
+        for forest, of_good, of_bad in zip(forests, good, bad):
+            # rejected when the threshold is the lower edge of the bin
+            lost, caught = (np.cumsum(n[::-1])[::-1] / n.sum() for n in (of_good, of_bad))
+            gain = np.where(lost <= max_clean_loss, caught - lost, -1)
+            if gain.max() > most:
+                best = np.flatnonzero(gain == gain.max())
+                forest.threshold = float(best[len(best) // 2]) / bins
+                chosen, most = forest, gain.max()
+    return chosen
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -64,3 +64,11 @@ def test_without_labels_only_the_base_rules_reject(documents, spark):
 def test_empty_table(no_documents, spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     assert quality.judge(no_documents, labels).count() == 0
+
+
+def test_bad_rows_that_pass_the_base_rules(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.judge(docs, labels).join(labels, "doc_id").where("not base_failed").toPandas()
+    assert (got.quality == 0).sum() > 20
+    assert got[got.quality == 0].kept.mean() < 0.2
+    assert got[got.quality == 1].kept.mean() >= 0.999
