@@ -48,6 +48,7 @@ _BAD_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponso
                  "overlay share sharing social sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs "
                  "footer masthead topbar toolbar comment comments reply replies disqus related recommended "
                  "recommendations widget pagination pager login signin signup search skip hidden".split())
+_WHOLE = ("article", "main")
 _GOOD_NAMES = set("article content main post entry story".split())
 _NEUTRAL = set("has with no without".split())
 
@@ -71,7 +72,10 @@ class Page:
         return own
 
     def best(self) -> int:
-        """The container that one gets to by always going to a child with most of the text."""
+        """The container that one gets to by always going to a child with most of the text.
+
+        An article or main is not gone into: all its text belongs to it.
+        """
         weights = self.weights()
         children: list[list[int]] = [[] for _ in self.paths]
         for i, parent in enumerate(self.parents[1:], 1):
@@ -80,18 +84,22 @@ class Page:
         while True:
             heavy = [i for i in children[at] if 10 * weights[i] >= 7 * weights[at] and weights[i]]
             heavy += [i for i in children[at] if i not in heavy and weights[i]
-                      and self.tags[i] in ("article", "main") and 10 * weights[i] >= 4 * weights[at]]
+                      and self.tags[i] in _WHOLE and 10 * weights[i] >= 4 * weights[at]]
             if not heavy:
                 return chosen
             at = max(heavy, key=lambda i: weights[i])
             if self.tags[at] in _CHOSEN_FROM:
                 chosen = at
+            if self.tags[at] in _WHOLE:
+                return chosen
 
     def text(self, chosen: list[int]) -> str:
-        """Blocks inside the chosen containers, in page order."""
+        """Blocks inside the chosen containers, in page order; lists of links go unless an article has them."""
         inside = [False] * len(self.paths)
+        whole = [False] * len(self.paths)
         for i in range(len(inside)):
             inside[i] = i in chosen or (i > 0 and inside[self.parents[i]])
+            whole[i] = self.tags[i] in _WHOLE or (i > 0 and whole[self.parents[i]])
         lists: dict[int, list[int]] = {}
         for at, text, linked in self.blocks:
             owner = self._list_of(at)
@@ -100,7 +108,7 @@ class Page:
                 sums[0] += len(text)
                 sums[1] += linked
                 sums[2] += 1
-        menus = {i for i, (n, linked, k) in lists.items() if k > 1 and 10 * linked >= 9 * n}
+        menus = {i for i, (n, linked, k) in lists.items() if k > 1 and 10 * linked >= 9 * n and not whole[i]}
         return "\n\n".join(text for at, text, _ in self.blocks if inside[at] and self._list_of(at) not in menus)
 
     def _list_of(self, at: int) -> int | None:

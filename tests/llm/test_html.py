@@ -66,3 +66,23 @@ def test_given_pages(spark, sf_dir):
         inner = re.sub("<[^>]*>", "", re.sub("<br>", " ", re.sub("</?(p|h1)>", "\0", inner)))
         blocks = [" ".join(entities.unescape(b).split()) for b in inner.split("\0")]
         assert got[row["page_id"]]["text"] == "\n\n".join(filter(None, blocks))
+
+
+LONG = "text that goes on " * 20
+
+
+@pytest.mark.parametrize("inner, want", [
+    (f"<h1>Title</h1><p>lead</p><div class=body><p>{LONG}</p></div>", ["Title", "lead", LONG.strip()]),
+    (f"<section><p>{LONG}</p></section><section><p>second</p></section>", [LONG.strip(), "second"]),
+    (f"<p>{LONG}</p><ol><li><a href=/a>First source</a><li><a href=/b>Second source</a></ol>",
+     [LONG.strip(), "First source", "Second source"])])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_articles_are_whole(tag, inner, want):
+    page = f"<body><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul><{tag}>{inner}</{tag}><p>other</p></body>"
+    assert html.vote(page)[0].endswith(f"/{tag}")
+    assert html.main_text(page, [html.vote(page)[0]]) == "\n\n".join(want)
+
+
+def test_main_with_an_article_and_further_text():
+    page = f"<body><main><article><p>{LONG}</p></article><p>more {LONG}</p></main></body>"
+    assert html.main_text(page, []) == f"{LONG.strip()}\n\nmore {LONG.strip()}"
