@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from airstats.llm import chat, decontaminate, html, idfile, jaccard, katz, pieces, quality, suffix, toxicity
+from airstats.llm import (
+    chat, decontaminate, html, idfile, jaccard, katz, licenses, merkle, pieces, quality, spelling, suffix, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -87,3 +90,29 @@ def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.item_digest(found)
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.label_texts(licenses.scanned(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(spelling.lettered(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+
+    def folded(docs: DataFrame) -> dict:
+        tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+        text = F.when(tampered, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
+        return {"folded_leaf": merkle.row_digest(*[F.col(c) for c in columns[:-1]], text)}
+
+    found = merkle.manifest(table(spark, sf_dir, "documents"), columns, carry=folded)
+    root = merkle.proof_root(F.col("folded_leaf"), F.col("proof"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("proof")).cast("binary"), 256).alias("proof_sha256"),
+        root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
