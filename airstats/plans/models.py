@@ -8,7 +8,7 @@ from itertools import product
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     Normalizer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer,
 )
@@ -22,6 +22,7 @@ from airstats.operators.features import (
 )
 from airstats.operators.filters import clean_for_model
 from airstats.operators.split import CLASSES, stratified_split, with_balanced_weight
+from airstats.plans.boosting import LOCAL_ROWS, BoostedModel, Setting, boost
 from airstats.plans.scoring import score
 from airstats.storage import spread, stored
 
@@ -113,7 +114,7 @@ class Prepared:
 
     def whole(self, model: Transformer) -> PipelineModel:
         """Preprocessing and model as one, ready to be saved and to score feature tables."""
-        return PipelineModel([*self.preprocessing.stages, *_stages(model)])
+        return PipelineModel([*self.preprocessing.stages, *stages(model)])
 
 
 def prepare(df: DataFrame, key: str | Sequence[str], fit_on: str = "train",
@@ -135,7 +136,7 @@ def prepare(df: DataFrame, key: str | Sequence[str], fit_on: str = "train",
 
 # Models.
 
-def _stages(model: Transformer) -> list[Transformer]:
+def stages(model: Transformer) -> list[Transformer]:
     return list(model.stages) if isinstance(model, PipelineModel) else [model]
 
 
@@ -211,18 +212,11 @@ def fit_ovr_logistic(train: DataFrame, C: float = 1.0, max_iter: int = TUNING_IT
 
 def fit_boosted(train: DataFrame, n_estimators: int = BOOSTED["n_estimators"],
                 max_depth: int = BOOSTED["max_depth"],
-                learning_rate: float = BOOSTED["learning_rate"]) -> PipelineModel:
-    """Boosted trees per class with balanced weights; Spark boosts two classes at a time."""
-    def binary(c: int) -> Estimator:
-        columns = _binary_columns(c)
-        trees = GBTClassifier(
-            featuresCol=columns["featuresCol"], labelCol=columns["labelCol"], weightCol=WEIGHT,
-            predictionCol=columns["predictionCol"], maxIter=n_estimators, maxDepth=max_depth,
-            stepSize=learning_rate, seed=MODEL_SEED)
-        return trees.setRawPredictionCol(columns["rawPredictionCol"]).setProbabilityCol(
-            columns["probabilityCol"])
-
-    return _one_vs_rest(train, binary)
+                learning_rate: float = BOOSTED["learning_rate"], local_rows: int = LOCAL_ROWS) -> BoostedModel:
+    """Boosted trees on the joint softmax loss of all classes, with balanced weights."""
+    setting = Setting(max_depth, learning_rate)
+    fitted = boost(train, [setting], n_estimators, FEATURES, LABEL, WEIGHT, len(CLASSES), local_rows)
+    return fitted.model(setting, features=FEATURES)
 
 
 # Tuning.
@@ -255,6 +249,27 @@ class Tuned:
         return None if best is None else self.models[best.config]
 
 
+def _measured(config: int, params: Mapping, fitted: Callable[[], Model], test: DataFrame) -> tuple[DataFrame, Model | None]:
+    """A configuration's row of results, and its model if it could be had."""
+    labels = [F.lit(v).alias(k) for k, v in params.items()]
+    try:
+        model = fitted()
+        metrics = class_metrics(score(model, test), LABEL, "class")
+        row = metrics.select(F.lit(config).alias("config"), *labels, *metrics.columns,
+                             F.lit(None).cast("string").alias("error"))
+        return stored(row, "configuration"), model
+    except Exception as e:  # any failure of a fit or a score is reported, the search goes on
+        return test.sparkSession.range(1).select(
+            F.lit(config).alias("config"), *labels, F.lit(str(e)).alias("error")), None
+
+
+def _tuned(measured: Sequence[tuple[DataFrame, Model | None]]) -> Tuned:
+    results = measured[0][0]
+    for row, _ in measured[1:]:
+        results = results.unionByName(row, allowMissingColumns=True)
+    return Tuned(stored(results, "grid"), {i: m for i, (_, m) in enumerate(measured) if m is not None})
+
+
 def grid_fit(fit: Callable[..., Model], grid: Mapping[str, Sequence], train: DataFrame,
              test: DataFrame) -> Tuned:
     """Fit every configuration on the same vectors and measure it on ``test``.
@@ -262,23 +277,23 @@ def grid_fit(fit: Callable[..., Model], grid: Mapping[str, Sequence], train: Dat
     ``test`` may be a validation part, or the test rows themselves for figures comparable with
     published ones. A configuration that fails gets a row with its error and no figures.
     """
-    rows, models = [], {}
-    for i, params in enumerate(param_grid(grid)):
-        labels = [F.lit(v).alias(k) for k, v in params.items()]
-        try:
-            models[i] = fit(train, **params)
-            metrics = class_metrics(score(models[i], test), LABEL, "class")
-            row = metrics.select(F.lit(i).alias("config"), *labels, *metrics.columns,
-                                 F.lit(None).cast("string").alias("error"))
-            rows.append(stored(row, "configuration"))
-        except Exception as e:  # any failure of a fit or a score is reported, the search goes on
-            models.pop(i, None)
-            rows.append(train.sparkSession.range(1).select(
-                F.lit(i).alias("config"), *labels, F.lit(str(e)).alias("error")))
-    results = rows[0]
-    for row in rows[1:]:
-        results = results.unionByName(row, allowMissingColumns=True)
-    return Tuned(stored(results, "grid"), models)
+    return _tuned([_measured(i, params, lambda params=params: fit(train, **params), test)
+                   for i, params in enumerate(param_grid(grid))])
+
+
+def boosted_grid_fit(train: DataFrame, test: DataFrame, grid: Mapping[str, Sequence] = BOOSTED_GRID) -> Tuned:
+    """As ``grid_fit`` for boosted trees, in one boosting run.
+
+    Configurations that differ in the number of trees only are prefixes of one model, and all depths
+    and learning rates are boosted side by side over the same bins, a job for the trees of a round.
+    """
+    setting = lambda p: Setting(p["max_depth"], p["learning_rate"])
+    configs = param_grid(grid)
+    settings = sorted({setting(p) for p in configs})
+    fitted = boost(train, settings, max(grid["n_estimators"]), FEATURES, LABEL, WEIGHT, len(CLASSES))
+    return _tuned([
+        _measured(i, p, lambda p=p: fitted.model(setting(p), p["n_estimators"], FEATURES), test)
+        for i, p in enumerate(configs)])
 
 
 # Reading models.
@@ -291,9 +306,8 @@ def feature_names(vectors: DataFrame) -> list[str]:
 
 
 def importances(model: Transformer, vectors: DataFrame, k: int = IMPORTANCES) -> DataFrame:
-    """The ``k`` features that weigh most, averaged over the trees of all classes."""
-    parts = [m.featureImportances.toArray() for m in _stages(model) if hasattr(m, "featureImportances")]
-    mean = sum(parts) / len(parts)
+    """The ``k`` features that weigh most, by the mean gain of their splits."""
+    mean = next(m.featureImportances for m in stages(model) if hasattr(m, "featureImportances"))
     spark = vectors.sparkSession
     table = spark.createDataFrame(
         [(n, float(v)) for n, v in zip(feature_names(vectors), mean)], "feature string, importance double")
