@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -10,16 +13,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airstats.binding import KEY, flights
 from airstats.catalog.registry import query
-from airstats.catalog.relational import _FEATURES_BASE, _FEATURES_SQL, _with_total
+from airstats.catalog.relational import _FEATURES_BASE, _FEATURES_SQL, _level, _with_total
 from airstats.operators.evaluate import class_report, regression_report
 from airstats.operators.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES, build_features
-from airstats.plans import models, scoring, service
-from airstats.storage import scratch_path
+from airstats.operators.split import CLASSES, with_balanced_weight
+from airstats.plans import boosting, models, scoring, service
+from airstats.storage import scratch_path, stored
 from airstats.streaming.scoring import score_stream, write_scores
 
-# Trees, depth and grid of the registered queries are small, the library's defaults are not.
-TREES = {"n_estimators": 4, "max_depth": 4, "learning_rate": 0.1}
-TREE_GRID = {"learning_rate": (0.05, 0.1), "max_depth": (3,), "n_estimators": (2, 4)}
+T = TypeVar("T")
+_DONE: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, sf: str, make: Callable[[SparkSession, str], T]) -> T:
+    """What ``make`` returned for this session and folder: models that several queries read are fitted once."""
+    place = (spark.sparkContext.applicationId, sf, make.__name__)
+    if place not in _DONE:
+        _DONE[place] = make(spark, sf)
+    return _DONE[place]
 
 
 def prepared(spark: SparkSession, sf: str) -> models.Prepared:
@@ -27,6 +38,11 @@ def prepared(spark: SparkSession, sf: str) -> models.Prepared:
     return models.prepare(flights(spark, sf), KEY)
 
 
+def boosted(spark: SparkSession, sf: str) -> tuple[models.Prepared, models.BoostedModel]:
+    p = prepared(spark, sf)
+    return p, models.fit_boosted(p.train)
+
+
 @query("f9_one_hot", _FEATURES_SQL + "---" + " UNION ALL ".join(
     f"SELECT concat('{c}_', cast({c} AS varchar)) AS feature, count(*) AS n FROM features GROUP BY 1"
     for c in CATEGORICAL_FEATURES))
@@ -95,8 +111,60 @@ def fit_ovr_logistic(spark, sf):
 
 @query("m5_fit_boosted")
 def fit_boosted(spark, sf):
-    p = prepared(spark, sf)
-    return class_report(scoring.score(models.fit_boosted(p.train, **TREES), p.test), models.LABEL, "class")
+    p, model = once(spark, sf, boosted)
+    return class_report(scoring.score(model, p.test), models.LABEL, "class")
+
+
+# Root splits of the first tree of each class: sums of gradient and Hessian left of every cut. All classes are
+# equally likely before the first tree, so the gradient is 1/4 less 1 for the own class, times the balanced weight.
+_NUMBERS = ", ".join(NUMERIC_FEATURES)
+_FIRST_SPLITS = _FEATURES_SQL + f""",
+  sizes AS (SELECT delay_level, count(*) AS n FROM features GROUP BY 1),
+  weighed AS (SELECT f.*, (SELECT count(*) FROM features) / ((SELECT count(*) FROM sizes) * cast(s.n AS double)) AS w
+    FROM features f JOIN sizes s ON s.delay_level = f.delay_level),
+  graded AS (SELECT {_NUMBERS}, {", ".join(CATEGORICAL_FEATURES)},
+    round_even(0.375 * w * 1048576, 0) / 1048576 AS h, {", ".join(
+        f"round_even((0.25 - CASE WHEN delay_level = {c} THEN 1 ELSE 0 END) * w * 1048576, 0) / 1048576 AS g{c}" for c in range(4))}
+    FROM weighed),
+  whole AS (SELECT sum(h) AS h, {", ".join(f"sum(g{c}) AS g{c}" for c in range(4))} FROM graded),
+  cells AS ({" UNION ALL ".join(
+      f"SELECT {i} AS place, '{c}' AS feature, cast({c} AS double) AS x, count(*) AS n, sum(h) AS h, "
+      + ", ".join(f"sum(g{k}) AS g{k}" for k in range(4)) + f" FROM graded GROUP BY {c}"
+      for i, c in enumerate(NUMERIC_FEATURES))}),
+  ranked AS (SELECT *, sum(n) OVER (PARTITION BY feature ORDER BY x) AS upto, sum(n) OVER (PARTITION BY feature) AS total,
+    max(x) OVER (PARTITION BY feature) AS most, sum(h) OVER (PARTITION BY feature ORDER BY x) AS hl,
+    {", ".join(f"sum(g{k}) OVER (PARTITION BY feature ORDER BY x) AS gl{k}" for k in range(4))} FROM cells),
+  cuts AS (SELECT DISTINCT place, feature, x AS threshold, hl, gl0, gl1, gl2, gl3 FROM ranked, range(1, 256) s(i)
+      WHERE x < most AND upto >= ceil(i / 256.0 * total) AND upto - n < ceil(i / 256.0 * total)
+    UNION ALL SELECT place, feature, 0.5, t.h - c.h, t.g0 - c.g0, t.g1 - c.g1, t.g2 - c.g2, t.g3 - c.g3 FROM whole t, (
+      {" UNION ALL ".join(
+          f"SELECT {10 + i} AS place, concat('{c}_', coalesce(cast({c} AS varchar), 'nan')) AS feature, sum(h) AS h, "
+          + ", ".join(f"sum(g{k}) AS g{k}" for k in range(4)) + f" FROM graded GROUP BY {c}"
+          for i, c in enumerate(CATEGORICAL_FEATURES))}) c),
+  sides AS (SELECT k, place, feature, threshold, c.hl AS hl, t.h - c.hl AS hr, t.h AS h,
+      CASE k WHEN 0 THEN gl0 WHEN 1 THEN gl1 WHEN 2 THEN gl2 ELSE gl3 END AS gl,
+      CASE k WHEN 0 THEN t.g0 WHEN 1 THEN t.g1 WHEN 2 THEN t.g2 ELSE t.g3 END AS g
+    FROM cuts c, whole t, range(4) s(k)),
+  gains AS (SELECT *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (hr + 1) - g * g / (h + 1) AS gain FROM sides
+    WHERE hl >= 1 AND hr >= 1)
+  --- SELECT cast(k AS int) AS class, feature, threshold, round(gain, 3) AS gain FROM (
+    SELECT *, row_number() OVER (PARTITION BY k ORDER BY gain DESC, place, feature, threshold) AS r FROM gains) WHERE r = 1"""
+
+
+@query("m5_first_splits", _FIRST_SPLITS)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature and threshold on which the first tree of each class splits, over unscaled features."""
+    rows = build_features(flights(spark, sf), fit_on="all")
+    hot = models.encoder().fit(rows).transform(rows)
+    vectors = VectorAssembler(
+        inputCols=[*NUMERIC_FEATURES, *[f"{c}_hot" for c in CATEGORICAL_FEATURES]], outputCol=models.FEATURES).transform(hot)
+    train = with_balanced_weight(vectors, models.LABEL)
+    names, stump = models.feature_names(vectors), boosting.Setting(1, 1.0)
+    fitted = boosting.boost(stored(train.select(models.FEATURES, models.LABEL, models.WEIGHT), "vectors"), [stump], 1,
+                            models.FEATURES, models.LABEL, models.WEIGHT, 4)
+    roots = [(c, *fitted.bins.split(int(tree.cell[0])), float(tree.gain[0])) for c, tree in enumerate(fitted.rounds[stump][0])]
+    return spark.createDataFrame([(c, names[place], threshold, round(gain, 3)) for c, place, threshold, gain in roots],
+                                 "class int, feature string, threshold double, gain double")
 
 
 @query("m7_tune_logistic")
@@ -105,43 +173,85 @@ def tune_logistic(spark, sf):
     return models.grid_fit(models.fit_logistic_by, models.LOGISTIC_GRID, p.train, p.test).results
 
 
+def boosted_grid(spark: SparkSession, sf: str) -> models.Tuned:
+    p = prepared(spark, sf)
+    return models.boosted_grid_fit(p.train, p.test)
+
+
 @query("m8_tune_boosted")
 def tune_boosted(spark, sf):
-    p = prepared(spark, sf)
-    return models.grid_fit(models.fit_boosted, TREE_GRID, p.train, p.test).results
+    return once(spark, sf, boosted_grid).results
+
+
+# Test rows of each class: ceil(0.2 n) shared out by largest remainder, as the split does.
+_TEST_CLASSES = _FEATURES_BASE + f""",
+  levels AS (SELECT {_level('total_delay')} AS delay_level, cast(count(*) AS hugeint) AS n FROM base GROUP BY 1),
+  wanted AS (SELECT *, cast(ceil(0.2 * sum(n) OVER ()) AS hugeint) AS wanted, cast(sum(n) OVER () AS hugeint) AS total FROM levels),
+  shared AS (SELECT *, (n * wanted) // total AS own, (n * wanted) % total AS rest FROM wanted),
+  quotas AS (SELECT delay_level, cast(own + CASE WHEN row_number() OVER (ORDER BY rest DESC, delay_level)
+    <= wanted - sum(own) OVER () THEN 1 ELSE 0 END AS bigint) AS quota FROM shared)"""
+
+
+@query("m8_grid_rows", _TEST_CLASSES + """--- SELECT cast(row_number() OVER (ORDER BY learning_rate, max_depth, n_estimators) - 1 AS int) AS config,
+    learning_rate, max_depth, n_estimators, true AS fitted, true AS figures_fit, """ + ", ".join(
+    f"(SELECT quota FROM quotas WHERE delay_level = {c}) AS support_{c}" for c in range(4)) + """
+  FROM (VALUES (cast(0.05 AS double)), (0.1)) r(learning_rate), (VALUES (3), (6), (9)) d(max_depth), (VALUES (100), (200), (300)) e(n_estimators)""")
+def _(spark, sf):
+    """Which configurations there are, that all could be fitted, and that their figures are shares of the test rows."""
+    results = once(spark, sf, boosted_grid).results
+    right = sum((F.col(f"recall_{c}") * F.col(f"support_{c}") for c in CLASSES), F.lit(0.0)) / F.col("support")
+    return results.select(
+        "config", "learning_rate", "max_depth", "n_estimators", F.col("error").isNull().alias("fitted"),
+        (F.abs(right - F.col("accuracy")) < 1e-9).alias("figures_fit"), *[f"support_{c}" for c in CLASSES])
+
+
+@query("m9_select_refit", _FEATURES_BASE + """,
+  parts AS (SELECT count(*) AS n, cast(ceil(count(*) * 0.2) AS bigint) AS test, cast(ceil(count(*) * 0.36) AS bigint) AS held FROM base)
+  --- SELECT cast(10 AS bigint) AS configs, cast(0 AS bigint) AS failed, true AS best_chosen, n - held AS train, held - test AS validation, test,
+  cast(0 AS bigint) AS different FROM parts""")
+def _(spark, sf):
+    """Sizes of the three parts, and that the best configuration was refitted and saved and scores alike when loaded."""
+    path = scratch_path(spark, "selected")
+    chosen = models.select_and_refit(flights(spark, sf), KEY, models.fit_logistic_by, models.LOGISTIC_GRID, path)
+    results = chosen.results.selectExpr(
+        "count(*) AS configs", "count(error) AS failed",
+        f"min(struct(-recall_3, config)).config = {chosen.config} AS best_chosen")
+    parts = chosen.rows.agg(*[F.count_if(F.col("split") == p).alias(p) for p in ("train", "validation", "test")])
+    scored = (scoring.score(m, chosen.test_rows) for m in (chosen.model, scoring.load_model(path)))
+    return results.crossJoin(parts).crossJoin(_differences(*scored).select("different"))
 
 
 @query("m11_importances")
 def _(spark, sf):
-    p = prepared(spark, sf)
-    return models.importances(models.fit_boosted(p.train, **TREES), p.train)
+    p, model = once(spark, sf, boosted)
+    return models.importances(model, p.train)
 
 
-def _saved(spark: SparkSession, sf: str) -> tuple[models.Prepared, dict[str, tuple[str, str]]]:
-    p = prepared(spark, sf)
+def saved(spark: SparkSession, sf: str) -> tuple[models.Prepared, dict[str, tuple[str, str]]]:
+    """Three models, saved; the last one is the only one that was fitted before."""
+    p, trees = once(spark, sf, boosted)
     folder = scratch_path(spark, "models")
     fitted = {
         "Linear Regression": (models.fit_linear(p.train), scoring.REGRESSION),
         "Logistic Regression": (models.fit_logistic(p.train), scoring.CLASSIFICATION),
+        "Boosted Trees": (trees, scoring.CLASSIFICATION),
     }
     paths = {}
     for name, (model, kind) in fitted.items():
         paths[name] = (f"{folder}/{name.replace(' ', '-')}", kind)
         scoring.save_model(p.whole(model), paths[name][0])
-    # A model that was never saved is left out of the comparison.
-    paths["Boosted Trees"] = (f"{folder}/Boosted-Trees", scoring.CLASSIFICATION)
     return p, paths
 
 
 @query("m14_compare_models")
 def _(spark, sf):
-    p, paths = _saved(spark, sf)
+    p, paths = once(spark, sf, saved)
     return scoring.compare_models(paths, p.test_rows)
 
 
 @query("m14_confusions")
 def _(spark, sf):
-    p, paths = _saved(spark, sf)
+    p, paths = once(spark, sf, saved)
     return scoring.confusions(paths, p.test_rows)
 
 
@@ -169,30 +279,33 @@ def _(spark, sf):
 @query("m15_score")
 def score(spark, sf):
     p = prepared(spark, sf)
-    scored = scoring.score(p.whole(models.fit_logistic(p.train)), p.test_rows)
+    scored = scoring.score(p.whole(models.fit_logistic(p.train)), p.rows)
     return scoring.with_text(scored).select(KEY, "class", "prob", "class_text", "percent")
 
 
 @query("m15_score_requests")
 def score_requests(spark, sf):
     df = flights(spark, sf)
-    fitted = service.fit_service(_with_total(df), **TREES)
+    fitted = service.fit_service(_with_total(df))
     return service.score_requests(fitted, service.requests(df), [KEY])
 
 
-@query("m16_score_stream", _TEST_SIZE)
+_ALL_ROWS = _FEATURES_BASE + "--- SELECT count(*) AS n, cast(0 AS bigint) AS different FROM base"
+
+
+@query("m16_score_stream", _ALL_ROWS)
 def scored_stream(spark, sf):
     p = prepared(spark, sf)
     model = p.whole(models.fit_ovr_logistic(p.train))
     src, dst, state = (scratch_path(spark, n) for n in ("requests", "scores", "progress"))
-    p.test_rows.write.parquet(src)
-    stream = spark.readStream.schema(p.test_rows.schema).parquet(src)
+    p.rows.write.parquet(src)
+    stream = spark.readStream.schema(p.rows.schema).parquet(src)
     write_scores(score_stream(model, stream), dst, state).awaitTermination()
-    return _differences(scoring.score(model, p.test_rows), spark.read.parquet(dst))
+    return _differences(scoring.score(model, p.rows), spark.read.parquet(dst))
 
 
 @query("m18_expected_delay")
 def _(spark, sf):
     p = prepared(spark, sf)
     whole: PipelineModel = p.whole(models.fit_linear(p.train))
-    return scoring.expected_delay(whole, p.test_rows).select(KEY, "minutes", "class")
+    return scoring.expected_delay(whole, p.rows).select(KEY, "minutes", "class")

@@ -23,7 +23,7 @@ SERVING_FEATURES = (
     "MONTH", "DAY_OF_WEEK", "HOUR", "TIME_OF_DAY", "ROUTE_COUNT", "CRS_ELAPSED_TIME",
     "TE_OP_CARRIER", "TE_ORIGIN", "TE_DEST",
 )
-TRAIN, TEST = "train", "test"
+TRAIN, TEST, VALIDATION = "train", "test", "validation"
 
 
 def _number(df: DataFrame, col: str) -> Column:
@@ -187,7 +187,7 @@ def serving_features(df: DataFrame, maps: Mapping[str, DataFrame],
 
 __all__ = [
     "CATEGORICAL_FEATURES", "ENCODED_COLUMNS", "NUMERIC_FEATURES", "OTHER", "SERVING_FEATURES",
-    "TEST", "TRAIN", "apply_encoding", "build_features", "route_count", "route_risk",
+    "TEST", "TRAIN", "VALIDATION", "apply_encoding", "build_features", "route_count", "route_risk",
     "route_totals", "serving_features", "standard_stats", "standardise", "target_encoding",
     "target_encodings",
     "with_grouped_ends", "with_route_risk", "with_targets", "with_time_features",

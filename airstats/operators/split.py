@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airstats.functions import hash52, key_text, uniform
-from airstats.operators.features import TEST, TRAIN
+from airstats.operators.features import TEST, TRAIN, VALIDATION
 from airstats.storage import stored
 
 # Fixed values.
@@ -44,68 +45,90 @@ def class_quotas(counts: DataFrame, label: str, test: float = TEST_SHARE) -> Dat
 
 
 def stratified_split(df: DataFrame, label: str, key: str | Sequence[str], test: float = TEST_SHARE,
-                     seed: int = SPLIT_SEED, exact: bool = True) -> DataFrame:
-    """Add ``split``: test or train, decided by a hash of the row's unique key.
+                     seed: int = SPLIT_SEED, exact: bool = True, validation: float = 0.0) -> DataFrame:
+    """Add ``split``: test, validation (if a share is given for it) or train, decided by a hash of the
+    row's unique key. The test rows are the same with and without a validation part.
 
-    ``exact=False`` compares the hash with ``test`` row by row, class sizes are then only close.
+    ``exact=False`` compares the hash with the shares row by row, class sizes are then only close.
 
     ``exact=True`` gives every class its quota without shuffling the rows, however unequal the
     classes are: counters per class and leading hash bits show in which bin of hashes a class
     fills up, further bits divide a bin of many rows, the few keys left are ranked to find the last
-    one in, and the rows are then compared with that one. Should a key have copies, all of them go where the first one goes.
+    one in, and the rows are then compared with that one; all parts come from the same counters.
+    Should a key have copies, all of them go where the first one goes.
     """
     text = key_text(key)
+    # a part's share with those of the parts before it
+    shares = {TEST: test} | ({VALIDATION: test + validation} if validation else {})
     if not exact:
-        inside = uniform(hash52(text, seed)) < test
-        return df.withColumn("split", F.when(inside, TEST).otherwise(TRAIN))
+        drawn = uniform(hash52(text, seed))
+        return df.withColumn("split", _first([(drawn < share, part) for part, share in shares.items()]))
 
     drawn = df.withColumns({"_hash": hash52(text, seed), "_key": text})
     keys = drawn.select(label, "_hash", "_key")
     bits = min(_BIN_BITS, _HASH_BITS)
     bins = _counted(keys, label, bits)
-    quotas = class_quotas(bins.groupBy(label).agg(F.sum("_n").alias("n")), label, test)
-    edges = _edges(bins, quotas.withColumnRenamed("quota", "_wanted"), label)
+    sizes = bins.groupBy(label).agg(F.sum("_n").alias("n"))
+    quotas = [class_quotas(sizes, label, share).select(label, F.lit(part).alias("_part"), F.col("quota").alias("_wanted"))
+              for part, share in shares.items()]
+    edges = _edges(bins, reduce(DataFrame.union, quotas), label)
     while bits < _HASH_BITS and (edges.agg(F.max("_n")).head()[0] or 0) > _EDGE_ROWS:
         narrowed = _at_edge(keys, edges, label, bits)
         bits = min(bits + _BIN_BITS, _HASH_BITS)
-        edges = _edges(_counted(narrowed, label, bits), edges.select(label, F.col("_left").alias("_wanted")), label)
+        edges = _edges(_counted(narrowed, label, bits), edges.select(label, "_part", F.col("_left").alias("_wanted")), label)
     # Copies of a key are added up before they meet; they stay on one side of the split.
-    at_edge = _at_edge(keys, edges, label, bits).groupBy(label, "_hash", "_key").agg(
+    at_edge = _at_edge(keys, edges, label, bits).groupBy(label, "_part", "_hash", "_key").agg(
         F.count("*").alias("_n"), F.max("_left").alias("_left"))
-    reached = F.sum("_n").over(Window.partitionBy(label).orderBy("_hash", "_key"))
-    last_in = stored(
-        at_edge.withColumn("_reached", reached)
-        .where((F.col("_reached") >= F.col("_left")) & (F.col("_reached") - F.col("_n") < F.col("_left")))
-        .select(label, F.col("_hash").alias("_last_hash"), F.col("_key").alias("_last_key")),
-        "split-last",
-    )
-    inside = (F.col("_hash") < F.col("_last_hash")) | (
-        (F.col("_hash") == F.col("_last_hash")) & (F.col("_key") <= F.col("_last_key")))
+    reached = F.sum("_n").over(Window.partitionBy(label, "_part").orderBy("_hash", "_key"))
+    last_in = at_edge.withColumn("_reached", reached).where(
+        (F.col("_reached") >= F.col("_left")) & (F.col("_reached") - F.col("_n") < F.col("_left")))
+    place = F.struct("_hash", "_key")
+    last_in = stored(last_in.groupBy(label).agg(
+        *[F.max(F.when(F.col("_part") == part, place)).alias(f"_last_{part}") for part in shares]), "split-last")
+
+    def inside(part: str) -> Column:
+        last = F.col(f"_last_{part}")
+        return (F.col("_hash") < last["_hash"]) | ((F.col("_hash") == last["_hash"]) & (F.col("_key") <= last["_key"]))
+
     return (
         drawn.join(last_in, label, "left")
-        .withColumn("split", F.when(inside, TEST).otherwise(TRAIN))
+        .withColumn("split", _first([(inside(part), part) for part in shares]))
         .select(*df.columns, "split")
     )
 
 
+def _first(cases: Sequence[tuple[Column, str]]) -> Column:
+    """The part of the first condition that holds, else train."""
+    out = F.lit(TRAIN)
+    for holds, part in reversed(cases):
+        out = F.when(holds, part).otherwise(out)
+    return out
+
+
+def _by(df: DataFrame, label: str) -> list[str]:
+    """Class, and the part whose edge is looked for once parts are told apart."""
+    return [label, "_part"] if "_part" in df.columns else [label]
+
+
 def _counted(keys: DataFrame, label: str, bits: int) -> DataFrame:
     """Rows per class and leading bits of the hash, a written table."""
-    bins = keys.groupBy(label, F.shiftright("_hash", _HASH_BITS - bits).alias("_bin"))
+    bins = keys.groupBy(*_by(keys, label), F.shiftright("_hash", _HASH_BITS - bits).alias("_bin"))
     return stored(bins.agg(F.count("*").alias("_n")), "split-bins")
 
 
 def _edges(bins: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
-    """The bin in which each class reaches the rows wanted, its rows, and how many of them get in."""
-    before = F.sum("_n").over(Window.partitionBy(label).orderBy("_bin")) - F.col("_n")
+    """The bin in which each class reaches the rows wanted for a part, its rows, and how many of them get in."""
+    by = _by(bins, label)
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_bin")) - F.col("_n")
     return stored(
-        bins.withColumn("_before", before).join(wanted, label)
+        bins.withColumn("_before", before).join(wanted, by)
         .where((F.col("_before") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_before") + F.col("_n")))
-        .select(label, F.col("_bin").alias("_edge"), "_n", (F.col("_wanted") - F.col("_before")).alias("_left")),
+        .select(label, "_part", F.col("_bin").alias("_edge"), "_n", (F.col("_wanted") - F.col("_before")).alias("_left")),
         "split-edges")
 
 
 def _at_edge(keys: DataFrame, edges: DataFrame, label: str, bits: int) -> DataFrame:
-    """Keys whose hash begins with the bits of their class's bin."""
+    """Keys whose hash begins with the bits of a bin at an edge of their class."""
     return keys.join(edges.drop("_n"), label).where(F.shiftright("_hash", _HASH_BITS - bits) == F.col("_edge"))
 
 

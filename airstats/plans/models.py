@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
+from typing import NamedTuple
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
@@ -18,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from airstats.functions import key_text
 from airstats.operators.evaluate import class_metrics, select_best
 from airstats.operators.features import (
-    CATEGORICAL_FEATURES, NUMERIC_FEATURES, TEST, TRAIN, build_features, standard_stats, with_targets,
+    CATEGORICAL_FEATURES, NUMERIC_FEATURES, TEST, TRAIN, VALIDATION, build_features, standard_stats, with_targets,
 )
 from airstats.operators.filters import clean_for_model
 from airstats.operators.split import CLASSES, stratified_split, with_balanced_weight
 from airstats.plans.boosting import LOCAL_ROWS, BoostedModel, Setting, boost
-from airstats.plans.scoring import score
+from airstats.plans.scoring import save_model, score
 from airstats.storage import spread, stored
 
 # Settings and grids of the models; a grid's last parameter varies fastest.
@@ -34,6 +35,7 @@ LOGISTIC_GRID = {"C": (0.01, 0.1, 1, 10, 100), "solver": ("lbfgs", "liblinear")}
 BOOSTED_GRID = {"learning_rate": (0.05, 0.1), "max_depth": (3, 6, 9), "n_estimators": (100, 200, 300)}
 MODEL_SEED = 42
 IMPORTANCES = 10
+VALIDATION_SHARE = 0.16  # a fifth of what the test part leaves
 
 JOINT_KEY = "flight_key"
 LABEL, TARGET, FEATURES, WEIGHT = "delay_level", "total_delay", "features", "weight"
@@ -94,7 +96,7 @@ def fit_preprocessing(train: DataFrame, nums: Sequence[str] = NUMERIC_FEATURES,
 
 
 class Prepared:
-    """Training and test rows as written vector tables, with the fitted preprocessing.
+    """Training, validation and test rows as written vector tables, with the preprocessing fitted on training rows.
 
     Every later fit reads the written vectors: neither features nor vectors are computed twice,
     and a lost executor costs a re-read.
@@ -111,6 +113,7 @@ class Prepared:
         vectors = stored(with_balanced_weight(vectors, LABEL, fit_on=train), "vectors")
         self.train = vectors.where(F.col(split) == TRAIN).drop(split)
         self.test = vectors.where(F.col(split) == TEST).drop(split)
+        self.validation = vectors.where(F.col(split) == VALIDATION).drop(split)
 
     def whole(self, model: Transformer) -> PipelineModel:
         """Preprocessing and model as one, ready to be saved and to score feature tables."""
@@ -125,12 +128,23 @@ def prepare(df: DataFrame, key: str | Sequence[str], fit_on: str = "train",
     too; ``"train"`` does not let the test rows leak into the features. ``on_null_delay="zero"``
     counts an unknown delay as none instead of leaving the row out.
     """
+    rows, key = divided(df, key, on_null_delay)
+    return encoded(rows, key, fit_on, on_null_number)
+
+
+def divided(df: DataFrame, key: str | Sequence[str], on_null_delay: str = "drop",
+            validation: float = 0.0) -> tuple[DataFrame, str]:
+    """Cleaned flights with ``split``, and the name of their key."""
     if not isinstance(key, str):
         df, key = df.withColumn(JOINT_KEY, key_text(key)), JOINT_KEY
     # The narrow cleaned rows are read four more times: written once, however they came about.
     cleaned = stored(with_targets(clean_for_model(df, on_null_delay, [key])), "cleaned")
-    split = stratified_split(cleaned, LABEL, key)
-    features = build_features(split, [key], fit_on=fit_on, split_col="split")
+    return stratified_split(cleaned, LABEL, key, validation=validation), key
+
+
+def encoded(rows: DataFrame, key: str, fit_on: str = "train", on_null_number: str = "impute") -> Prepared:
+    """Divided rows with features and vectors, everything learnt from the training rows."""
+    features = build_features(rows, [key], fit_on=fit_on, split_col="split")
     return Prepared(features, keep=[key], on_null_number=on_null_number)
 
 
@@ -296,6 +310,41 @@ def boosted_grid_fit(train: DataFrame, test: DataFrame, grid: Mapping[str, Seque
         for i, p in enumerate(configs)])
 
 
+class Selected(NamedTuple):
+    """Results of all configurations on the validation part, the best one's number and parameters, and its
+    model fitted anew on training and validation rows, with the rows that it was not shown."""
+
+    results: DataFrame
+    config: int
+    params: dict
+    model: PipelineModel
+    rows: DataFrame
+    test_rows: DataFrame
+
+
+def select_and_refit(df: DataFrame, key: str | Sequence[str], fit: Callable[..., Model], grid: Mapping[str, Sequence],
+                     path: str, validation: float = VALIDATION_SHARE) -> Selected:
+    """Tune on a validation part, fit the best configuration anew on training and validation rows, and save
+    it with its preprocessing at ``path``.
+
+    No choice sees the test rows. Preprocessing is learnt from training rows for the search, and
+    from training and validation rows for the model that is kept.
+    """
+    rows, key = divided(df, key, validation=validation)
+    rows = stored(rows, "divided")
+    search = encoded(rows, key)
+    tuned = grid_fit(fit, grid, search.train, search.validation)
+    best = select_best(tuned.results).select("config").head()
+    if best is None:
+        raise ValueError("no configuration could be fitted")
+    params = param_grid(grid)[best.config]
+    learnt = F.when(F.col("split") == TEST, TEST).otherwise(TRAIN)
+    final = encoded(rows.withColumn("split", learnt), key)
+    model = final.whole(fit(final.train, **params))
+    save_model(model, path)
+    return Selected(tuned.results, best.config, params, model, rows, final.test_rows)
+
+
 # Reading models.
 
 def feature_names(vectors: DataFrame) -> list[str]:
