@@ -13,7 +13,7 @@ from airstats.plans.sampling import draw, with_strata
 from airstats.schema import FLIGHT_SCHEMA
 from airstats.sources import csv, parquet
 from airstats.storage import scratch_path
-from airstats.streaming.ingest import stream_ingest
+from airstats.streaming.ingest import FLIGHT_KEY, stream_ingest
 
 _RAW = [f.name.lower() for f in FLIGHT_SCHEMA.fields]
 
@@ -90,6 +90,47 @@ def stream_load(spark, sf):
         F.count("*").alias("n"), F.sum(F.col("ARR_DELAY").cast("double")).alias("delay"))
 
 
+# A number that cannot be read rejects its line, an end that is missing drops it.
+_OUTCOMES = """outcomes AS (SELECT flight_id, cast(substr(fl_date, 1, 4) AS int) AS year, CASE WHEN flight_id % 10 = 7 THEN 'rejected'
+  WHEN origin IS NULL OR dest IS NULL THEN 'dropped' ELSE 'loaded' END AS outcome FROM flights)"""
+
+
+@query("s3_load_balance", _OUTCOMES + """--- SELECT 'all' AS years, outcome, count(*) AS n, CASE WHEN outcome <> 'loaded' THEN count(*) END AS held
+  FROM outcomes GROUP BY 2 UNION ALL SELECT 'one', CASE WHEN outcome = 'loaded' AND year <> (SELECT min(year) FROM outcomes
+    WHERE outcome = 'loaded') THEN 'other_year' ELSE outcome END AS what, count(*), CASE WHEN what IN ('rejected', 'dropped') THEN count(*) END
+  FROM outcomes GROUP BY 2""")
+def _(spark, sf):
+    """What became of every line of a load of all years and of one, and the lines kept in quarantine."""
+    src, out = raw_csv(spark, sf, broken_numbers=True), None
+    years = sorted(_all_years(spark, src))
+    for name, wanted in (("all", years), ("one", years[:1])):
+        held = scratch_path(spark, "quarantine")
+        done = parquet.load(spark, src, scratch_path(spark, "years"), wanted, quarantine=held)
+        kept = spark.read.parquet(held).groupBy("outcome").agg(F.count("*").alias("held"))
+        rows = spark.createDataFrame([(name, k, n) for k, n in done.counts.items() if k != "lines" and n],
+                                     "years string, outcome string, n long").join(kept, "outcome", "left")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("s4_stream_balance", _OUTCOMES + """--- SELECT outcome, 2 * count(*) AS lines,
+  CASE WHEN outcome = 'loaded' THEN count(*) ELSE 2 * count(*) END AS kept FROM outcomes GROUP BY 1""")
+def _(spark, sf):
+    """All lines delivered twice, in files of other names: flights are loaded once, lines that are not loaded are all kept."""
+    src, dst, state, held, book = (scratch_path(spark, n) for n in ("twice", "streamed", "progress", "quarantine", "loads"))
+    lines = spark.read.text(raw_csv(spark, sf, broken_numbers=True)).where("value not like 'FL_DATE,%'")
+    header = ",".join(csv.header_names(spark, raw_csv(spark, sf)))
+    for _ in range(2):
+        lines.select(F.col("value").alias(header)).write.mode("append").option("header", True).option("quote", "").option(
+            "escapeQuotes", False).option("sep", "\x01").csv(src)
+        stream_ingest(spark, src, dst, state, quarantine=held, loads=book, key=FLIGHT_KEY).awaitTermination()
+    counts = spark.read.parquet(book).select(F.inline(F.array(*[
+        F.struct(F.lit(o).alias("outcome"), F.col(o).alias("n")) for o in parquet.OUTCOMES[:3]]))).groupBy("outcome").agg(
+        F.sum("n").alias("lines"))
+    kept = spark.read.parquet(held).select("outcome").unionAll(spark.read.parquet(dst).select(F.lit("loaded").alias("outcome")))
+    return counts.join(kept.groupBy("outcome").agg(F.count("*").alias("kept")), "outcome")
+
+
 @query("s5_update_ledger", _LOADED + """--- SELECT string_agg(DISTINCT cast(year AS varchar), ',' ORDER BY
   cast(year AS varchar)) AS years, count(*) AS total_rows, count(DISTINCT year) AS sizes FROM loaded""")
 def _(spark, sf):

@@ -11,6 +11,7 @@ from airstats.schema import FLIGHT_SCHEMA, NULL_TOKENS
 
 BROKEN_LINE = "_broken_line"
 BAD_COLUMNS = "_bad_columns"
+LINE = "_line"
 
 # Quotes inside a quoted field are doubled, in files read as in files written.
 DIALECT = {"header": True, "encoding": "UTF-8", "quote": '"', "escape": '"'}
@@ -67,6 +68,14 @@ def _faults(schema: T.StructType, null_tokens: Sequence[str]) -> Column:
     return F.array_except(F.map_keys(given), F.map_keys(values))
 
 
+def _value(f: T.StructField, null_tokens: Sequence[str]) -> Column:
+    """A column without its null texts."""
+    c = F.col(f.name)
+    if isinstance(f.dataType, T.StringType):
+        return F.when(~c.isin(*null_tokens), c)
+    return F.nanvl(c, F.lit(None)) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c
+
+
 def typed(lines: DataFrame, null_tokens: Sequence[str] = NULL_TOKENS) -> CsvScan:
     """Take the null texts out of lines read by ``line_schema`` and set rows with faults apart.
 
@@ -76,12 +85,6 @@ def typed(lines: DataFrame, null_tokens: Sequence[str] = NULL_TOKENS) -> CsvScan
     """
     columns = [f for f in lines.schema.fields if f.name != BROKEN_LINE]
 
-    def value(f: T.StructField) -> Column:
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.StringType):
-            return F.when(~c.isin(*null_tokens), c)
-        return F.nanvl(c, F.lit(None)) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c
-
     # No row has fewer than 0 values: this drops nothing, but makes Spark read every column even
     # if the query wants few. A fault in a column that is not read would go unnoticed, and which
     # rows are good would depend on the columns asked for.
@@ -91,11 +94,31 @@ def typed(lines: DataFrame, null_tokens: Sequence[str] = NULL_TOKENS) -> CsvScan
     good = read.where(~broken | (F.size(faults) == 0))
     rejects = read.where(broken).withColumn(BAD_COLUMNS, faults).where(F.size(BAD_COLUMNS) > 0)
     return CsvScan(
-        good.select(*[value(f).cast(f.dataType).alias(f.name) for f in columns]),
+        good.select(*[_value(f, null_tokens).cast(f.dataType).alias(f.name) for f in columns]),
         rejects.select(F.col(BROKEN_LINE).alias("line"), BAD_COLUMNS),
     )
 
 
+def judged(lines: DataFrame, null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
+    """All lines read by ``line_schema``, in the types asked for. A line with a fault also has its text and the names
+    of the columns at fault, both null in all others.
+
+    The two parts of ``typed`` in one table, for loads that must account for every line.
+    """
+    columns = [f for f in lines.schema.fields if f.name != BROKEN_LINE]
+    read = lines.dropna(thresh=0)
+    faults = F.when(F.col(BROKEN_LINE).isNotNull(), _faults(lines.schema, null_tokens))
+    read = read.withColumn(BAD_COLUMNS, F.when(F.size(faults) > 0, faults))
+    return read.select(
+        *[_value(f, null_tokens).cast(f.dataType).alias(f.name) for f in columns],
+        F.when(F.col(BAD_COLUMNS).isNotNull(), F.col(BROKEN_LINE)).alias(LINE), BAD_COLUMNS)
+
+
+def flight_lines(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = FLIGHT_SCHEMA) -> DataFrame:
+    """Lines of CSV files that start with the same header line, typed by Spark's parser, broken ones marked."""
+    return spark.read.options(**READ_OPTIONS).schema(line_schema(header_names(spark, path), schema)).csv(path)
+
+
 def read_flights_csv(spark: SparkSession, path: str | Sequence[str],
                      schema: T.StructType = FLIGHT_SCHEMA,
                      null_tokens: Sequence[str] = NULL_TOKENS) -> CsvScan:
@@ -103,8 +126,7 @@ def read_flights_csv(spark: SparkSession, path: str | Sequence[str],
 
     Lines stay splittable: a field may not hold a line break.
     """
-    columns = line_schema(header_names(spark, path), schema)
-    return typed(spark.read.options(**READ_OPTIONS).schema(columns).csv(path), null_tokens)
+    return typed(flight_lines(spark, path, schema), null_tokens)
 
 
 def read_sample_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

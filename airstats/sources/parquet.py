@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from hashlib import md5
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from airstats.operators.filters import require, with_year_month
-from airstats.sources.csv import read_flights_csv
+from airstats.schema import ESSENTIAL
+from airstats.sources.csv import BAD_COLUMNS, LINE, flight_lines, judged
 
 PARTITIONS = ("year", "month")
 ROWS_PER_FILE = 5_000_000
@@ -49,34 +54,106 @@ def prepared(good: DataFrame) -> DataFrame:
     return dated.where(F.col("year").isNotNull() & F.col("month").isNotNull())
 
 
+# What becomes of a line: it is loaded, has a value that cannot be read, lacks an essential column or its date,
+# or is of a year that was not asked for.
+LOADED, REJECTED, DROPPED, OTHER_YEAR = "loaded", "rejected", "dropped", "other_year"
+OUTCOMES = (LOADED, REJECTED, DROPPED, OTHER_YEAR)
+
+
+def accounted(lines: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
+    """All lines of flights, typed, with year, month and ``outcome``."""
+    dated = with_year_month(judged(lines).drop("month"), "FL_DATE")
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in (*ESSENTIAL, "year", "month")])
+    wanted = F.lit(True) if years is None else F.col("year").isin(*years)
+    return dated.withColumn("outcome", F.when(F.col(BAD_COLUMNS).isNotNull(), REJECTED).when(missing, DROPPED)
+                            .when(wanted, LOADED).otherwise(OTHER_YEAR))
+
+
+def counts_of_outcomes() -> list[Column]:
+    """Lines, and lines of each outcome, to be observed while rows pass."""
+    return [F.count("*").alias("lines"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]]
+
+
+def flights_of(rows: DataFrame) -> DataFrame:
+    """The rows of :func:`accounted` that are loaded, as flights."""
+    return rows.where(F.col("outcome") == LOADED).drop(LINE, BAD_COLUMNS, "outcome")
+
+
+def write_quarantine(rows: DataFrame, path: str, load: str) -> None:
+    """Rejected and dropped lines of a load, by load and outcome; a load that is repeated replaces its own.
+
+    A rejected line is kept as it was read, a dropped one is written anew from its values.
+    """
+    values = [c for c in rows.columns if c not in (LINE, BAD_COLUMNS, "outcome", "year", "month")]
+    kept = rows.where(F.col("outcome").isin(REJECTED, DROPPED)).select(
+        F.coalesce(LINE, F.to_csv(F.struct(*values))).alias("line"), F.col(BAD_COLUMNS).alias("bad_columns"),
+        F.lit(load).alias("load"), "outcome")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load", "outcome").parquet(path)
+
+
 def loaded_years(spark: SparkSession, path: str) -> set[int]:
-    """Years a table has rows of; none if there is no table yet. Reads footers only."""
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return set()
-        raise
-    return {row.year for row in table.groupBy("year").count().select("year").collect()}
+    """Years a table has files of; none if there is no table yet. Lists folders, opens no file."""
+    found = set()
+    for folder in _folders(spark, path):
+        name, _, value = folder.rpartition("/")[2].partition("=")
+        if name == "year" and value.isdigit() and any(_files_by_folder(spark, path, [int(value)]).values()):
+            found.add(int(value))
+    return found
 
 
-def load_years(spark: SparkSession, src: str | Sequence[str], dst: str, years: Sequence[int],
-               force: bool = False) -> list[int]:
-    """Load the CSV rows of ``years`` that are not in the table; returns the years loaded.
+class Load(NamedTuple):
+    """The years a load wrote, and the lines it read by what became of them (None if it had nothing to do)."""
+
+    years: list[int]
+    counts: dict[str, int] | None
+
+
+def load(spark: SparkSession, src: str | Sequence[str], dst: str, years: Sequence[int], force: bool = False,
+         quarantine: str | None = None) -> Load:
+    """Load the CSV rows of ``years`` that are not in the table.
 
     ``force`` loads a year again: its months are replaced, and months that the source no longer has
     go once the others are written; other years stay untouched. All years come from one scan of
-    the source and are committed together.
+    the source and are committed together; the same scan counts what becomes of every line. Lines
+    that cannot be loaded go to the folder ``quarantine``; only if there are any, the source is
+    read once more for them.
     """
     todo = sorted(set(years) if force else set(years) - loaded_years(spark, dst))
-    if todo:
-        before = _files_by_folder(spark, dst, todo) if force else {}
-        rows = prepared(read_flights_csv(spark, src).good)
-        write_partitioned(rows.where(F.col("year").isin(*todo)), dst, mode="replace")
-        after = _files_by_folder(spark, dst, todo) if force else {}
-        # a folder that the load wrote has other files than before
-        _delete(spark, [folder for folder, files in after.items() if before.get(folder) == files])
-    return todo
+    if not todo:
+        return Load(todo, None)
+    before = _files_by_folder(spark, dst, todo) if force else {}
+    rows = accounted(flight_lines(spark, src), todo)
+    counted = Observation()
+    write_partitioned(flights_of(rows.observe(counted, *counts_of_outcomes())), dst, mode="replace")
+    after = _files_by_folder(spark, dst, todo) if force else {}
+    # a folder that the load wrote has other files than before
+    _delete(spark, [folder for folder, files in after.items() if before.get(folder) == files])
+    counts = counted.get
+    if quarantine is not None and counts[REJECTED] + counts[DROPPED]:
+        sources = [src] if isinstance(src, str) else list(src)
+        write_quarantine(rows, quarantine, md5("\n".join([*sources, *map(str, todo)]).encode()).hexdigest()[:12])
+    return Load(todo, counts)
+
+
+def load_years(spark: SparkSession, src: str | Sequence[str], dst: str, years: Sequence[int],
+               force: bool = False, quarantine: str | None = None) -> list[int]:
+    """As :func:`load`; returns the years loaded."""
+    return load(spark, src, dst, years, force, quarantine).years
+
+
+def record_load(spark: SparkSession, path: str, source: str, counts: Mapping[str, int], load: str | None = None) -> None:
+    """Add a load's line counts to the book of loads. A load that is given by name replaces its own entry."""
+    row = {"source": source, "load": load or uuid.uuid4().hex[:12], **{k: counts[k] for k in ("lines", *OUTCOMES)}}
+    kinds = ", ".join(["source string", "load string", *[f"{k} long" for k in ("lines", *OUTCOMES)]])
+    spark.createDataFrame([tuple(row.values())], kinds).withColumn("at", F.current_timestamp()).coalesce(1).write.mode(
+        "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(path)
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the folders in a folder; none if it is not there."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().toString() for f in files.listStatus(root) if f.isDirectory()] if files.exists(root) else []
 
 
 def _files_by_folder(spark: SparkSession, table: str, years: Sequence[int]) -> dict[str, frozenset[str]]:

@@ -157,3 +157,79 @@ def test_two_feeds_into_one_table(spark, tmp_path):
     for name, line in (("one", "2023-01-05,AA,JFK,LAX,5.5,1,1"), ("two", "2023-01-06,DL,ATL,LAX,1.0,4,1")):
         stream_ingest(spark, write(tmp_path / name, "a.csv", line), dst, str(tmp_path / f"check-{name}")).awaitTermination()
     assert {r.OP_CARRIER for r in spark.read.parquet(dst).select("OP_CARRIER").collect()} == {"AA", "DL"}
+
+
+def balance(counts, quarantine):
+    """Lines add up, and the quarantine has those that were not loaded."""
+    kept = {r.outcome: r["count"] for r in quarantine.groupBy("outcome").count().collect()}
+    assert counts["lines"] == counts["loaded"] + counts["rejected"] + counts["dropped"] + counts["other_year"]
+    assert kept == {k: counts[k] for k in ("rejected", "dropped") if counts[k]}
+
+
+def test_load_accounts_for_every_line(spark, raw, tmp_path):
+    dst, held = str(tmp_path / "table"), str(tmp_path / "held")
+    done = parquet.load(spark, raw, dst, [2023], quarantine=held)
+    assert done.years == [2023]
+    # two flights, five lines with a fault or a field missing, one without an origin, one of another year
+    assert done.counts == {"lines": 9, "loaded": 2, "rejected": 4, "dropped": 2, "other_year": 1}
+    lines = spark.read.parquet(held)
+    balance(done.counts, lines)
+    count = lines.count()
+    assert {r.line for r in lines.where("outcome = 'rejected'").collect()} >= {"2023-03-07,DL,ATL,LAX,abc,4,3", "2023-05-08,UA,SFO"}
+    dropped = {r.line for r in lines.where("outcome = 'dropped'").collect()}
+    assert any(line.startswith("2023-02-06,DL,,LAX") for line in dropped)
+    assert parquet.load(spark, raw, dst, [2023], quarantine=held) == ([], None)
+    again = parquet.load(spark, raw, dst, [2023], force=True, quarantine=held)
+    assert again == done and spark.read.parquet(held).count() == count and spark.read.parquet(dst).count() == 2
+    assert parquet.loaded_years(spark, dst) == {2023} and parquet.loaded_years(spark, str(tmp_path / "none")) == set()
+
+
+def test_stream_accounts_for_every_line(spark, tmp_path):
+    src, dst, held, book = tmp_path / "in", *(str(tmp_path / n) for n in ("out", "held", "book"))
+    args = dict(quarantine=held, loads=book)
+    write(src, "a.csv", "2023-01-05,AA,JFK,LAX,5.5,1,1", "2023-01-06,AA,JFK,LAX,bad,2,1", "n/a,AA,JFK,LAX,1,3,1")
+    stream_ingest(spark, str(src), dst, str(tmp_path / "state"), **args).awaitTermination()
+    write(src, "b.csv", "2023-01-07,AA,JFK,LAX,NA,3,1", "2023-01-07,AA,JFK")
+    for _ in range(2):
+        stream_ingest(spark, str(src), dst, str(tmp_path / "state"), **args).awaitTermination()
+    loads = spark.read.parquet(book)
+    assert sorted((r.lines, r.loaded, r.rejected, r.dropped) for r in loads.collect()) == [(2, 1, 1, 0), (3, 1, 1, 1)]
+    total = loads.selectExpr(*[f"sum({c}) AS {c}" for c in ("lines", *parquet.OUTCOMES)]).head().asDict()
+    balance(total, spark.read.parquet(held))
+    assert spark.read.parquet(dst).count() == total["loaded"]
+
+
+def test_a_batch_under_way_again_replaces_its_own(spark, tmp_path, monkeypatch):
+    """The second try of a batch that failed behind its first sink adds nothing."""
+    from airstats.streaming import ingest
+
+    src, dst, held = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "held")
+    write(src, "a.csv", "2023-01-05,AA,JFK,LAX,5.5,1,1", "2023-01-06,AA,JFK,LAX,bad,2,1")
+    args = dict(quarantine=held, key=ingest.FLIGHT_KEY)
+    whole = ingest.write_quarantine
+
+    def failing(*a):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(ingest, "write_quarantine", failing)
+    with pytest.raises(Exception, match="lost"):
+        stream_ingest(spark, str(src), dst, str(tmp_path / "state"), **args).awaitTermination()
+    monkeypatch.setattr(ingest, "write_quarantine", whole)
+    stream_ingest(spark, str(src), dst, str(tmp_path / "state"), **args).awaitTermination()
+    assert spark.read.parquet(dst).count() == 1 and spark.read.parquet(held).count() == 1
+
+
+def test_a_flight_delivered_twice_is_loaded_once(spark, tmp_path):
+    from airstats.streaming.ingest import FLIGHT_KEY
+
+    src, dst = tmp_path / "in", str(tmp_path / "out")
+    first = ("2023-01-05,AA,JFK,LAX,5.5,1,1", "2023-02-05,DL,JFK,LAX,1,,2", "2023-02-05,DL,JFK,LAX,1,,2")
+    write(src, "a.csv", *first)
+    stream_ingest(spark, str(src), dst, str(tmp_path / "state"), key=FLIGHT_KEY).awaitTermination()
+    write(src, "b.csv", *first, "2023-01-05,AA,JFK,SFO,5.5,1,1", "2024-01-05,AA,JFK,LAX,5.5,1,1")
+    stream_ingest(spark, str(src), dst, str(tmp_path / "state"), key=FLIGHT_KEY).awaitTermination()
+    got = sorted((r.FL_DATE, r.OP_CARRIER, r.DEST) for r in spark.read.parquet(dst).collect())
+    assert got == [("2023-01-05", "AA", "LAX"), ("2023-01-05", "AA", "SFO"), ("2023-02-05", "DL", "LAX"), ("2024-01-05", "AA", "LAX")]
+    # the same folder as another feed
+    stream_ingest(spark, str(src), dst, str(tmp_path / "other"), key=FLIGHT_KEY).awaitTermination()
+    assert spark.read.parquet(dst).count() == 4
