@@ -97,6 +97,56 @@ def _(spark, sf):
     return models.fit_linear(vectors).transform(vectors).select(KEY, F.round("minutes", 5).alias("minutes"))
 
 
+# Within categories, so less their means, three numbers are solved for by Cramer's rule; the error left is that of a fit
+# with a 0/1 column for each category.
+_THREE = ("crs_elapsed_time", "o_wspd", "d_prcp")
+_CATEGORY_FIT = _FEATURES_SQL + """,
+  centred AS (SELECT total_delay AS whole, total_delay - avg(total_delay) OVER c AS y, """ + ", ".join(
+    f"{x} - avg({x}) OVER c AS x{i}" for i, x in enumerate(_THREE)) + """ FROM features WINDOW c AS (PARTITION BY season)),
+  s AS (SELECT count(*) AS n, sum(y * y) AS yy, var_pop(whole) * count(*) AS total, """ + ", ".join(
+    f"sum(x{i} * x{j}) AS a{i}{j}" for i in range(3) for j in range(3)) + ", " + ", ".join(f"sum(x{i} * y) AS b{i}" for i in range(3)) + """
+    FROM centred),
+  d AS (SELECT *, a00 * (a11 * a22 - a12 * a21) - a01 * (a10 * a22 - a12 * a20) + a02 * (a10 * a21 - a11 * a20) AS det,
+    b0 * (a11 * a22 - a12 * a21) - a01 * (b1 * a22 - a12 * b2) + a02 * (b1 * a21 - a11 * b2) AS d0,
+    a00 * (b1 * a22 - a12 * b2) - b0 * (a10 * a22 - a12 * a20) + a02 * (a10 * b2 - b1 * a20) AS d1,
+    a00 * (a11 * b2 - b1 * a21) - a01 * (a10 * b2 - b1 * a20) + b0 * (a10 * a21 - a11 * a20) AS d2 FROM s),
+  e AS (SELECT n, total, yy - (d0 * b0 + d1 * b1 + d2 * b2) / det AS error FROM d)
+  --- SELECT round(sqrt(error / n), 4) AS rmse, round(1 - error / total, 6) AS r2, n FROM e"""
+
+
+@query("m2_normal_equations", _CATEGORY_FIT)
+def _(spark, sf):
+    """A fit on three numbers and all 0/1 columns of a category, which make up the constant."""
+    rows = build_features(flights(spark, sf), fit_on="all")
+    hot = models.encoder(["season"]).fit(rows).transform(rows)
+    vectors = VectorAssembler(inputCols=[*_THREE, "season_hot"], outputCol=models.FEATURES).transform(hot)
+    vectors = stored(vectors.select(models.FEATURES, models.TARGET), "vectors")
+    report = regression_report(models.fit_linear(vectors).transform(vectors), models.TARGET, "minutes")
+    return report.select(F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"), "n")
+
+
+@query("m4_gradient_vanishes", """--- SELECT cast(c AS int) AS class, true AS solved FROM range(4) t(c)""")
+def _(spark, sf):
+    """Gradient of each class's penalised loss at the weights fitted, summed up in Spark SQL, against that at none."""
+    p = prepared(spark, sf)
+    fitted = models.fit_ovr_logistic(p.train).matrix()
+    weights = spark.createDataFrame([(c, i, float(w)) for c, of_class in enumerate(fitted) for i, w in enumerate(of_class)],
+                                    "class int, place int, w double")
+    entries = p.train.select(KEY, models.LABEL, F.posexplode(F.concat(
+        vector_to_array(models.FEATURES), F.array(F.lit(1.0)))).alias("place", "x")).where("x <> 0")
+    rows = p.train.select(KEY, models.LABEL, F.explode(F.array(*[F.lit(c) for c in CLASSES])).alias("class"))
+    sizes = rows.groupBy("class").agg(F.count("*").alias("n"), F.count_if(F.col(models.LABEL) == F.col("class")).alias("yes"))
+    margins = entries.join(F.broadcast(weights), "place").groupBy(KEY, "class").agg(F.sum(F.col("x") * F.col("w")).alias("margin"))
+    own = F.col(models.LABEL) == F.col("class")
+    sign, share = F.when(own, 1.0).otherwise(-1.0), F.col("n") / (2 * F.when(own, F.col("yes")).otherwise(F.col("n") - F.col("yes")))
+    slopes = rows.join(F.broadcast(sizes), "class").join(margins, [KEY, "class"]).select(
+        KEY, "class", (-share * sign / (1 + F.exp(sign * F.col("margin")))).alias("slope"), (-share * sign / 2).alias("slope_0"))
+    sums = entries.join(slopes, KEY).groupBy("class", "place").agg(
+        F.sum(F.col("x") * F.col("slope")).alias("g"), F.sum(F.col("x") * F.col("slope_0")).alias("g_0"))
+    return sums.join(weights, ["class", "place"]).groupBy("class").agg(
+        (F.sqrt(F.sum(F.pow(F.col("g") + F.col("w"), 2.0))) < 1e-6 * F.sqrt(F.sum(F.pow("g_0", 2.0)))).alias("solved"))
+
+
 @query("m3_fit_logistic")
 def fit_logistic(spark, sf):
     p = prepared(spark, sf)

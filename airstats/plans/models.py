@@ -3,18 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 from typing import NamedTuple
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
+from pyspark.ml import Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (
-    Normalizer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer,
-)
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.sql import DataFrame, functions as F
 
 from airstats.functions import key_text
 from airstats.operators.evaluate import class_metrics, select_best
@@ -24,6 +19,7 @@ from airstats.operators.features import (
 from airstats.operators.filters import clean_for_model
 from airstats.operators.split import CLASSES, stratified_split, with_balanced_weight
 from airstats.plans.boosting import LOCAL_ROWS, BoostedModel, Setting, boost
+from airstats.plans.linear import LinearModel, OneVsRestModel, fit_least_squares, fit_one_vs_rest
 from airstats.plans.scoring import save_model, score
 from airstats.storage import spread, stored
 
@@ -154,16 +150,9 @@ def stages(model: Transformer) -> list[Transformer]:
     return list(model.stages) if isinstance(model, PipelineModel) else [model]
 
 
-def _at_once(spark: SparkSession, jobs: Sequence[Callable[[], Model]]) -> list[Model]:
-    """Fit independent models side by side; Spark shares the executors among their jobs."""
-    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
-
-
-def fit_linear(train: DataFrame) -> Model:
+def fit_linear(train: DataFrame) -> LinearModel:
     """Least squares without penalty on minutes of total delay."""
-    return LinearRegression(
-        featuresCol=FEATURES, labelCol=TARGET, predictionCol="minutes", regParam=0.0).fit(train)
+    return fit_least_squares(train, FEATURES, TARGET, "minutes")
 
 
 def _penalty(train: DataFrame, C: float, weight: str) -> float:
@@ -178,50 +167,9 @@ def fit_logistic(train: DataFrame, C: float = 1.0, max_iter: int = LOGISTIC_ITER
         standardization=False, regParam=_penalty(train, C, WEIGHT), maxIter=max_iter).fit(train)
 
 
-def _one_vs_rest(train: DataFrame, binary: Callable[[int], Estimator],
-                 weights: Callable[[DataFrame, int], DataFrame] | None = None) -> PipelineModel:
-    """One binary model per class, chained; their yes-probabilities, normed to sum 1, in one vector.
-
-    A chain of plain transformers can be saved and also scores streams.
-    """
-    def job(c: int) -> Callable[[], Model]:
-        rows = train.withColumn("is_class", (F.col(LABEL) == c).cast("double"))
-        return lambda: binary(c).fit(rows if weights is None else weights(rows, c))
-
-    models = _at_once(train.sparkSession, [job(c) for c in CLASSES])
-    own = [f"probability_{c}" for c in CLASSES]
-    joined = VectorAssembler(inputCols=own, outputCol="binary_probabilities")
-    yes = VectorSlicer(inputCol="binary_probabilities", outputCol="yes_probabilities",
-                       indices=[2 * i + 1 for i in range(len(own))])
-    normed = Normalizer(p=1.0, inputCol="yes_probabilities", outputCol="probability")
-    return PipelineModel([*models, joined, yes, normed])
-
-
-def _binary_columns(c: int) -> dict[str, str]:
-    return {
-        "featuresCol": FEATURES, "labelCol": "is_class", "rawPredictionCol": f"raw_{c}",
-        "probabilityCol": f"probability_{c}", "predictionCol": f"prediction_{c}",
-    }
-
-
-def fit_ovr_logistic(train: DataFrame, C: float = 1.0, max_iter: int = TUNING_ITERATIONS) -> PipelineModel:
-    """One-vs-rest logistic regression; each binary problem is balanced by itself."""
-    sizes = train.agg(*[F.count_if(F.col(LABEL) == c).alias(f"c{c}") for c in CLASSES],
-                      F.count("*").alias("n")).head()
-
-    def binary(c: int) -> Estimator:
-        # Balanced weights add up to the number of rows.
-        return LogisticRegression(
-            **_binary_columns(c), weightCol=WEIGHT, family="binomial", standardization=False,
-            regParam=1.0 / (C * sizes.n), maxIter=max_iter)
-
-    def balanced(rows: DataFrame, c: int) -> DataFrame:
-        yes = sizes[f"c{c}"]
-        weight = F.when(F.col("is_class") == 1, sizes.n / (2.0 * max(yes, 1))).otherwise(
-            sizes.n / (2.0 * max(sizes.n - yes, 1)))
-        return rows.withColumn(WEIGHT, weight)
-
-    return _one_vs_rest(train, binary, balanced)
+def fit_ovr_logistic(train: DataFrame, C: float = 1.0, max_iter: int = TUNING_ITERATIONS) -> OneVsRestModel:
+    """One-vs-rest logistic regression; each binary problem is balanced by itself, its constant penalised."""
+    return fit_one_vs_rest(train, FEATURES, LABEL, CLASSES, C, max_iter)
 
 
 def fit_boosted(train: DataFrame, n_estimators: int = BOOSTED["n_estimators"],
