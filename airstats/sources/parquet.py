@@ -274,31 +274,52 @@ def _footer_types(kind: T.DataType) -> tuple[str, ...]:
     return simple[kind.simpleString()]
 
 
+def _files_by_fit(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Each file with the columns of ``schema`` that its path below ``path`` names, and the faults of the others.
+
+    A column that stands in the path is read from there, whether or not the file has it too.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    below = F.lower(F.substr("file", F.lit(len(root) + 1)))
+    named, faults = [], []
+    for f in schema.fields:
+        own = F.lower("column") == f.name.lower()
+        in_path = F.bool_or(below.contains(f"/{f.name.lower()}="))
+        fits = F.bool_or(own & F.col("type").isin(*_footer_types(f.dataType)))
+        other = F.max(F.when(own, F.col("type")))
+        named.append(F.when(in_path, F.lit(f.name)))
+        faults.append(F.when(~in_path & ~fits, F.concat(F.lit(f"{f.name}: "), F.coalesce(other, F.lit("missing")))))
+    return footer_schemas(spark, path).groupBy("file").agg(
+        F.array_compact(F.array(*named)).alias("named"), F.array_compact(F.array(*faults)).alias("faults"))
+
+
 def conforming_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Files that have all columns of ``schema`` in a type Spark reads as the one asked for.
 
     A column may also be a partition column, which stands in the file's path.
     """
-    fits, named = F.lit(False), F.lit(0)
-    for f in schema.fields:
-        fits |= (F.lower("column") == f.name.lower()) & F.col("type").isin(*_footer_types(f.dataType))
-        named += F.lower("file").contains(f"/{f.name.lower()}=").cast("int")
-    return (
-        footer_schemas(spark, path).groupBy("file").agg(F.count_if(fits).alias("n"))
-        .where(F.col("n") + named == len(schema.fields)).select("file")
-    )
+    return _files_by_fit(spark, path, schema).where(F.size("faults") == 0).select("file", "named")
+
+
+def skipped_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Files that do not conform to ``schema``, and why: columns that are missing or of another type."""
+    return _files_by_fit(spark, path, schema).where(F.size("faults") > 0).select("file", "faults")
 
 
 def read_conforming(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read the files of a folder that conform to ``schema``; skip those that do not.
 
-    Partition columns of the folder may be part of the schema. The driver sees file names only, as
-    it does for any scan.
+    Partition columns of the folder may be part of the schema; files that have them in their paths and
+    files that have them as columns are read side by side. The driver sees file names only, as it does for any scan.
     """
-    files = [row.file for row in conforming_files(spark, path, schema).toLocalIterator()]
-    if not files:
-        return spark.createDataFrame([], schema)
-    reader = spark.read.schema(schema)
-    if any(f"/{name.lower()}=" in files[0].lower() for name in schema.names):
-        reader = reader.option("basePath", path)
-    return reader.parquet(*files).select(*schema.names)
+    by_named: dict[tuple[str, ...], list[str]] = {}
+    for row in conforming_files(spark, path, schema).toLocalIterator():
+        by_named.setdefault(tuple(row.named), []).append(row.file)
+    out = spark.createDataFrame([], schema)
+    for i, (named, files) in enumerate(sorted(by_named.items())):
+        reader = spark.read.schema(schema)
+        part = (reader.option("basePath", path) if named else reader).parquet(*files).select(*schema.names)
+        out = part if i == 0 else out.unionByName(part)
+    return out

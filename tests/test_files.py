@@ -233,3 +233,19 @@ def test_a_flight_delivered_twice_is_loaded_once(spark, tmp_path):
     # the same folder as another feed
     stream_ingest(spark, str(src), dst, str(tmp_path / "other"), key=FLIGHT_KEY).awaitTermination()
     assert spark.read.parquet(dst).count() == 4
+
+
+def test_conforming_reads_columns_that_stand_in_file_and_path(spark, tmp_path):
+    path = str(tmp_path / "year=1" / "table")  # a folder above the table names no column
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("year", T.IntegerType())])
+    rows = spark.createDataFrame([(1, 2023), (2, 2023), (3, 2023)], schema)
+    rows.coalesce(1).write.parquet(f"{path}/year=2023")
+    assert sorted(map(tuple, parquet.read_conforming(spark, path, schema).collect())) == [(1, 2023), (2, 2023), (3, 2023)]
+    spark.createDataFrame([(4,)], "a int").coalesce(1).write.parquet(f"{path}/year=2024")
+    spark.createDataFrame([(5, 2025)], schema).coalesce(1).write.parquet(f"{path}/more")
+    spark.createDataFrame([("x",)], "a string").coalesce(1).write.parquet(f"{path}/year=2026")
+    spark.createDataFrame([(6,)], "a int").coalesce(1).write.parquet(f"{path}/none")
+    got = sorted(map(tuple, parquet.read_conforming(spark, path, schema).collect()))
+    assert got == [(1, 2023), (2, 2023), (3, 2023), (4, 2024), (5, 2025)]
+    skipped = {r.file.split("/")[-2]: r.faults for r in parquet.skipped_files(spark, path, schema).collect()}
+    assert skipped == {"year=2026": ["a: string"], "none": ["year: missing"]}
