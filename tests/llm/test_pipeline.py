@@ -41,7 +41,7 @@ def test_near_copies(stages):
 
 
 def test_repeated_passages(stages):
-    want = {k: v[0].decode("utf-8", "ignore") for k, v in without_repeats(texts_of(stages[2]), 400).items()}
+    want = {k: v[0].decode("utf-8", "ignore") for k, v in without_repeats(texts_of(stages[2]), corpus_pipeline.PASSAGE_BYTES).items()}
     assert texts_of(stages[3]) == {k: t for k, t in want.items() if t.strip(" \t\n\r\x0b\x0c")}
     assert stages[3].where(F.length("text") != F.col("n_chars")).isEmpty()
 
