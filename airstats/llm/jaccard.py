@@ -276,8 +276,12 @@ def _searched(buckets: DataFrame, size: int) -> DataFrame:
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
                 bucket: int = BUCKET) -> DataFrame:
-    """``key``, n_shingles and component_id (the least key that links reach) for each row of ``docs``."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    """``key``, n_shingles and component_id (the least key that links reach) for each row of ``docs``.
+
+    Links are those of texts: rows of one key may have different texts, and rows without a key link
+    as others do, but are no component_id as long as their component has any key.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("digest"))
     texts = rows.select("text")
     kind = rows.schema["key"].dataType.simpleString()
 
@@ -286,16 +290,22 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
             for part, block in T.sub_batches(batch, "text"):
                 gram, bounds = block_sets(block, shingle)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(set_classes(gram, bounds))],
-                    names=["key", "n_shingles", "class"])
+                    [part.column("key"), part.column("digest"), pa.array(np.diff(bounds).astype(np.int64)),
+                     pa.array(set_classes(gram, bounds))], names=["key", "digest", "n_shingles", "class"])
 
-    classes = finished(rows.mapInArrow(described, f"key {kind}, n_shingles long, class long"), "classes")
+    classes = finished(rows.mapInArrow(described, f"key {kind}, digest long, n_shingles long, class long"), "classes")
     pairs = finished(_meetings(texts, shingle, _frequent(texts, shingle)), "meetings")
 
-    # one text for each class that meets another
+    # one text for each class that meets another: that of its least key and text, which several rows may have
     met = pairs.select(F.col("member").alias("class")).union(pairs.select("center")).distinct()
-    chosen = classes.join(met, "class").groupBy("class").agg(F.min("key").alias("key"))
-    sources = finished(rows.join(chosen, "key").select("class", "text"), "sources")
+    equal = classes.join(met, "class").groupBy("class", "key", "digest").agg(F.count("*").alias("rows"))
+    chosen = finished(equal.groupBy("class").agg(F.min(F.struct("key", "digest", "rows")).alias("row"))
+                      .select("class", "row.*"), "chosen")
+    same = rows["key"].eqNullSafe(chosen["key"]) & (rows["digest"] == chosen["digest"])
+    sources = rows.join(chosen, same).select("class", "text")
+    if not chosen.where("rows > 1").isEmpty():
+        sources = sources.dropDuplicates(["class"])
+    sources = finished(sources, "sources")
 
     sizes = pairs.groupBy("center").agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"))
     whole = pairs.join(sizes, "center")

@@ -193,7 +193,8 @@ def _score_counts(marked: DataFrame, forests: list[Forest], bins: int) -> DataFr
 
 
 def fit(stats: DataFrame, labels: DataFrame, label_key: str = "doc_id", sample_rows: int = 8192,
-        trees: int = 100, rows_per_tree: int = 256, max_clean_loss: float = 0.001, bins: int = 2000) -> Forest:
+        trees: int = 100, rows_per_tree: int = 256, max_clean_loss: float = 0.001, bins: int = 2000,
+        row_key: str = "key") -> Forest:
     """Grow forests on ``sample_rows`` rows that pass the base rules (those of the least key
     hashes), one for each set of features, then choose one and its threshold by all labelled rows.
 
@@ -201,9 +202,10 @@ def fit(stats: DataFrame, labels: DataFrame, label_key: str = "doc_id", sample_r
     ``max_clean_loss`` of the rows of quality 1; rare values of a feature that good rows have too
     don't hide the bad ones that way. Equals go to more features, and to the middle of the equal
     thresholds. It comes from counts of scores in ``bins`` bins, so the driver gets no rows.
+    ``row_key`` is what of a row's key the labels are for, such as a field of it.
     """
     passing = stats.where(~F.col("base_failed"))
-    drawn = (passing.withColumn("at", F.xxhash64("key")).orderBy("at", *STATS).limit(sample_rows)
+    drawn = (passing.withColumn("at", F.xxhash64(row_key)).orderBy("at", *STATS).limit(sample_rows)
              .select(*STATS).toPandas())
     x = features({s: drawn[s].to_numpy() for s in STATS})
     forests = []
@@ -211,9 +213,9 @@ def fit(stats: DataFrame, labels: DataFrame, label_key: str = "doc_id", sample_r
         for columns in map(list, combinations(range(len(FEATURES)), size)):
             forests.append(grow_forest(x[:, columns], trees, rows_per_tree))
             forests[-1].columns = columns
-    marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col(label_key).alias("key")).agg(
+    marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col(label_key).alias("mark")).agg(
         F.max("quality").alias("quality"))
-    counted = _score_counts(passing.join(marks, "key"), forests, bins).toPandas()
+    counted = _score_counts(passing.join(marks, F.col(row_key) == F.col("mark")), forests, bins).toPandas()
     good, bad = np.zeros((len(forests), bins + 2)), np.zeros((len(forests), bins + 2))
     place = counted["forest"].to_numpy(int), counted["bin"].to_numpy(int)
     good[place], bad[place] = counted["good"], counted["bad"]

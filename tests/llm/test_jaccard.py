@@ -95,6 +95,26 @@ def test_overlap_is_the_least():
             assert 100 * t >= 80 * (a + b - t) and 100 * (t - 1) < 80 * (a + b - t + 1)
 
 
+def test_null_and_shared_keys(spark):
+    """Texts link whatever their keys are."""
+    said = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, said), (5, said + " more"), (7, other), (7, said + " less"), (9, other + " end"), (9, other + " end"), (None, "alone it is")]
+    got = sorted(map(tuple, jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 56, 5), (5, 57, 5), (7, 56, 7), (7, 57, 5), (9, 57, 7), (9, 57, 7), (None, 1, None)], key=str)
+
+
+def test_struct_keys(spark, families):
+    rows = [((k % 7, k), t) for k, t in families.items()]
+    docs = spark.createDataFrame(rows, "doc_id struct<a:long,b:long>, text string")
+    got = {r["doc_id"]["b"]: r["component_id"]["b"] for r in jaccard.near_copies(docs).collect()}
+    want = by_hand(families)
+    groups = {}
+    for k in got:
+        groups.setdefault(want[k][1], []).append(k)
+    assert all(got[k] == min(g, key=lambda x: (x % 7, x)) for g in groups.values() for k in g)
+
+
 def test_empty_table(no_documents):
     assert jaccard.near_copies(no_documents).count() == 0
 

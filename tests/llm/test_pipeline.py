@@ -83,3 +83,23 @@ def test_odd_documents(documents, spark, tmp_path):
         docs = stored(stage(spark, docs, sf_dir), "stage")
     keys = [r["doc_id"] for r in docs.select("doc_id").collect()]
     assert len(keys) == len(set(keys)) and len(keys) > 50
+
+
+def test_null_and_shared_ids(spark, tmp_path):
+    """Documents without an id stay if they are clean; of one id, each text counts by itself."""
+    sf_dir = "/root/testdata/sf0.001"
+
+    def said(seed):
+        rng = np.random.default_rng(seed)
+        return " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(60))
+
+    rows = [(None, said(1)), (None, said(1) + " more"), (7, said(2)), (7, said(3)), (8, said(2) + " end"),
+            (9, said(4)), (9, said(4)), (None, said(5)), (10, "too short"), (None, "too short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({
+        "lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "stage")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect())
+    first = [t for k, t in got if k == 0 and t.startswith(said(1))]
+    assert len(first) == 1
+    assert got == sorted([(0, first[0]), (0, said(5)), (7, said(2)), (7, said(3)), (9, said(4))])
