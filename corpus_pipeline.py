@@ -3,12 +3,15 @@
 Each stage is a function of the session, the documents kept so far and the folder of the tables; its
 result is written as Parquet and read again as the next one's documents. All but the last return the
 columns of documents. Null and empty texts go in the first stage, as texts without words do.
+
+A document is a doc_id with its text, either of which may be null: rows that share an id but not the
+text are judged each by its own text, and rows equal in both are one document from the second stage on.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from airstats.llm import decontaminate, jaccard, pieces, quality, suffix
 from airstats.storage import stored
@@ -18,34 +21,50 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 PASSAGE_BYTES = 280
 
 
-def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``keys``."""
-    return docs.join(keys.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+def _row() -> Column:
+    """What tells documents apart, null ids and shared ids included, as a 64-bit hash."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The columns of documents and ``row``."""
+    return docs.select(*COLUMNS, _row().alias("row"))
+
+
+def _kept(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs``, numbered, whose ``row`` is in ``rows``."""
+    return docs.join(rows.select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the isolation forest."""
-    verdicts = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _kept(docs, verdicts.where("kept"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    keyed = docs.select(F.struct("doc_id", _row().alias("row")).alias("key"), "text")
+    verdicts = quality.judge(keyed, labels, key="key", row_key="key.doc_id")
+    return _kept(_numbered(docs), verdicts.where("kept").select("key.row"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least key, of each group of near copies."""
-    found = jaccard.near_copies(docs)
-    return _kept(docs, found.where("doc_id = component_id")).dropDuplicates(["doc_id"])
+    """One document, that of the least key, of each group of near copies; one without a key only if none has one."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _row().alias("row"))
+    found = jaccard.near_copies(docs.select(key.alias("key"), "text"), key="key")
+    return _kept(_numbered(docs).dropDuplicates(["row"]), found.where("key = component_id").select("key.row"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of ``PASSAGE_BYTES`` bytes that occur elsewhere too; blank ones go."""
-    left = suffix.without_repeats(docs, length=PASSAGE_BYTES).select("doc_id", F.col("kept_text").alias("text"))
-    return (docs.drop("text", "n_chars").join(left.where(r"text rlike '[^ \\t-\\r]'"), "doc_id")
+    numbered = _numbered(docs).dropDuplicates(["row"])
+    left = suffix.without_repeats(numbered.select("row", "text"), key="row", length=PASSAGE_BYTES)
+    left = left.select("row", F.col("kept_text").alias("text")).where(r"text rlike '[^ \\t-\\r]'")
+    return (numbered.drop("text", "n_chars").join(left, "row")
             .withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _kept(docs, found.where(F.size("hits") == 0))
+    numbered = _numbered(docs)
+    found = decontaminate.contamination(numbered.select("row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row")
+    return _kept(numbered, found.where(F.size("hits") == 0))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
