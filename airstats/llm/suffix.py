@@ -131,15 +131,21 @@ def _doubled(anchored: DataFrame, length: int, past: int) -> DataFrame:
     return known
 
 
-def _mask(size: int, ranges: list[dict] | None) -> np.ndarray:
+def _mask(size: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Flags of the starts within ranges (first and last start)."""
     change = np.zeros(size + 1, np.int64)
-    for r in ranges or ():
-        change[r["low"]] += 1
-        change[r["high"] + 1] -= 1
+    np.add.at(change, low, 1)
+    np.add.at(change, high + 1, -1)
     return np.cumsum(change)[:-1] > 0
 
 
+def _listed(column: pa.ListArray, *names: str) -> tuple[np.ndarray, ...]:
+    """Bounds of each row's structs, and the named fields of all of them; a null row has none."""
+    bounds = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    own = column.values.slice(bounds[0], bounds[-1] - bounds[0])
+    return bounds - bounds[0], *(own.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names)
+
+
 def _cell_rows(length: int, cell: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For each cell of starts of repeated anchors: the hash of the bytes all its strings have, that of
     the bytes any of them has (null where the text ends before), and whether some of its starts are
@@ -147,15 +153,18 @@ def _cell_rows(length: int, cell: int) -> Callable[[Iterator[pa.RecordBatch]], I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, out = batch.column("doc"), []
-            for row, (data, marks, known) in enumerate(zip(batch.column("text"), batch.column("marks"), batch.column("known"))):
-                data = np.frombuffer((data.as_py() or "").encode(), np.uint8)
-                ranges, resolved = T.Ranges(data), _mask(len(data) + 1, known.as_py())
+            bytes_of, text_at = T.text_bytes(batch.column("text"))
+            mark_at, *marks = _listed(batch.column("marks"), "place", "low", "high", "open")
+            known_at, *known = _listed(batch.column("known"), "low", "high")
+            for row in range(len(batch)):
+                data = bytes_of[text_at[row]:text_at[row + 1]]
+                spans = [f[known_at[row]:known_at[row + 1]] for f in known]
+                ranges, resolved = T.Ranges(data), _mask(len(data) + 1, *spans)
                 open_before = np.concatenate([[0], np.cumsum(~resolved)])
-                marks = marks.as_py()
-                place, low, high, was_open = (np.array([m[f] for m in marks], np.int64) for f in ("place", "low", "high", "open"))
+                place, low, high, was_open = (f[mark_at[row]:mark_at[row + 1]] for f in marks)
                 first, last = (place - high) // cell, (place - low) // cell
                 many = last - first + 1
-                owner = np.repeat(np.arange(len(marks)), many)
+                owner = np.repeat(np.arange(len(place)), many)
                 number = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + first[owner]
                 begin = place[owner] - number * cell  # the cell's starts are begin - cell + 1 .. begin
                 stop = begin - cell + 1 + length
@@ -211,15 +220,21 @@ def repeated_starts(texts: DataFrame, copies: DataFrame, length: int, gram: int,
         # neighbouring anchors may share a cell's place, each with its own starts; the place is the id
         named = cells.withColumn("id", F.xxhash64("doc", "begin"))
         ends = [F.min("id").alias("least"), F.max("id").alias("greatest"), F.max("open").alias("any_open")]
-        wide = (named.where("wide is not null").groupBy("wide").agg(*ends)
-                .where("least <> greatest and any_open").select("wide", F.lit(True).alias("closed")))
-        last = finished(named.join(wide, "wide", "left").select(
+        # stored, so that a hot string's cells meet it in a join that AQE divides; only open cells need to
+        wide = finished(named.where("wide is not null").groupBy("wide").agg(*ends)
+                        .where("least <> greatest and any_open").select("wide", F.lit(True).alias("closed")), "wide")
+        asked = F.col("open") & F.col("wide").isNotNull()
+        if cell == 1:
+            found = found.union(finished(named.where(asked).join(wide, "wide").select("doc", "low", "high"), "closed"))
+            release(cells, wide)
+            return found
+        judged = named.where(asked).join(wide, "wide", "left").unionByName(
+            named.where(~asked).withColumn("closed", F.lit(None).cast("boolean")))
+        last = finished(judged.select(
             "doc", "place", "low", "high", "key", "begin", "closed",
             (F.col("open") & F.col("closed").isNull()).alias("open")), "judged")
-        release(cells)
+        release(cells, wide)
         found = found.union(finished(last.where("closed").select("doc", "low", "high"), "closed"))
-        if cell == 1:
-            return found
         named = last.withColumn("id", F.xxhash64("doc", "begin"))
         alike = named.groupBy("key").agg(*ends).where("least <> greatest and any_open").select("key")
         marks = named.join(alike, "key").select("doc", "place", "low", "high", F.col("open").cast("int").alias("open"))
@@ -243,25 +258,28 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for data, copies, starts in zip(*(batch.column(c) for c in ("text", "n", "starts"))):
-                data = np.frombuffer(data.as_py().encode(), np.uint8)
-                change = np.zeros(len(data) + 1, np.int64)
-                if copies.is_valid:
-                    change[0], change[-1] = 1, -1
-                elif starts.is_valid:
-                    ranges = starts.as_py()
-                    np.add.at(change, [r["low"] for r in ranges], 1)
-                    np.add.at(change, [r["high"] + length for r in ranges], -1)
+            for rows, block in T.sub_batches(batch, "text"):
+                begin, end = block.offsets[:-1], block.offsets[1:]
+                change = np.zeros(len(block.data) + 1, np.int32)
+                copied = rows.column("n").is_valid().to_numpy(zero_copy_only=False)
+                np.add.at(change, begin[copied], 1)
+                np.add.at(change, end[copied], -1)
+                at, low, high = _listed(rows.column("starts"), "low", "high")
+                base = np.repeat(begin, np.diff(at))
+                np.add.at(change, base + low, 1)
+                np.add.at(change, base + high + length, -1)
                 gone = np.cumsum(change)[:-1] > 0
-                runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                rest = data[~gone].tobytes()
-                out.append((rest, rest.decode("utf-8", "ignore"), len(data), int(gone.sum()), runs))
-            kept, rest, size, removed, runs = zip(*out) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(kept, pa.binary()), pa.array(rest, pa.string()), pa.array(size, pa.int64()),
-                 pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
-                names=["key", "kept", "kept_text", "n_bytes", "n_removed", "n_spans"])
+                opens = gone.copy()
+                opens[1:] &= ~gone[:-1]
+                first = begin[begin < end]
+                opens[first] = gone[first]
+                removed = T.per_text(gone, block.offsets)
+                rest, place = block.data[~gone].tobytes(), np.concatenate([[0], np.cumsum(end - begin - removed)])
+                kept = [rest[i:j] for i, j in zip(place[:-1].tolist(), place[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("key"), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()),
+                     pa.array(end - begin), pa.array(removed), pa.array(T.per_text(opens, block.offsets))],
+                    names=["key", "kept", "kept_text", "n_bytes", "n_removed", "n_spans"])
 
     return (narrow.join(found, "doc", "left").select("key", "text", "n", "starts")
             .mapInArrow(run, f"key {kind}, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long")
