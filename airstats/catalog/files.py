@@ -141,6 +141,24 @@ def _(spark, sf):
         F.size("file_sizes").cast("bigint").alias("sizes"))
 
 
+@query("s5_merge_ledger", _LOADED + """--- SELECT string_agg(DISTINCT cast(year AS varchar), ',' ORDER BY
+  cast(year AS varchar)) AS years, count(*) AS total_rows, count(DISTINCT year) AS sizes, true AS same FROM loaded""")
+def _(spark, sf):
+    """Years loaded one by one and one of them again, the ledger merged after each load; same as one counted in full."""
+    table, path, book, whole = (scratch_path(spark, n) for n in ("years", "ledger", "book", "counted"))
+    src = raw_csv(spark, sf)
+    years = sorted(_all_years(spark, src))
+    for wanted, force in [([y], False) for y in years] + [(years[:1], True)]:
+        done = parquet.load(spark, src, table, wanted, force=force)
+        merged = parquet.merge_ledger(spark, table, path, book, done.years)
+    columns = ["processed_years", "total_rows", F.array_sort(F.map_entries("file_sizes")).alias("file_sizes")]
+    counted = parquet.update_ledger(spark, table, whole).select(F.to_json(F.struct(*columns)).alias("row"))
+    return merged.select(
+        F.array_join(F.col("processed_years").cast("array<string>"), ",").alias("years"), "total_rows",
+        F.size("file_sizes").cast("bigint").alias("sizes"),
+        (F.to_json(F.struct(*columns)) == counted.scalar()).alias("same"))
+
+
 @query("s6_partition_listing", """--- SELECT cast(substr(fl_date, 1, 4) AS int) AS year, count(*) AS rows,
   true AS has_files, true AS has_bytes FROM flights GROUP BY 1""")
 def _(spark, sf):

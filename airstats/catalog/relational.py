@@ -11,7 +11,9 @@ from airstats.operators import (
     airports, compare, evaluate, features, filters, kpi, profile, rank, split, strata,
 )
 from airstats.plans import service
-from airstats.plans.sampling import draw, frequent, with_strata
+from airstats.plans.sampling import draw, draw_counted, frequent, with_strata
+from airstats.storage import scratch_path
+from airstats.streaming import requests
 
 # SQL pieces used by several queries.
 
@@ -360,8 +362,8 @@ def _(spark, sf):
   LEFT JOIN a ON a.month = m.month AND a.delay_group = g.delay_group
   LEFT JOIN s ON s.month = m.month AND s.delay_group = g.delay_group""")
 def _(spark, sf):
-    population = with_strata(flights(spark, sf))
-    return strata.sampling_log(population, sampled(population))
+    drawn = draw_counted(with_strata(flights(spark, sf)), KEY)
+    return strata.sampling_log(drawn.available, drawn.rows)
 
 
 @query("a8_group_shares", _SAMPLE + """--- SELECT delay_group, count(*) AS n,
@@ -510,6 +512,40 @@ def _(spark, sf):
     return features.route_risk(df, "train", "split").select(KEY, "split", "route_risk")
 
 
+def _folds(by: list[str], learnt: str = "true") -> str:
+    """Sums of total_delay per fold, of categories and of all, and each row's mean of the others, as CTEs."""
+    same = " AND ".join(f"o.{c} = r.{c}" for c in by)
+    return f""",
+  r AS (SELECT *, {learnt} AS learnt, {_hash(str(features.FOLD_SEED))} % {features.FOLDS} AS fold FROM base),
+  o AS (SELECT {', '.join(by)}, fold, sum(total_delay) AS s, count(*) AS k FROM r WHERE learnt GROUP BY ALL),
+  own AS (SELECT flight_id, sum(o.s) / sum(o.k) AS mean FROM r JOIN o ON {same} AND (o.fold <> r.fold OR NOT r.learnt)
+    GROUP BY 1),
+  every AS (SELECT f.fold, sum(o.s) / sum(o.k) AS mean, (SELECT sum(s) / sum(k) FROM o) AS whole
+    FROM (SELECT DISTINCT fold FROM r) f JOIN o ON o.fold <> f.fold GROUP BY 1)"""
+
+
+@query("f6_route_risk_out_of_fold", _FEATURES_BASE + _folds(["origin", "dest"]) + """--- SELECT flight_id,
+  round(coalesce(own.mean, every.mean), 6) AS route_risk FROM r LEFT JOIN own USING (flight_id) JOIN every USING (fold)""")
+def _(spark, sf):
+    df, by = _with_total(flights(spark, sf)), ["origin", "dest"]
+    sums = features.out_of_fold_sums(df, by, "total_delay", KEY)
+    found = features.with_out_of_fold_mean(df, sums, by, "route_risk", KEY)
+    return found.select(KEY, F.round("route_risk", 6).alias("route_risk"))
+
+
+@query("f12_out_of_fold_encoding", _FEATURES_BASE + _folds(
+    ["dest"], f"(cast({_hash('42')} AS double) + 0.5) / 4503599627370496.0 >= 0.2") + """--- SELECT flight_id, learnt,
+  round(coalesce(own.mean, CASE WHEN learnt THEN every.mean ELSE every.whole END), 6) AS te_dest
+  FROM r LEFT JOIN own USING (flight_id) JOIN every USING (fold)""")
+def _(spark, sf):
+    """Training rows take the mean of the other folds, test rows that of all training rows."""
+    df = split.stratified_split(_with_total(flights(spark, sf)), "delay_level", KEY, exact=False)
+    learnt = F.col("split") == features.TRAIN
+    sums = features.out_of_fold_sums(df.where(learnt), ["dest"], "total_delay", KEY)
+    found = features.with_out_of_fold_mean(df, sums, ["dest"], "te_dest", KEY, learnt=learnt)
+    return found.select(KEY, learnt.alias("learnt"), F.round("te_dest", 6).alias("te_dest"))
+
+
 @query("f7_group_other", """
   topo AS (SELECT coalesce(origin, 'nan') AS value FROM flights GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20),
   topd AS (SELECT coalesce(dest, 'nan') AS value FROM flights GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20)
@@ -582,7 +618,7 @@ def _te(c: str) -> str:
     return f"round(cast(coalesce({c}.te, (SELECT avg(te) FROM {c})) AS float), 3) AS {c.upper()}"
 
 
-@query("f14_serving_features", _ENCODING_SQL + "," + _COUNTS + f"""--- SELECT f.flight_id,
+_SERVING_SQL = (_ENCODING_SQL + "," + _COUNTS + f"""--- SELECT f.flight_id,
   cast(month AS float) AS "MONTH", cast(day_of_week AS float) AS "DAY_OF_WEEK",
   cast({_DEP_HOUR} AS float) AS "HOUR",
   cast(CASE WHEN {_DEP_HOUR} < 6 THEN 0 WHEN {_DEP_HOUR} < 12 THEN 1 WHEN {_DEP_HOUR} < 18 THEN 2 ELSE 3 END
@@ -592,6 +628,9 @@ def _te(c: str) -> str:
   FROM flights f LEFT JOIN counts c ON c.origin = f.origin AND c.dest = f.dest
   LEFT JOIN te_op_carrier ON te_op_carrier.op_carrier = f.op_carrier
   LEFT JOIN te_origin ON te_origin.origin = f.origin LEFT JOIN te_dest ON te_dest.dest = f.dest""")
+
+
+@query("f14_serving_features", _SERVING_SQL)
 def serving_features(spark, sf):
     df = flights(spark, sf)
     rows = features.serving_features(service.requests(df), service.encodings(_with_total(df)), [KEY])
@@ -599,6 +638,21 @@ def serving_features(spark, sf):
         c: F.round(c, 3) for c in features.SERVING_FEATURES if c.startswith("TE_")})
 
 
+@query("m16_stream_requests", _SERVING_SQL)
+def stream_requests(spark, sf):
+    """Requests that arrive as a stream, encoded by the newest maps: codes without flights of known delay are unseen."""
+    df = flights(spark, sf)
+    maps, src, dst, state = (scratch_path(spark, n) for n in ("maps", "arrivals", "encoded", "progress"))
+    # an older version, learnt from few months, must not be used
+    for learnt in (df.where("month < 3"), df):
+        requests.save_maps(service.encodings(_with_total(learnt)), features.route_flights(learnt), maps)
+    df.write.parquet(src)
+    stream = spark.readStream.schema(df.schema).parquet(src)
+    requests.write_requests(stream, maps, dst, state, [KEY]).awaitTermination()
+    rows = spark.read.parquet(dst).drop("batch")
+    return rows.withColumns({c: F.round(c, 3) for c in features.SERVING_FEATURES if c.startswith("TE_")})
+
+
 # Splits, weights, reports.
 
 @query("m1_stratified_split", _FEATURES_BASE + f""",

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from airstats.functions import (
-    code_text, delay_level, dep_hour, is_weekend, season, time_of_day, to_number,
+    code_text, delay_level, dep_hour, hash52, is_weekend, key_text, season, time_of_day, to_number,
 )
 from airstats.functions.parse import DEFAULT_HOUR
 from airstats.operators.filters import clean_for_model
@@ -23,6 +23,7 @@ SERVING_FEATURES = (
     "MONTH", "DAY_OF_WEEK", "HOUR", "TIME_OF_DAY", "ROUTE_COUNT", "CRS_ELAPSED_TIME",
     "TE_OP_CARRIER", "TE_ORIGIN", "TE_DEST",
 )
+FOLDS, FOLD_SEED = 5, 7
 TRAIN, TEST, VALIDATION = "train", "test", "validation"
 
 
@@ -94,6 +95,52 @@ def route_risk(df: DataFrame, fit_on: str = "train", split_col: str | None = Non
     return with_route_risk(df, route_totals(_fitted_on(df, fit_on, split_col), value))
 
 
+def out_of_fold_sums(df: DataFrame, by: Sequence[str], value: str, key: str | Sequence[str], folds: int = FOLDS,
+                     seed: int = FOLD_SEED) -> DataFrame:
+    """Count and sum of ``value`` per category, in all and in each fold, as a written table.
+
+    One aggregate of 2 * ``folds`` + 2 figures, so the rows are shuffled once, as partial sums. Null
+    categories have a row too: they count for the mean of all.
+    """
+    fold = _fold(key, folds, seed)
+    parts = [F.when(fold == f, F.col(value)) for f in range(folds)]
+    return stored(df.groupBy(*by).agg(
+        F.count(value).alias("known"), F.sum(value).cast("double").alias("total"),
+        F.array(*[F.count(p) for p in parts]).alias("fold_known"),
+        F.array(*[F.coalesce(F.sum(p).cast("double"), F.lit(0.0)) for p in parts]).alias("fold_total")), "folds")
+
+
+def _fold(key: str | Sequence[str], folds: int, seed: int) -> Column:
+    return (hash52(key_text(key), seed) % folds).cast("int")
+
+
+def with_out_of_fold_mean(df: DataFrame, sums: DataFrame, by: Sequence[str], name: str, key: str | Sequence[str],
+                          folds: int = FOLDS, seed: int = FOLD_SEED, learnt: Column | None = None) -> DataFrame:
+    """Mean of the category's rows in the other folds, so no row's own value is in its feature.
+
+    ``sums`` is :func:`out_of_fold_sums` of the rows for which ``learnt`` holds (all by default); other
+    rows take the mean of all folds. A category that has nothing in the folds that count, or is null or
+    unseen, takes the mean of all categories over those folds. Null if there is no value at all.
+    """
+    learnt = F.lit(True) if learnt is None else F.coalesce(learnt, F.lit(False))
+    arrays = [F.sum(F.col("fold_known")[f]).alias(f"k{f}") for f in range(folds)] + [
+        F.sum(F.col("fold_total")[f]).alias(f"t{f}") for f in range(folds)]
+    one = sums.agg(F.sum("known").alias("known"), F.sum("total").alias("total"), *arrays)
+    whole = one.select(F.struct(
+        "known", "total", F.array(*[f"k{f}" for f in range(folds)]).alias("fold_known"),
+        F.array(*[f"t{f}" for f in range(folds)]).alias("fold_total")).alias("whole")).scalar()
+    fold = _fold(key, folds, seed)
+
+    def others(known: Column, total: Column, fold_known: Column, fold_total: Column) -> Column:
+        left = known - F.when(learnt, fold_known[fold]).otherwise(0)
+        return F.when(left > 0, (total - F.when(learnt, fold_total[fold]).otherwise(0.0)) / left)
+
+    columns = ("known", "total", "fold_known", "fold_total")
+    found = sums.select(*by, F.struct(*columns).alias("_sums"))
+    mean = F.coalesce(others(*[F.col("_sums")[c] for c in columns]), others(*[whole[c] for c in columns]))
+    return df.join(found, list(by), "left").withColumn(name, mean).drop("_sums")
+
+
 def with_grouped_ends(df: DataFrame, totals: DataFrame, k: int = TOP_AIRPORTS) -> DataFrame:
     """ORIGIN_GROUPED and DEST_GROUPED: the k most frequent of each, the rest OTHER."""
     def grouped(col: str) -> Column:
@@ -160,11 +207,16 @@ def apply_encoding(df: DataFrame, mapping: DataFrame, col: str) -> DataFrame:
         te, F.coalesce(F.col("_te"), default)).drop("_te")
 
 
+def route_flights(df: DataFrame, origin: str = "origin", dest: str = "dest") -> DataFrame:
+    """Flights per route, a written table."""
+    return stored(df.groupBy(origin, dest).agg(F.count("*").alias("flights")), "routes")
+
+
 def route_count(df: DataFrame, totals: DataFrame | None = None, origin: str = "origin",
                 dest: str = "dest") -> DataFrame:
     """Number of flights on each row's route; 0 where an end is unknown."""
     if totals is None:
-        totals = stored(df.groupBy(origin, dest).agg(F.count("*").alias("flights")), "routes")
+        totals = route_flights(df, origin, dest)
     counts = totals.where(F.col(origin).isNotNull() & F.col(dest).isNotNull()).select(
         origin, dest, F.col("flights").alias("_flights"))
     return df.join(counts, [origin, dest], "left").withColumn(
@@ -187,8 +239,8 @@ def serving_features(df: DataFrame, maps: Mapping[str, DataFrame],
 
 __all__ = [
     "CATEGORICAL_FEATURES", "ENCODED_COLUMNS", "NUMERIC_FEATURES", "OTHER", "SERVING_FEATURES",
-    "TEST", "TRAIN", "VALIDATION", "apply_encoding", "build_features", "route_count", "route_risk",
+    "TEST", "TRAIN", "VALIDATION", "apply_encoding", "build_features", "out_of_fold_sums", "route_count", "route_flights", "route_risk",
     "route_totals", "serving_features", "standard_stats", "standardise", "target_encoding",
     "target_encodings",
-    "with_grouped_ends", "with_route_risk", "with_targets", "with_time_features",
+    "with_grouped_ends", "with_out_of_fold_mean", "with_route_risk", "with_targets", "with_time_features",
 ]

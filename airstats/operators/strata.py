@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -45,6 +45,20 @@ def with_priority(df: DataFrame, top_carriers: Column, top_airports: Column,
 def stratified_sample(df: DataFrame, by: Sequence[str], quota: Column, weight: Column | str,
                       key: str | Sequence[str], seed: int | Column = SAMPLE_SEED,
                       max_quota: int | None = None) -> DataFrame:
+    """The drawn rows of :func:`counted_sample`."""
+    return counted_sample(df, by, quota, weight, key, seed, max_quota).rows
+
+
+class CountedSample(NamedTuple):
+    """Drawn rows, not yet computed, and a written table of the rows there were to draw from, by stratum."""
+
+    rows: DataFrame
+    available: DataFrame
+
+
+def counted_sample(df: DataFrame, by: Sequence[str], quota: Column, weight: Column | str,
+                   key: str | Sequence[str], seed: int | Column = SAMPLE_SEED,
+                   max_quota: int | None = None) -> CountedSample:
     """Draw up to ``quota`` rows per stratum without replacement, chances following ``weight``.
 
     Exponential race: every row gets -ln(u) / weight with u hashed from ``key``, and the smallest
@@ -62,14 +76,15 @@ def stratified_sample(df: DataFrame, by: Sequence[str], quota: Column, weight: C
     quota plus at most about a tenth, are shuffled and ranked. ``max_quota``, if known, also lets
     every task cut its own part to that many rows; that matters when a key has many copies, which
     all have the same race time.
+
+    The counters also say how many rows each stratum has; rows without a stratum are counted there
+    under their nulls and never drawn.
     """
     by = list(by)
-    in_stratum = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by])
     weight = F.col(weight) if isinstance(weight, str) else weight
     hit = -F.ln(uniform(hash52(key_text(key), seed)))
     runners = (
-        df.where(in_stratum)
-        .withColumns({"_hit": hit, "_weight": F.nanvl(weight.cast("double"), F.lit(0.0)), "_quota": quota})
+        df.withColumns({"_hit": hit, "_weight": F.nanvl(weight.cast("double"), F.lit(0.0)), "_quota": quota})
         .withColumn("_race", F.when(F.col("_weight") > 0, F.col("_hit") / F.col("_weight"))
                     .otherwise(float("inf")))
     )
@@ -84,35 +99,43 @@ def stratified_sample(df: DataFrame, by: Sequence[str], quota: Column, weight: C
     last_bins = stored(
         counts.withColumn("_filled", filled)
         .groupBy(*by)
-        .agg(F.min(F.when(F.col("_filled") >= F.col("_quota"), F.col("_bin"))).alias("_last_bin")),
+        .agg(F.min(F.when(F.col("_filled") >= F.col("_quota"), F.col("_bin"))).alias("_last_bin"),
+             F.sum("_n").alias("available")),
         "last-bins",
     )
 
     place = F.row_number().over(Window.partitionBy(*by).orderBy("_race", "_hit", *_key_columns(key)))
     ranked = (
-        runners.join(last_bins, by)
+        runners.join(last_bins.select(*by, "_last_bin"), by)
         .where(F.col("_last_bin").isNull() | (F.col("_bin") <= F.col("_last_bin")))
         .withColumn("_place", place)
         .where(F.col("_place") <= F.col("_quota"))
     )
     if max_quota is not None:
         ranked = ranked.where(F.col("_place") <= max_quota)
-    return ranked.select(*df.columns)
+    return CountedSample(ranked.select(*df.columns), last_bins.select(*by, "available"))
 
 
 def _key_columns(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def sampling_log(population: DataFrame, sample: DataFrame, month: str = "month",
+def sampling_log(available: DataFrame, sample: DataFrame, month: str = "month",
                  group: str = "delay_group", strata: tuple[Stratum, ...] = STRATA) -> DataFrame:
-    """Available and sampled rows per month and group; empty groups of a present month show 0."""
-    both = population.select(month, group, F.lit(False).alias("_drawn")).unionByName(
-        sample.select(month, group, F.lit(True).alias("_drawn")))
-    drawn, name = F.col("_drawn"), F.col(group)
+    """Available and sampled rows per month and group; empty groups of a present month show 0.
+
+    ``available`` has the rows per month and group that the sampler counted while it drew, so the
+    population is not read for it.
+    """
+    both = available.select(month, group, "available", F.lit(0).cast("long").alias("_drawn")).unionByName(
+        sample.select(month, group, F.lit(0).cast("long").alias("available"), F.lit(1).cast("long").alias("_drawn")))
+
+    def of(column: str, s: Stratum) -> Column:
+        return F.sum(F.when(F.col(group) == s.name, F.col(column)).otherwise(0))
+
     per_month = both.where(F.col(month).isNotNull()).groupBy(month).agg(
-        *[F.count_if(~drawn & (name == s.name)).alias(f"a_{s.name}") for s in strata],
-        *[F.count_if(drawn & (name == s.name)).alias(f"s_{s.name}") for s in strata],
+        *[of("available", s).alias(f"a_{s.name}") for s in strata],
+        *[of("_drawn", s).alias(f"s_{s.name}") for s in strata],
     )
     rows = [
         F.struct(F.lit(s.name).alias("delay_group"), F.col(f"a_{s.name}").alias("available"),

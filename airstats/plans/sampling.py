@@ -55,7 +55,12 @@ def with_strata(df: DataFrame, time_format: str = "hhmm",
 
 def draw(scored: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """The stratified sample of flights that carry a priority score and a delay group."""
-    return strata.stratified_sample(
+    return draw_counted(scored, key).rows
+
+
+def draw_counted(scored: DataFrame, key: str | Sequence[str]) -> strata.CountedSample:
+    """As :func:`draw`, with the rows available per month and delay group, which the sampler has counted."""
+    return strata.counted_sample(
         scored, ["month", "delay_group"], quota_of("delay_group"), "priority_score", key,
         F.lit(strata.SAMPLE_SEED) + F.col("month"), max(s.quota for s in STRATA))
 
@@ -64,11 +69,11 @@ def sample_flights(df: DataFrame, key: str | Sequence[str], time_format: str = "
     """Draw the sample, write it to the scratch folder and report on it."""
     top = frequent(df)
     population = with_strata(df, time_format, top)
-    drawn = draw(population, key).drop("priority_score").withColumn("sampling_month", F.col("month"))
-    sample = stored(drawn, "sample")
+    drawn = draw_counted(population, key)
+    sample = stored(drawn.rows.drop("priority_score").withColumn("sampling_month", F.col("month")), "sample")
     return Sampled(
         sample,
-        strata.sampling_log(population, sample),
+        strata.sampling_log(drawn.available, sample),
         strata.group_shares(sample),
         strata.carrier_coverage(sample, top[0]),
     )

@@ -94,7 +94,7 @@ def write_quarantine(rows: DataFrame, path: str, load: str) -> None:
 def loaded_years(spark: SparkSession, path: str) -> set[int]:
     """Years a table has files of; none if there is no table yet. Lists folders, opens no file."""
     found = set()
-    for folder in _folders(spark, path):
+    for folder in subfolders(spark, path):
         name, _, value = folder.rpartition("/")[2].partition("=")
         if name == "year" and value.isdigit() and any(_files_by_folder(spark, path, [int(value)]).values()):
             found.add(int(value))
@@ -149,13 +149,19 @@ def record_load(spark: SparkSession, path: str, source: str, counts: Mapping[str
         "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(path)
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
+def subfolders(spark: SparkSession, path: str) -> list[str]:
     """Paths of the folders in a folder; none if it is not there."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return [f.getPath().toString() for f in files.listStatus(root) if f.isDirectory()] if files.exists(root) else []
 
 
+def has_files(spark: SparkSession, path: str, name: str) -> bool:
+    """Whether a folder has a file of that name."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, name)
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file)
+
+
 def _files_by_folder(spark: SparkSession, table: str, years: Sequence[int]) -> dict[str, frozenset[str]]:
     """Data files in each month's folder of some years of a table."""
     jvm = spark.sparkContext._jvm
@@ -179,19 +185,21 @@ def _delete(spark: SparkSession, folders: Sequence[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _per_file(spark: SparkSession, path: str) -> DataFrame:
+def _per_file(rows: DataFrame) -> DataFrame:
     """Year, path, bytes and rows of each data file."""
-    return (
-        spark.read.parquet(path)
-        .groupBy("year", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
-        .agg(F.count("*").alias("rows"))
-    )
+    return rows.groupBy(
+        "year", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")
+    ).agg(F.count("*").alias("rows"))
+
+
+def _listed(files: DataFrame) -> DataFrame:
+    return files.groupBy("year").agg(
+        F.count("*").alias("files"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
 
 
 def partition_listing(spark: SparkSession, path: str) -> DataFrame:
     """Files, rows and bytes per year, counted in full."""
-    return _per_file(spark, path).groupBy("year").agg(
-        F.count("*").alias("files"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+    return _listed(_per_file(spark.read.parquet(path)))
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -200,6 +208,31 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def update_ledger(spark: SparkSession, table: str, path: str) -> DataFrame:
     """Write the one-row ledger of a table: years, rows, sizes, first and last processing time."""
+    return _write_ledger(partition_listing(spark, table), path)
+
+
+def merge_ledger(spark: SparkSession, table: str, path: str, book: str, years: Sequence[int]) -> DataFrame:
+    """As :func:`update_ledger`, after a load that wrote ``years``: only their files are counted.
+
+    ``book`` is a table of one row per year (files, rows, bytes). The years that a load wrote
+    replace their rows there, a year that has no files left is kept as 0 rows and not listed, and
+    the ledger is made from the book. The first call for a table must name all its years
+    (:func:`loaded_years`). Merging the same load again changes nothing but ``last_updated``.
+    """
+    there = loaded_years(spark, table)
+    found = spark.createDataFrame([(y,) for y in sorted(set(years))], "year int")
+    if there & set(years):
+        paths = [f"{table}/year={y}" for y in sorted(there & set(years))]
+        found = found.join(_listed(_per_file(spark.read.option("basePath", table).parquet(*paths))), "year", "left")
+    else:
+        found = found.selectExpr("year", *[f"0L AS {c}" for c in ("files", "rows", "bytes")])
+    found.na.fill(0).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "year").parquet(book)
+    return _write_ledger(spark.read.parquet(book).where("files > 0"), path)
+
+
+def _write_ledger(listing: DataFrame, path: str) -> DataFrame:
+    spark = listing.sparkSession
     try:
         first = ledger(spark, path).select("processing_date").head()
     except AnalysisException as e:
@@ -209,7 +242,7 @@ def update_ledger(spark: SparkSession, table: str, path: str) -> DataFrame:
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     gigabytes = F.format_string("%.2fGB", F.col("bytes") / float(1024**3))
     # One group per year is left when the lists are built.
-    row = partition_listing(spark, table).agg(
+    row = listing.agg(
         F.array_sort(F.collect_list("year")).alias("processed_years"),
         F.sum("rows").alias("total_rows"),
         F.map_from_entries(F.collect_list(F.struct(F.col("year").cast("string"), gigabytes))).alias("file_sizes"),

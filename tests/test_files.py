@@ -249,3 +249,39 @@ def test_conforming_reads_columns_that_stand_in_file_and_path(spark, tmp_path):
     assert got == [(1, 2023), (2, 2023), (3, 2023), (4, 2024), (5, 2025)]
     skipped = {r.file.split("/")[-2]: r.faults for r in parquet.skipped_files(spark, path, schema).collect()}
     assert skipped == {"year=2026": ["a: string"], "none": ["year: missing"]}
+
+
+def test_ledger_merge_counts_only_loaded_years(spark, tmp_path, monkeypatch):
+    table, path, book = (str(tmp_path / n) for n in ("table", "ledger", "book"))
+    rows = [(y, m, y + m) for y in (2021, 2022) for m in (1, 2)]
+    spark.createDataFrame(rows, "year int, month int, a int").write.partitionBy("year", "month").parquet(table)
+    first = parquet.merge_ledger(spark, table, path, book, [2021, 2022]).head()
+    assert (first.processed_years, first.total_rows, set(first.file_sizes)) == ([2021, 2022], 4, {"2021", "2022"})
+
+    seen, count = [], parquet._per_file
+    monkeypatch.setattr(parquet, "_per_file", lambda df: seen.extend(df.inputFiles()) or count(df))
+    spark.createDataFrame([(2022, 3, 0)], "year int, month int, a int").write.mode("append").partitionBy(
+        "year", "month").parquet(table)
+    again = parquet.merge_ledger(spark, table, path, book, [2022]).head()
+    assert (again.total_rows, again.processing_date) == (5, first.processing_date)
+    assert seen and all("year=2022" in f for f in seen)
+
+    # a year that lost its files is no longer listed
+    parquet._delete(spark, [f"{table}/year=2021"])
+    gone = parquet.merge_ledger(spark, table, path, book, [2021]).head()
+    assert (gone.processed_years, gone.total_rows) == ([2022], 3)
+
+
+def test_requests_use_the_newest_finished_maps(spark, tmp_path):
+    from airstats.streaming import requests
+
+    path = str(tmp_path / "maps")
+    with pytest.raises(ValueError):
+        requests.load_maps(spark, path)
+    totals = spark.createDataFrame([("A", "B", 2)], "origin string, dest string, flights long")
+    for mean in (1.0, 2.0):
+        requests.save_maps({"dest": spark.createDataFrame([("B", mean)], "dest string, te_dest double")}, totals, path)
+    totals.write.parquet(f"{path}/version=3/maps/dest")  # not finished
+    maps, routes = requests.load_maps(spark, path)
+    assert [r.te_dest for r in maps["dest"].collect()] == [2.0] and routes.count() == 1
+    assert requests.save_maps({}, totals, path) == 4

@@ -65,3 +65,21 @@ def test_profile_scans_and_counts_once(spark, flights):
     df.collect()
     final = plan(df).split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_sampling_log_does_not_read_the_population(spark, flights):
+    from airstats.operators.strata import sampling_log
+    from airstats.plans.sampling import draw_counted
+
+    drawn = draw_counted(with_strata(flights), "flight_id")
+    text = plan(sampling_log(drawn.available, drawn.rows.limit(0)))
+    assert "arr_delay" not in text and "last-bins" in text
+
+
+def test_out_of_fold_means_are_one_aggregate(spark, flights):
+    from airstats.operators import features
+
+    rows = features.with_targets(flights)
+    sums = features.out_of_fold_sums(rows, ["dest"], "total_delay", "flight_id")
+    text = plan(features.with_out_of_fold_mean(rows, sums, ["dest"], "te_dest", "flight_id"))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "Exchange hashpartitioning(dest" not in text
