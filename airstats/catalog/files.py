@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from airstats.binding import KEY, flights
 from airstats.catalog.registry import query
@@ -12,6 +12,7 @@ from airstats.operators.filters import require, with_year_month
 from airstats.plans.sampling import draw, with_strata
 from airstats.schema import FLIGHT_SCHEMA
 from airstats.sources import csv, parquet
+from airstats.sources.drift import read_drifted
 from airstats.storage import scratch_path
 from airstats.streaming.ingest import FLIGHT_KEY, stream_ingest
 
@@ -183,6 +184,32 @@ def _(spark, sf):
     return parquet.read_conforming(spark, _drifting(spark, sf), schema)
 
 
+@query("s9_read_drifted", """rows AS (SELECT flight_id, op_carrier, month, cast(substr(fl_date, 1, 4) AS int) AS year,
+    origin, dest FROM flights WHERE fl_date IS NOT NULL AND month IS NOT NULL AND op_carrier IS NOT NULL)
+  --- SELECT flight_id, op_carrier, month, year, CASE WHEN op_carrier >= 'C06' THEN coalesce(origin, '?') || '-' || coalesce(dest, '?') END AS ends,
+  1 AS skipped FROM rows WHERE op_carrier < 'C09'""")
+def _(spark, sf):
+    """Four folders: year in path and file, a wider month under another name with a list of ends, months as text (left out)."""
+    df = with_year_month(flights(spark, sf).where("fl_date IS NOT NULL AND month IS NOT NULL AND op_carrier IS NOT NULL"))
+    df = df.select(KEY, "op_carrier", "month", "year", "origin", "dest")
+    path, drop = scratch_path(spark, "drifted"), ["origin", "dest"]
+    narrow = df.where("op_carrier < 'C03'").drop(*drop)
+    for year in sorted(r.year for r in df.select("year").distinct().collect()):
+        narrow.where(F.col("year") == year).write.parquet(f"{path}/a/year={year}")
+    df.where("op_carrier >= 'C03' AND op_carrier < 'C06'").drop(*drop).write.partitionBy("year").parquet(f"{path}/b")
+    wide = df.where("op_carrier >= 'C06' AND op_carrier < 'C09'").select(
+        F.col(KEY).alias("Flight_Id"), "op_carrier", F.col("month").cast("bigint").alias("MON"), "year", F.array("origin", "dest").alias("ends"))
+    wide.write.parquet(f"{path}/c")
+    df.where("op_carrier >= 'C09'").withColumn("month", F.col("month").cast("string")).drop(*drop).coalesce(1).write.parquet(f"{path}/d")
+    wanted = T.StructType([
+        df.schema[KEY], df.schema["op_carrier"], T.StructField("month", T.LongType()), df.schema["year"],
+        T.StructField("ends", T.ArrayType(T.StringType()))])
+    got = read_drifted(spark, path, wanted, {"month": ["mon"]}, optional=["ends"])
+    ends = F.array_join("ends", "-", "?")
+    return got.rows.select(KEY, "op_carrier", F.col("month").cast("int").alias("month"), "year", ends.alias("ends"),
+                           got.skipped.agg(F.count("*").cast("int")).scalar().alias("skipped"))
+
+
 @query("a1b_type_profile", """--- SELECT * FROM (VALUES ('month', 'int32'), ('month', 'string'),
   ('op_carrier', 'string')) t("column", type)""")
 def _(spark, sf):

@@ -285,3 +285,38 @@ def test_requests_use_the_newest_finished_maps(spark, tmp_path):
     maps, routes = requests.load_maps(spark, path)
     assert [r.te_dest for r in maps["dest"].collect()] == [2.0] and routes.count() == 1
     assert requests.save_maps({}, totals, path) == 4
+
+
+def test_drifted_files_are_widened_by_name(spark, tmp_path):
+    from airstats.sources.drift import read_drifted, widens
+
+    path = str(tmp_path / "mixed")
+    schema = T._parse_datatype_string("a bigint, tags array<double>, at struct<x:bigint,y:string>, year int")
+    nested = ["array(1.5f) as tags", "named_struct('y', 'q', 'X', 2, 'z', true) as at"]
+    spark.range(1).selectExpr("cast(1 as int) as A", *nested, "2020 as year").write.partitionBy("year").parquet(path)
+    spark.range(1).selectExpr("2L as b", "null as tags", "null as at", "2021 as year").selectExpr(
+        "b", "cast(tags as array<double>) tags", "cast(at as struct<x:bigint,y:string>) at", "year").write.parquet(f"{path}/year=2021")
+    for bad, kind in (("'x' as a", "text"), ("1.5D as a", "double"), ("1 as c", "none")):
+        spark.range(1).selectExpr(bad, *nested, "2022 as year").coalesce(1).write.parquet(f"{path}/{kind}")
+    got = read_drifted(spark, path, schema, {"a": ["b"]})
+    rows = {r.a: r for r in got.rows.collect()}
+    assert got.rows.schema == schema and set(rows) == {1, 2}
+    assert rows[1].tags == [1.5] and tuple(rows[1].at) == (2, "q") and rows[1].year == 2020
+    assert rows[2].tags is None and rows[2].at is None and rows[2].year == 2021
+    assert {r.file.split("/")[-2]: r.faults for r in got.skipped.collect()} == {
+        "text": ["a: string"], "double": ["a: double"], "none": ["a: missing"]}
+    assert not widens(T.LongType(), T.IntegerType()) and not widens(T.LongType(), T.DoubleType())
+    assert widens(T.IntegerType(), T.DecimalType(12, 2)) and not widens(T.IntegerType(), T.DecimalType(10, 2))
+
+
+def test_drifted_reads_of_one_folder_and_of_none(spark, tmp_path):
+    from airstats.sources.drift import read_drifted
+
+    path = str(tmp_path / "shared")
+    for rows in ("1 as a", "2L as a", "'x' as a"):
+        spark.range(1).selectExpr(rows).coalesce(1).write.mode("append").parquet(path)
+    got = read_drifted(spark, path, T._parse_datatype_string("a bigint"))
+    assert sorted(r.a for r in got.rows.collect()) == [1, 2] and got.skipped.count() == 1
+    (tmp_path / "none").mkdir()
+    none = read_drifted(spark, str(tmp_path / "none"), T._parse_datatype_string("a bigint"))
+    assert none.rows.count() == 0 and none.skipped.count() == 0
