@@ -5,6 +5,9 @@ choose, named by its path of tags and classes with numbers generalised. Spark co
 each host, and every page is then read again with its host's winning paths; a page without any of
 them keeps its own choice.
 
+At most ``PATHS`` paths of a host win, each with ``MIN_SHARE`` of its votes; pages of rarer layouts make
+their own choice.
+
 A null or empty page has an empty text; a null url counts as one host. Every row gives one result
 row, equal pages of a host get equal texts.
 """
@@ -19,10 +22,10 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from airstats.llm.phases import finished
+
 #: Winning paths kept for a host, and the share of the host's votes that each needs.
 PATHS, MIN_SHARE = 3, 0.1
-#: A host's pages are spread over so many parts when they meet its paths.
-SALTS = 16
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"""
@@ -48,6 +51,9 @@ _BAD_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponso
                  "overlay share sharing social sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs "
                  "footer masthead topbar toolbar comment comments reply replies disqus related recommended "
                  "recommendations widget pagination pager login signin signup search skip hidden".split())
+_COMMENTS = set("comment comments commentary reply replies disqus".split())
+_STRUCTURE = set("area bar block body box button buttons container content footer form head header icon icons inner "
+                 "item items link links list outer panel row section slot thread title unit wrap wrapper".split())
 _WHOLE = ("article", "main")
 _GOOD_NAMES = set("article content main post entry story".split())
 _NEUTRAL = set("has with no without".split())
@@ -71,27 +77,38 @@ class Page:
             own[self.parents[i]] += own[i]
         return own
 
-    def best(self) -> int:
-        """The container that one gets to by always going to a child with most of the text.
+    def best(self) -> list[int]:
+        """The containers that one gets to by always going to a child with most of the text.
 
-        An article or main is not gone into: all its text belongs to it.
+        One goes no further where a container has text of its own beside that child, or further
+        children of the child's path: title, lead and sections belong together. An article or main is
+        not gone into, as all its text belongs to it; articles side by side are chosen together. The
+        first one chosen has most of the text.
         """
         weights = self.weights()
         children: list[list[int]] = [[] for _ in self.paths]
         for i, parent in enumerate(self.parents[1:], 1):
             children[parent].append(i)
+        own = {at for at, text, linked in self.blocks if len(text) > linked}
         at = chosen = 0
         while True:
             heavy = [i for i in children[at] if 10 * weights[i] >= 7 * weights[at] and weights[i]]
             heavy += [i for i in children[at] if i not in heavy and weights[i]
                       and self.tags[i] in _WHOLE and 10 * weights[i] >= 4 * weights[at]]
             if not heavy:
-                return chosen
-            at = max(heavy, key=lambda i: weights[i])
+                articles = [i for i in children[at] if self.tags[i] in _WHOLE and weights[i]]
+                if 10 * sum(weights[i] for i in articles) >= 7 * weights[at] and articles:
+                    return sorted(articles, key=lambda i: -weights[i])
+                return [chosen]
+            best = max(heavy, key=lambda i: weights[i])
+            if self.tags[best] in _WHOLE:
+                return [best, *[i for i in children[at] if i != best and self.tags[i] == self.tags[best] and weights[i]]]
+            alike = [i for i in children[at] if self.paths[i] == self.paths[best] and weights[i]]
+            if at in own or len(alike) > 1:
+                return [at if self.tags[at] in _CHOSEN_FROM else chosen]
+            at = best
             if self.tags[at] in _CHOSEN_FROM:
                 chosen = at
-            if self.tags[at] in _WHOLE:
-                return chosen
 
     def text(self, chosen: list[int]) -> str:
         """Blocks inside the chosen containers, in page order; lists of links go unless an article has them."""
@@ -129,13 +146,16 @@ def _bad(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     if re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
         return True
     names = re.findall(r"\S+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
-    if not names or _GOOD_NAMES & set(names):
+    words_of = [w for w in (re.findall(r"[a-z]+", name) for name in names) if w and w[0] not in _NEUTRAL]
+    # readers' comments, whatever else the container is called
+    if tag in _CONTAINERS and any(_COMMENTS & set(w) and not set(w) - _COMMENTS - _STRUCTURE for w in words_of):
+        return True
+    if _GOOD_NAMES & set(names):
         return False
-    for name in names:
-        words = re.findall(r"[a-z]+", name)
-        if _BAD_WORDS & set(words) and not _NEUTRAL & set(words[:1]):
-            return True
-    return False
+    if in_article:
+        # what an article says may be about any of the words: only containers named for nothing else go
+        return tag in _CONTAINERS and any(_BAD_WORDS & set(w) and not set(w) - _BAD_WORDS - _STRUCTURE for w in words_of)
+    return any(_BAD_WORDS & set(w) for w in words_of)
 
 
 def read_page(source: str | None, with_forms: bool = False) -> Page:
@@ -216,7 +236,7 @@ def read_page(source: str | None, with_forms: bool = False) -> Page:
 def vote(source: str | None) -> tuple[str, int] | None:
     """Path of the page's best container and the text it holds."""
     page = read_page(source)
-    best = page.best()
+    best = page.best()[0]
     weight = page.weights()[best]
     return (page.paths[best], weight) if weight else None
 
@@ -228,8 +248,9 @@ def main_text(source: str | None, winners: list[str]) -> str:
     for path in winners:
         chosen = [i for i, p in enumerate(page.paths) if p == path and weights[i]]
         if chosen:
-            return page.text(chosen)
-    return page.text([page.best()])
+            own = page.best()
+            return page.text(chosen if not set(chosen) & set(own) else [*chosen, *own])
+    return page.text(page.best())
 
 
 def host(url: str) -> Column:
@@ -259,10 +280,10 @@ def host_paths(pages: DataFrame, url: str = "url", source: str = "html") -> Data
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """``key``, ``url``, text and n_chars for each row of ``pages``."""
-    winners = host_paths(pages, url, source).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(source).alias("html"),
-                        host(url).alias("host")).withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int"))
-    joined = rows.join(winners, ["host", "salt"], "left").select("key", "url", "html", "paths")
+    # a written table: its size is known, so pages stay where they are unless it is large
+    winners = finished(host_paths(pages, url, source), "hosts")
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(source).alias("html"), host(url).alias("host"))
+    joined = rows.join(winners, "host", "left").select("key", "url", "html", "paths")
     kind = pages.select(key).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

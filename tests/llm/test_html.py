@@ -86,3 +86,25 @@ def test_articles_are_whole(tag, inner, want):
 def test_main_with_an_article_and_further_text():
     page = f"<body><main><article><p>{LONG}</p></article><p>more {LONG}</p></main></body>"
     assert html.main_text(page, []) == f"{LONG.strip()}\n\nmore {LONG.strip()}"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div class=content><h1>Title</h1><p>Lead</p><div class=body><p>{LONG}</p></div></div>", ["Title", "Lead", LONG.strip()]),
+    (f"<div class=text><p>{LONG * 3}</p></div><div class=text><p>{LONG}</p></div>", [(LONG * 3).strip(), LONG.strip()]),
+    (f"<article class=one><p>{LONG}</p></article><article class=two><p>short</p></article><p>other</p>", [LONG.strip(), "short"]),
+    (f"<article><p>a {LONG}</p></article><article><p>b {LONG}</p></article><article><p>c {LONG}</p></article>",
+     [f"{c} {LONG.strip()}" for c in "abc"]),
+    (f'<article><p class="share">Share of market rose</p><p>{LONG}</p></article>', ["Share of market rose", LONG.strip()]),
+    (f'<article><p>{LONG}</p><div class="search-results-analysis"><p>x</p></div></article>', [LONG.strip(), "x"]),
+    (f'<article><p>{LONG}</p><div class="share-buttons"><p>x</p></div><div class="ad-slot">y</div></article>', [LONG.strip()]),
+    (f'<article><p>{LONG}</p><div class="comment entry"><p>I disagree</p></div></article>', [LONG.strip()]),
+    (f'<main class="has-comments"><p>{LONG}</p></main><article class="comment"><p>I disagree</p></article>', [LONG.strip()])])
+def test_titles_sections_and_comments(page, want):
+    page = f"<body><nav>Home</nav>{page}<footer>us</footer></body>"
+    assert html.main_text(page, []) == "\n\n".join(want)
+    assert html.main_text(page, [html.vote(page)[0]]) == "\n\n".join(want)
+
+
+def test_pages_are_not_shuffled_to_meet_small_tables(spark, sf_dir):
+    plan = html.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
