@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from airstats.catalog.models import gradient_vanishes
 from airstats.plans import linear, models, scoring
 
 
@@ -48,6 +49,18 @@ def test_gradient_is_zero_at_the_solution(prepared, C):
         assert np.linalg.norm(gradient(w)) < 1e-6 * np.linalg.norm(gradient(0 * w))
 
 
+def test_gradient_of_rows_that_share_a_key(spark):
+    """Copies of a key count once each, and no row travels to be joined."""
+    rows = [(None if i % 7 == 0 else i // 2, float(i % 10), float(i % 3), i % 4) for i in range(80)]
+    df = spark.createDataFrame(rows, "flight_id long, a double, b double, delay_level int")
+    vectors = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    fitted = models.fit_ovr_logistic(vectors).matrix()
+    checked = gradient_vanishes(vectors, fitted)
+    assert {(r["class"], r.solved) for r in checked.collect()} == {(c, True) for c in range(4)}
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert not any(r.solved for r in gradient_vanishes(vectors, fitted + 0.01).collect())
+
+
 def test_a_class_that_does_not_occur(spark):
     df = spark.createDataFrame([(float(i), i % 2, 1.0) for i in range(40)], "a double, delay_level int, weight double")
     vectors = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
