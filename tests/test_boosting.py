@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from airstats.operators.features import CATEGORICAL_FEATURES
 from airstats.plans import boosting, models, scoring
 from airstats.plans.boosting import Setting, boost
 
@@ -37,6 +38,28 @@ def test_sums_choose_the_same_splits(train, fitted, local_rows, monkeypatch):
     assert same(again.rounds[DEEP], fitted.rounds[DEEP][:3]) and same(again.rounds[FLAT], fitted.rounds[FLAT][:3])
 
 
+def test_nodes_are_dealt_to_different_tasks(spark, train):
+    """As many tasks as trees each grow one, and rows travel as small numbers, once a tree."""
+    bins = boosting.fit_bins(train, "features")
+    rows = boosting.binned(train.repartition(2), bins, *ARGS[:3], 4)
+    assert rows.rdd.getNumPartitions() >= 2 and len(rows.inputFiles()) >= spark.sparkContext.defaultParallelism
+    assert all(len(r.cells) <= 2 * r.rows * (len(bins.numbers) + len(CATEGORICAL_FEATURES)) for r in rows.collect())
+    count = train.count()
+    grown = boosting._rest(rows, boosting.Round(bins, [DEEP], 4, growing=[{}] * 4), {(t, 1): count for t in range(4)})
+    assert {(r.tree, r.task) for r in grown.select("tree", F.spark_partition_id().alias("task")).collect()} == {(t, t) for t in range(4)}
+
+
+def test_one_large_node_alone_is_split_from_sums(train, fitted, monkeypatch):
+    """The bound is for the rows of a node, not for those of all trees side by side."""
+    count, levels = train.count(), []
+    level = boosting._level
+    monkeypatch.setattr(boosting, "_level", lambda *args: levels.append(args[2]) or level(*args))
+    again = boost(train, [DEEP, FLAT], 1, *ARGS, local_rows=count)
+    assert not levels and same(again.rounds[DEEP], fitted.rounds[DEEP][:1])
+    again = boost(train, [DEEP, FLAT], 1, *ARGS, local_rows=count - 1)
+    assert levels == [[(t, 1) for t in range(8)]] and same(again.rounds[FLAT], fitted.rounds[FLAT][:1])
+
+
 def test_prefix_is_a_shorter_fit(train, fitted, monkeypatch):
     monkeypatch.setattr(boosting, "ROUNDS_PER_WRITE", 2)
     alone = boost(train, [DEEP], 5, *ARGS)
