@@ -119,8 +119,9 @@ def _(spark, sf):
 def _(spark, sf):
     """All lines delivered twice, in files of other names: flights are loaded once, lines that are not loaded are all kept."""
     src, dst, state, held, book = (scratch_path(spark, n) for n in ("twice", "streamed", "progress", "quarantine", "loads"))
-    lines = spark.read.text(raw_csv(spark, sf, broken_numbers=True)).where("value not like 'FL_DATE,%'")
-    header = ",".join(csv.header_names(spark, raw_csv(spark, sf)))
+    raw = raw_csv(spark, sf, broken_numbers=True)
+    lines = spark.read.text(raw).where("value not like 'FL_DATE,%'")
+    header = ",".join(csv.header_names(spark, raw))
     for _ in range(2):
         lines.select(F.col("value").alias(header)).write.mode("append").option("header", True).option("quote", "").option(
             "escapeQuotes", False).option("sep", "\x01").csv(src)
