@@ -39,7 +39,7 @@ def new_flights(rows: DataFrame, table: str, load: str, key: Sequence[str] = FLI
     """
     spark = rows.sparkSession
     names = [k for k in key if k.lower() in (c.lower() for c in rows.columns)]
-    once = rows.withColumn("_key", F.struct(*names)).dropDuplicates(["_key"])
+    once = rows.dropDuplicates(names).withColumn("_key", F.struct(*names))
     months = [(r.year, r.month) for r in rows.select("year", "month").distinct().collect()]
     if not months:
         return once.drop("_key")

@@ -320,3 +320,13 @@ def test_drifted_reads_of_one_folder_and_of_none(spark, tmp_path):
     (tmp_path / "none").mkdir()
     none = read_drifted(spark, str(tmp_path / "none"), T._parse_datatype_string("a bigint"))
     assert none.rows.count() == 0 and none.skipped.count() == 0
+
+
+def test_balance_writes_its_lines_once(spark, sf_dir, monkeypatch):
+    """The raw lines that a stream is fed with are made once, not again for their header."""
+    from airstats.catalog import QUERIES, files
+
+    made, raw_csv = [], files.raw_csv
+    monkeypatch.setattr(files, "raw_csv", lambda *args, **more: made.append(more) or raw_csv(*args, **more))
+    assert QUERIES["s4_stream_balance"](spark, sf_dir).collect()
+    assert made == [{"broken_numbers": True}]

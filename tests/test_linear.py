@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from airstats.catalog.models import gradient_vanishes
 from airstats.plans import linear, models, scoring
@@ -69,6 +70,15 @@ def test_a_class_that_does_not_occur(spark):
     assert {r["class"] for r in scoring.score(model, vectors).collect()} <= {0, 1}
 
 
+def test_scores_of_whole_batches(prepared):
+    """Vectors are scored as one matrix per Arrow batch, not as an object a row."""
+    model = models.fit_linear(prepared.train)
+    scored = model.transform(prepared.train.select("features"))
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_UDF}" in scored._jdf.queryExecution().executedPlan().toString()
+    x, got = matrix(scored, "minutes")
+    assert np.allclose(x @ model.matrix()[0], got, atol=1e-9)
+
+
 def test_save_and_load(spark, prepared, tmp_path):
     for model, column in ((models.fit_linear(prepared.train), "minutes"), (models.fit_ovr_logistic(prepared.train), "prediction")):
         PipelineModel([model]).write().overwrite().save(str(tmp_path / "model"))
