@@ -8,6 +8,11 @@ a query's tokens are merged with a heap, the candidates' tokens in the long ones
 binary search, and sets that reach the overlap T are linked. Sets already connected with the query
 are left out of its lists, so a bucket of many near copies costs little and gives few links.
 
+Texts are sent only to buckets where they may have a link. Each class has a small parity bitmap of its
+set, after the bitmap filter of Sandes, Teodoro and Melo; bits in which two bitmaps differ are a lower
+bound of the tokens in which the sets differ. Sets that this bound keeps from all others of a bucket
+are left out of it, which loses no link.
+
 Large buckets are divided; every part has the bucket's first set. Sets that are in different
 components afterwards are searched again, block by block, so no link between components is lost.
 
@@ -246,6 +251,80 @@ def bucket_links(sets: list[np.ndarray], labels: list[int], queries: list[bool])
     return links
 
 
+def sketches(gram: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """A bitmap of each set: at least as many bits as tokens, a power of two; a bit is the parity of its tokens."""
+    sizes = np.diff(bounds)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    starts = np.concatenate([[0], np.cumsum(bits)])
+    place = np.repeat(starts[:-1], sizes) + (gram & np.repeat((bits - 1).astype(np.uint64), sizes)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=starts[-1]) & 1).astype(bool), bitorder="little").tobytes()
+    return [packed[a // 8:b // 8] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+
+def possible(sizes: np.ndarray, bitmaps: list[bytes], labels: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Flags the sets that may be linked with another one of the bucket, of another label, one of the two a query.
+
+    Bitmaps are compared at the length of the shorter one; halves of a longer one are put together by xor.
+    """
+    words = np.array([len(b) // 8 for b in bitmaps])
+    out = np.zeros(len(sizes), bool)
+    for width in np.unique(words).tolist():
+        those = np.flatnonzero(words >= width)
+        table = np.stack([np.bitwise_xor.reduce(np.frombuffer(bitmaps[i], np.uint64).reshape(-1, width)) for i in those])
+        for row in np.flatnonzero(words[those] == width).tolist():
+            i = those[row]
+            asked = (labels[those] != labels[i]) & (queries[those] | queries[i])
+            asked &= (5 * sizes[those] >= 4 * sizes[i]) & (5 * sizes[i] >= 4 * sizes[those])
+            both = sizes[those] + sizes[i]
+            differ = np.bitwise_count(table ^ table[row]).sum(axis=1, dtype=np.int64)
+            # 2 * overlap <= tokens of both less those in which they differ
+            near = asked & (both - differ >= 2 * -(-4 * both // 9))
+            if near.any():
+                out[i] = True
+                out[those[near]] = True
+    return out
+
+
+def _sketched(sources: DataFrame, size: int) -> DataFrame:
+    """``class``, number of tokens ``n`` and ``bitmap`` of the texts of classes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, block in T.sub_batches(batch, "text"):
+                gram, bounds = block_sets(block, size)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("class"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(sketches(gram, bounds), pa.binary())],
+                    names=["class", "n", "bitmap"])
+
+    return sources.mapInArrow(run, "class long, n long, bitmap binary")
+
+
+def _possible_members(buckets: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The rows of ``buckets`` (center, salt, member, label, query) that may be linked within their center and salt."""
+    names, kind = ["center", "salt", "member", "label", "query"], "center long, salt int, member long, label long, query boolean"
+
+    def kept(table: pa.Table) -> pa.Table:
+        sizes, labels, queries = (table.column(c).to_numpy() for c in ("n", "label", "query"))
+        found = possible(sizes, table.column("bitmap").to_pylist(), labels, queries)
+        return table.select(names).filter(pa.array(found))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            center, salt = (rest.column(c).to_numpy() for c in ("center", "salt"))
+            ends = [0, *(np.flatnonzero((np.diff(center) != 0) | (np.diff(salt) != 0)) + 1).tolist()]
+            for low, high in zip(ends, ends[1:]):
+                if high - low > 1:
+                    yield from kept(rest.slice(low, high - low)).to_batches()
+            rest = rest.slice(ends[-1])
+        if rest is not None and rest.num_rows > 1:
+            yield from kept(rest).to_batches()
+
+    return (buckets.join(bitmaps, F.col("member") == F.col("class")).select(*names, "n", "bitmap")
+            .repartition("center", "salt").sortWithinPartitions("center", "salt").mapInArrow(run, kind))
+
+
 def _searched(buckets: DataFrame, size: int) -> DataFrame:
     """Links (``a``, ``b``) within groups of equal ``center`` and ``salt``; rows also have a class,
     a label, whether they are queries, and the text."""
@@ -311,8 +390,15 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     whole = pairs.join(sizes, "center")
     members = (whole.withColumn("salt", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")).drop("parts")
                .union(sizes.select("center", F.col("center").alias("member"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))))
-    first = (members.join(sources, F.col("member") == F.col("class"))
-             .select("center", "salt", "member", F.col("member").alias("label"), F.lit(True).alias("query"), "text"))
+    bitmaps = finished(_sketched(sources, shingle), "bitmaps")
+
+    def with_texts(buckets: DataFrame) -> DataFrame:
+        near = finished(_possible_members(buckets, bitmaps), "near")
+        return (near.join(sources, F.col("member") == F.col("class"))
+                .select("center", "salt", "member", "label", "query", "text"))
+
+    first = with_texts(members.select("center", F.col("salt").cast("int").alias("salt"), "member",
+                                      F.col("member").alias("label"), F.lit(True).alias("query")))
     links = finished(_searched(first, shingle), "found")
     labels = components(links)
 
@@ -334,10 +420,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     columns = ["center", "block", "part", "blocks", "member", "label", "query"]
     again = (against.select(columns).union(index.select(columns)).groupBy("center", "block", "part", "blocks", "member")
              .agg(F.first("label").alias("label"), F.max("query").alias("query"))
-             .withColumn("salt", F.col("part") * F.col("blocks") + F.col("block"))
-             .join(sources, F.col("member") == F.col("class"))
-             .select("center", "salt", "member", "label", "query", "text"))
-    more = finished(_searched(again, shingle), "found")
+             .withColumn("salt", (F.col("part") * F.col("blocks") + F.col("block")).cast("int"))
+             .select("center", "salt", "member", "label", "query"))
+    more = finished(_searched(with_texts(again), shingle), "found")
     if not more.isEmpty():
         labels = components(links.union(more))
 

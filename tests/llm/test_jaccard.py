@@ -88,6 +88,43 @@ def test_search_as_all_pairs():
         assert set(lists.search(q, wanted)) == want
 
 
+def _bitmaps(sets):
+    return jaccard.sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+
+
+def test_bitmaps_leave_out_no_link_and_most_others():
+    rng = np.random.default_rng(4)
+    sets = []
+    for size in (1, 2, 5, 40, 64, 65, 200, 700, 1500):
+        base = rng.integers(0, 1 << 62, size).astype(np.uint64)
+        for lost in (0, 0.05, 0.1, 0.11, 0.2, 0.9):
+            keep = base[rng.random(size) >= lost]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, size - len(keep)).astype(np.uint64)])))
+    bitmaps, sizes = _bitmaps(sets), np.array([len(s) for s in sets])
+    alone, both = np.arange(2), np.ones(2, bool)
+    found = linked = 0
+    for i, j in combinations(range(len(sets)), 2):
+        got = jaccard.possible(sizes[[i, j]], [bitmaps[i], bitmaps[j]], alone, both)
+        like = len(np.intersect1d(sets[i], sets[j])) >= jaccard.overlap(len(sets[i]), len(sets[j]))
+        assert got[0] == got[1] and got[0] >= like
+        found, linked = found + got[0], linked + like
+    assert 20 < linked <= found < 2 * linked
+    assert not jaccard.possible(sizes[[0, 0]], [bitmaps[0]] * 2, np.zeros(2), both).any()
+    assert not jaccard.possible(sizes[[0, 0]], [bitmaps[0]] * 2, alone, ~both).any()
+
+
+def test_texts_go_only_where_they_may_have_a_link(spark, monkeypatch):
+    """Texts that share a first token and no more meet, but are not sent to a bucket."""
+    searched = []
+    whole = jaccard._searched
+    monkeypatch.setattr(jaccard, "_searched", lambda buckets, size: searched.append(buckets.count()) or whole(buckets, size))
+    shared = " ".join(f"s{i}" for i in range(40))
+    texts = {k: " ".join(f"t{k}x{i}" for i in range(70)) + " " + shared for k in range(30)}
+    texts[30] = texts[4] + " end"
+    assert run(spark, texts) == by_hand(texts)
+    assert searched[0] == 2
+
+
 def test_overlap_is_the_least():
     for a in range(1, 60):
         for b in range(1, 60):
