@@ -15,10 +15,11 @@ from airstats.binding import KEY, flights
 from airstats.catalog.registry import query
 from airstats.catalog.relational import _FEATURES_BASE, _FEATURES_SQL, _level, _with_total
 from airstats.operators.evaluate import class_report, regression_report
-from airstats.operators.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES, build_features
+from airstats.operators.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES, build_features, with_targets
+from airstats.operators.filters import clean_for_model
 from airstats.operators.split import CLASSES, with_balanced_weight
 from airstats.plans import boosting, models, scoring, service
-from airstats.storage import scratch_path, stored
+from airstats.storage import scratch_path, spread, stored
 from airstats.streaming.scoring import score_stream, write_scores
 
 T = TypeVar("T")
@@ -217,8 +218,10 @@ _FIRST_SPLITS = _FEATURES_SQL + f""",
 @query("m5_first_splits", _FIRST_SPLITS)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """The feature and threshold on which the first tree of each class splits, over unscaled features."""
-    rows = build_features(flights(spark, sf), fit_on="all")
-    hot = models.encoder().fit(rows).transform(rows)
+    # narrow tables written once: means, codes, weights and bins each read them again
+    cleaned = stored(with_targets(clean_for_model(flights(spark, sf), "drop", [])), "cleaned")
+    rows = stored(build_features(cleaned, fit_on="all"), "features")
+    hot = models.encoder().fit(rows).transform(spread(rows))
     vectors = VectorAssembler(
         inputCols=[*NUMERIC_FEATURES, *[f"{c}_hot" for c in CATEGORICAL_FEATURES]], outputCol=models.FEATURES).transform(hot)
     train = with_balanced_weight(vectors, models.LABEL)

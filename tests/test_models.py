@@ -118,3 +118,23 @@ def test_grid_keeps_going_after_a_failure(prepared):
 def test_importances(prepared):
     top = models.importances(models.fit_boosted(prepared.train, 2, 3, 0.1), prepared.train).collect()
     assert len(top) == 10 and [r.importance for r in top] == sorted((r.importance for r in top), reverse=True)
+
+
+def test_first_splits_read_the_flights_once(spark, sf_dir, monkeypatch):
+    """Means, codes, weights and bins come from tables written once; the joins of the flights are not made again for each."""
+    from airstats.catalog import QUERIES, models as catalog
+
+    seen, build = spark.sparkContext.accumulator(0), catalog.flights
+
+    def counted(session, folder):
+        def passed(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        rows = build(session, folder)
+        return rows.mapInArrow(passed, rows.schema)
+
+    monkeypatch.setattr(catalog, "flights", counted)
+    assert QUERIES["m5_first_splits"](spark, sf_dir).count() == 4
+    assert seen.value == build(spark, sf_dir).count()
