@@ -41,6 +41,8 @@ from airstats.llm.phases import finished
 BUCKET = 400
 #: Tokens that so many sets of a task have are proposed as frequent; at most FREQUENT are listed.
 OFTEN, FREQUENT = 2, 1 << 20
+#: Bits of the bitmap of asked texts; no result depends on it.
+SIEVE = 1 << 26
 #: Of the paper: how strongly the length of lists moves the border between short and long ones.
 MU = 0.0085
 
@@ -285,17 +287,17 @@ def possible(sizes: np.ndarray, bitmaps: list[bytes], labels: np.ndarray, querie
     return out
 
 
-def _sketched(sources: DataFrame, size: int) -> DataFrame:
-    """``class``, number of tokens ``n`` and ``bitmap`` of the texts of classes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, block in T.sub_batches(batch, "text"):
-                gram, bounds = block_sets(block, size)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("class"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(sketches(gram, bounds), pa.binary())],
-                    names=["class", "n", "bitmap"])
+def _sieved(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """The rows whose ``digest`` may be in ``digests``: all that are there, and of the others one in SIEVE by each digest.
 
-    return sources.mapInArrow(run, "class long, n long, bitmap binary")
+    A bitmap of SIEVE bits goes to every task, as words of 64 bits. So texts that nothing asks for are not shuffled,
+    however many others are.
+    """
+    words = (digests.select(F.pmod("digest", F.lit(SIEVE)).alias("bit")).groupBy(F.expr("bit div 64").alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")))
+    bit = F.pmod("digest", F.lit(SIEVE))
+    return (rows.withColumn("bit", bit).withColumn("word", F.expr("bit div 64")).join(F.broadcast(words), "word")
+            .where("shiftright(bits, cast(bit % 64 as int)) & 1 = 1").select(*rows.columns))
 
 
 def _possible_members(buckets: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -370,32 +372,31 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
                 gram, bounds = block_sets(block, shingle)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), part.column("digest"), pa.array(np.diff(bounds).astype(np.int64)),
-                     pa.array(set_classes(gram, bounds))], names=["key", "digest", "n_shingles", "class"])
+                     pa.array(set_classes(gram, bounds)), pa.array(sketches(gram, bounds), pa.binary())],
+                    names=["key", "digest", "n_shingles", "class", "bitmap"])
 
-    classes = finished(rows.mapInArrow(described, f"key {kind}, digest long, n_shingles long, class long"), "classes")
+    classes = finished(rows.mapInArrow(described, f"key {kind}, digest long, n_shingles long, class long, bitmap binary"), "classes")
     pairs = finished(_meetings(texts, shingle, _frequent(texts, shingle)), "meetings")
 
     # one text for each class that meets another: that of its least key and text, which several rows may have
     met = pairs.select(F.col("member").alias("class")).union(pairs.select("center")).distinct()
-    equal = classes.join(met, "class").groupBy("class", "key", "digest").agg(F.count("*").alias("rows"))
-    chosen = finished(equal.groupBy("class").agg(F.min(F.struct("key", "digest", "rows")).alias("row"))
-                      .select("class", "row.*"), "chosen")
-    same = rows["key"].eqNullSafe(chosen["key"]) & (rows["digest"] == chosen["digest"])
-    sources = rows.join(chosen, same).select("class", "text")
-    if not chosen.where("rows > 1").isEmpty():
-        sources = sources.dropDuplicates(["class"])
-    sources = finished(sources, "sources")
+    equal = classes.join(met, "class").groupBy("class", "key", "digest").agg(
+        F.count("*").alias("rows"), F.max(F.struct(F.col("n_shingles").alias("n"), "bitmap")).alias("set"))
+    chosen = finished(equal.groupBy("class").agg(F.min(F.struct("key", "digest", "rows", "set")).alias("row"))
+                      .select("class", "row.key", "row.digest", "row.rows", "row.set.*"), "chosen")
+    repeated = not chosen.where("rows > 1").isEmpty()
 
     sizes = pairs.groupBy("center").agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"))
     whole = pairs.join(sizes, "center")
     members = (whole.withColumn("salt", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")).drop("parts")
                .union(sizes.select("center", F.col("center").alias("member"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))))
-    bitmaps = finished(_sketched(sources, shingle), "bitmaps")
-
     def with_texts(buckets: DataFrame) -> DataFrame:
-        near = finished(_possible_members(buckets, bitmaps), "near")
-        return (near.join(sources, F.col("member") == F.col("class"))
-                .select("center", "salt", "member", "label", "query", "text"))
+        near = _possible_members(buckets, chosen.select("class", "n", "bitmap"))
+        near = finished(near.join(chosen.select(F.col("class").alias("member"), "key", "digest"), "member"), "near")
+        asked = near.select("center", "salt", "member", "label", "query", F.col("key").alias("of"), F.col("digest").alias("text_digest"))
+        found = _sieved(rows, near).join(asked, F.col("key").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("text_digest")))
+        found = found.select("center", "salt", "member", "label", "query", "text")
+        return found.dropDuplicates(["center", "salt", "member"]) if repeated else found
 
     first = with_texts(members.select("center", F.col("salt").cast("int").alias("salt"), "member",
                                       F.col("member").alias("label"), F.lit(True).alias("query")))

@@ -161,3 +161,32 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert len({got[i] for i in range(41)}) == 1 and len({got[1000 + i] for i in range(30)}) == 1
     assert len({got[0], got[1000], got[2000]}) == 3
+
+
+def test_texts_that_nothing_asks_for_are_not_shuffled(spark, monkeypatch):
+    """The bitmap of asked texts keeps them, nulls among their keys included, and lets few others through."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("key"), F.col("id").cast("string").alias("text"))
+    rows = rows.withColumn("digest", F.xxhash64("text"))
+    asked = rows.where("cast(text as int) % 100 = 0").select("digest")
+    want = {r["digest"] for r in asked.collect()}
+    left = {r["digest"] for r in jaccard._sieved(rows, asked).collect()}
+    assert want <= left and len(left) < len(want) + 20
+    assert jaccard._sieved(rows, asked.where("digest is null")).isEmpty()
+    monkeypatch.setattr(jaccard, "SIEVE", 128)  # a full bitmap loses nothing
+    assert jaccard._sieved(rows, asked).count() > 10_000 and want <= {r["digest"] for r in jaccard._sieved(rows, asked).collect()}
+
+
+@pytest.mark.parametrize("sieve", [64, 1 << 26])
+def test_links_do_not_depend_on_the_sieve(spark, families, monkeypatch, sieve):
+    monkeypatch.setattr(jaccard, "SIEVE", sieve)
+    docs = spark.createDataFrame([(None if k == 5 else k, t) for k, t in families.items()] * 2, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(docs).collect()}
+    label = {k: c for k, (_, c) in by_hand(families).items()}
+    size = {k: n for k, (n, _) in by_hand(families).items()}
+    members = {}
+    for k, c in label.items():
+        members.setdefault(c, []).append(k)
+    least = {c: min([k for k in ks if k != 5], default=None) for c, ks in members.items()}
+    assert got == {(None if k == 5 else k, size[k], (None if k == 5 else k) if not size[k] else least[label[k]]) for k in families}
