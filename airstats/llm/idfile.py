@@ -8,8 +8,9 @@ follows from how often each was right in blocks' earlier positions of like confi
 a record are coded side by side, a position of each at a time, as numpy vectors.
 
 Documents are encoded by the tokenizers library: a text's pre-tokens don't influence each other, so
-each different one is encoded once and remembered in a bounded table. Texts with a special token's
-string go through the library whole. Null and empty texts have the end id alone. Equal keys are
+texts are cut where one surely begins, and each different piece is encoded once and remembered, by a
+64-bit hash, in a bounded table. Texts with a special token's string or with a piece of more than
+LONGEST bytes go through the library whole. Null and empty texts have the end id alone. Equal keys are
 ordered by the text's hash; every row is a document of its own. Records carry no row order but that
 of the keys, and no task holds more than a record of ids besides its batch of texts.
 """
@@ -17,22 +18,23 @@ of the keys, and no task holds more than a record of ids besides its batch of te
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
+from airstats.llm import text as T
 from airstats.llm.phases import finished
 
 #: Most ids of a block, and ids after which a record ends.
 BLOCK, RECORD = 4096, 6 << 20
-#: Pre-tokens a worker remembers.
-REMEMBERED = 600_000
+#: Pieces a worker remembers, and most bytes of one.
+REMEMBERED, LONGEST = 600_000, 512
 
 _SLOTS = 1024
 #: No id has been seen in a slot: 65535 with no trust.
@@ -43,31 +45,113 @@ _KIND_BITS, _COUNT_BITS = np.uint64(_KINDS), np.uint64(_COUNTED)
 _WORD, _HALF = np.uint64(1) << np.uint64(32), np.uint64(32)
 
 
+def _bytes_of(text: str) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[np.frombuffer(text.encode("latin-1"), np.uint8)] = True
+    return table
+
+
+_WORDLIKE = _bytes_of(string.ascii_letters + string.digits)
+#: Bytes that end a token behind a letter or digit; an apostrophe may belong to what follows.
+_MARKS = _bytes_of(string.punctuation.replace("'", ""))
+_BLANK = _bytes_of(" \t\n\r")
+#: Last bytes of characters that may be white space, ASCII controls among them.
+_MAY_BE_BLANK = _bytes_of("".join(map(chr, [*range(0x21), 0x7F, *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])))
+
+
+def pieces(block: T.Block) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces of texts begin, and the bounds of texts in them.
+
+    A pre-token of ``public_tokenizers.PATTERN`` begins at each, whatever stands before: at a blank behind
+    anything else, and at a mark behind a letter or digit. Pieces end in no blank, so nothing looks beyond them.
+    """
+    data = block.data
+    begins = np.zeros(len(data), bool)
+    begins[1:] = (_BLANK[data[1:]] & ~_MAY_BE_BLANK[data[:-1]]) | (_MARKS[data[1:]] & _WORDLIKE[data[:-1]])
+    edges = block.offsets[:-1]
+    begins[edges[np.diff(block.offsets) > 0]] = True
+    starts = np.flatnonzero(begins)
+    return starts, np.searchsorted(starts, block.offsets)
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them, without special tokens added."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # byte-level tokens are written with a character for each byte
+        names = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(names.values(), default=0) + 1, np.int64)
+        self.width[list(names.values())] = [len(name) for name in names]
+        self._forget()
+
+    def _forget(self) -> None:
+        """``known``: hashes of pieces in ascending order; ``ids`` of them stand from ``starts`` on, ``sizes`` many."""
+        self.known, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u2")
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, hashes: np.ndarray, texts: list[bytes]) -> None:
+        """Remember pieces that are not known yet."""
+        found: list[list[int] | None] = [None] * len(texts)
+        # behind a piece that ends in no blank, one that begins with a blank may stand in the same call
+        joined = [i for i, t in enumerate(texts) if _BLANK[t[0]] and not _MAY_BE_BLANK[t[-1]]]
+        for at in range(0, len(joined), 1000):
+            some = joined[at:at + 1000]
+            ids = self._ids([b"".join([texts[i] for i in some]).decode()])[0]
+            ends = np.cumsum(self.width[ids])
+            wanted = np.cumsum([len(texts[i]) for i in some])
+            bounds = np.searchsorted(ends, wanted) + 1
+            if len(ids) and bounds[-1] == len(ids) and (ends[bounds - 1] == wanted).all():
+                for i, low, high in zip(some, [0, *bounds[:-1].tolist()], bounds.tolist()):
+                    found[i] = ids[low:high]
+        alone = [i for i, ids in enumerate(found) if ids is None]
+        for at in range(0, len(alone), 10_000):
+            some = alone[at:at + 10_000]
+            for i, ids in zip(some, self._ids([texts[i].decode() for i in some])):
+                found[i] = ids
+        sizes = np.array([len(x) for x in found], np.int64)
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), "<u2", int(sizes.sum()))])
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.starts, self.sizes = (
+            np.insert(old, at, new) for old, new in ((self.known, hashes), (self.starts, starts), (self.sizes, sizes)))
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
-        parts = [None if any(s in t for s in self.special) else self.pattern.findall(t) for t in texts]
+        for block in T.blocks(texts):
+            yield from self._block(block)
+
+    def _block(self, block: T.Block) -> Iterator[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({p for part in parts if part for p in part if p not in known})
-        for at in range(0, len(new), 10_000):
-            for piece, ids in zip(new[at:at + 10_000], self._ids(new[at:at + 10_000])):
-                known[piece] = np.array(ids, "<u2").tobytes()
-        return [np.array(self._ids([t])[0], "<u2").tobytes() if part is None else b"".join(map(known.__getitem__, part))
-                for t, part in zip(texts, parts)]
+            self._forget()
+        starts, bounds = pieces(block)
+        ends = np.append(starts[1:], len(block.data))
+        long = np.flatnonzero(ends - starts > LONGEST)
+        hashes, first, back = np.unique(block.hashes()(starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, hashes)
+        new = np.append(self.known, np.uint64(0))[at] != hashes
+        new[at == len(self.known)] = True
+        new[back[long]] = False
+        if new.any():
+            self._learn(hashes[new], [block.data[starts[i]:ends[i]].tobytes() for i in first[new].tolist()])
+            at = np.searchsorted(self.known, hashes)
+        at[back[long]] = 0
+        at = at[back]
+        sizes = self.sizes[at] if len(self.known) else np.zeros(len(at), np.int64)
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(self.starts[at] - sums[:-1], sizes) + np.arange(sums[-1])] if len(self.known) else self.ids
+        whole = set(np.searchsorted(bounds, long, side="right") - 1)
+        for i, (a, b) in enumerate(zip(sums[bounds[:-1]].tolist(), sums[bounds[1:]].tolist())):
+            text = block.data[block.offsets[i]:block.offsets[i + 1]].tobytes()
+            if i in whole or any(s in text for s in self.special):
+                yield np.array(self._ids([text.decode()])[0], "<u2").tobytes()
+            else:
+                yield ids[a:b].tobytes()
 
 
 class Model:
@@ -259,16 +343,14 @@ def records(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_i
                 names=["part", "record", "keys", "lengths", "head", "blocks", "checks"])
 
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                rows = batch.slice(at, 500)
-                part = rows.column("part")[0].as_py()
-                for k, packed in zip(rows.column("key").to_pylist(), encoder.encode(rows.column("text").to_pylist())):
-                    keys.append(k)
-                    ids.append(packed + final)
-                    size += len(packed) // 2 + 1
-                    if size >= RECORD:
-                        yield record()
-                        keys, ids, size, number = [], [], 0, number + 1
+            for k, here, packed in zip(batch.column("key").to_pylist(), batch.column("part").to_pylist(), encoder.encode(batch.column("text"))):
+                part = here
+                keys.append(k)
+                ids.append(packed + final)
+                size += len(packed) // 2 + 1
+                if size >= RECORD:
+                    yield record()
+                    keys, ids, size, number = [], [], 0, number + 1
         if keys:
             yield record()
 

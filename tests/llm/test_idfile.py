@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -75,3 +76,25 @@ def test_many_records(documents, texts, monkeypatch):
 
 def test_empty_table(no_documents):
     assert idfile.checksums(idfile.write(no_documents, PATH, 2)).count() == 0
+
+
+def test_encoder_is_the_library_whatever_stands_where_texts_are_cut():
+    parts = [*"ab z9.,'!-_\n\t\r\x00\x1c\x7fé中😀", "\u0085", " ", " ", "　", " ", "ʼ", "’", "​", "Ⅷ", "'s", "'re", " the",
+             "I'll", "<|endoftext|>", "x" * 600]
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(parts, n)) for n in rng.integers(0, 25, 4000)] + ["", None, "中" * 300 + " b c"]
+    library, encoder = Tokenizer.from_file(PATH), idfile.Encoder(PATH)
+    for batch in (texts, texts[::-1]):
+        for text, ids in zip(batch, encoder.encode(pa.array(batch, pa.string())), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_known_pieces_are_not_encoded_again(monkeypatch):
+    encoder, asked = idfile.Encoder(PATH), []
+    monkeypatch.setattr(encoder, "_ids", lambda texts, real=encoder._ids: asked.append(len(texts)) or real(texts))
+    first = list(encoder.encode(pa.array(["one two, three"] * 500 + ["three one two"])))
+    calls = sum(asked)
+    assert calls < 6  # the pieces that begin with a blank go in one call, and none goes twice
+    assert list(encoder.encode(pa.array(["one two, three"] * 500 + ["three one two"]))) == first and sum(asked) == calls
+    monkeypatch.setattr(idfile, "REMEMBERED", 0)
+    assert list(encoder.encode(pa.array(["one two, three"]))) == first[:1]
