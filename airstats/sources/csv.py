@@ -108,7 +108,8 @@ def judged(lines: DataFrame, null_tokens: Sequence[str] = NULL_TOKENS) -> DataFr
     columns = [f for f in lines.schema.fields if f.name != BROKEN_LINE]
     read = lines.dropna(thresh=0)
     faults = F.when(F.col(BROKEN_LINE).isNotNull(), _faults(lines.schema, null_tokens))
-    read = read.withColumn(BAD_COLUMNS, F.when(F.size(faults) > 0, faults))
+    # null if empty, with the faults written once: each mention would parse the line again
+    read = read.withColumn(BAD_COLUMNS, F.get(F.filter(F.array(faults), lambda names: F.size(names) > 0), F.lit(0)))
     return read.select(
         *[_value(f, null_tokens).cast(f.dataType).alias(f.name) for f in columns],
         F.when(F.col(BAD_COLUMNS).isNotNull(), F.col(BROKEN_LINE)).alias(LINE), BAD_COLUMNS)

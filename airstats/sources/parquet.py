@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from airstats.operators.filters import require, with_year_month
 from airstats.schema import ESSENTIAL
 from airstats.sources.csv import BAD_COLUMNS, LINE, flight_lines, judged
+from airstats.storage import scratch_path
 
 PARTITIONS = ("year", "month")
 ROWS_PER_FILE = 5_000_000
@@ -115,16 +116,21 @@ def load(spark: SparkSession, src: str | Sequence[str], dst: str, years: Sequenc
     ``force`` loads a year again: its months are replaced, and months that the source no longer has
     go once the others are written; other years stay untouched. All years come from one scan of
     the source and are committed together; the same scan counts what becomes of every line. Lines
-    that cannot be loaded go to the folder ``quarantine``; only if there are any, the source is
-    read once more for them.
+    that cannot be loaded go to the folder ``quarantine``; for them the typed lines are kept in the
+    scratch folder until the load is done, so that the source is still read and typed once.
     """
     todo = sorted(set(years) if force else set(years) - loaded_years(spark, dst))
     if not todo:
         return Load(todo, None)
     before = _files_by_folder(spark, dst, todo) if force else {}
     rows = accounted(flight_lines(spark, src), todo)
-    counted = Observation()
-    write_partitioned(flights_of(rows.observe(counted, *counts_of_outcomes())), dst, mode="replace")
+    counted, typed = Observation(), None
+    rows = rows.observe(counted, *counts_of_outcomes())
+    if quarantine is not None:
+        typed = scratch_path(spark, "typed")
+        rows.write.parquet(typed)
+        rows = spark.read.schema(rows.schema).parquet(typed)
+    write_partitioned(flights_of(rows), dst, mode="replace")
     after = _files_by_folder(spark, dst, todo) if force else {}
     # a folder that the load wrote has other files than before
     _delete(spark, [folder for folder, files in after.items() if before.get(folder) == files])
@@ -132,6 +138,8 @@ def load(spark: SparkSession, src: str | Sequence[str], dst: str, years: Sequenc
     if quarantine is not None and counts[REJECTED] + counts[DROPPED]:
         sources = [src] if isinstance(src, str) else list(src)
         write_quarantine(rows, quarantine, md5("\n".join([*sources, *map(str, todo)]).encode()).hexdigest()[:12])
+    if typed is not None:
+        _delete(spark, [typed])
     return Load(todo, counts)
 
 

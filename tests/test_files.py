@@ -1,5 +1,7 @@
 """CSV scan, partitioned table, ledger, listing, drifting files, stream."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -184,6 +186,21 @@ def test_load_accounts_for_every_line(spark, raw, tmp_path):
     assert parquet.loaded_years(spark, dst) == {2023} and parquet.loaded_years(spark, str(tmp_path / "none")) == set()
 
 
+def test_load_with_quarantine_types_the_source_once(spark, raw, tmp_path, monkeypatch):
+    whole, read = parquet.write_quarantine, []
+
+    def noted(rows, *args):
+        read.extend(rows.inputFiles())
+        whole(rows, *args)
+
+    monkeypatch.setattr(parquet, "write_quarantine", noted)
+    parquet.load(spark, raw, str(tmp_path / "table"), [2023], quarantine=str(tmp_path / "held"))
+    assert read and all(f.endswith(".parquet") for f in read)  # not the lines again
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in read)
+    plan = csv.judged(csv.flight_lines(spark, raw))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") == 2
+
+
 def test_stream_accounts_for_every_line(spark, tmp_path):
     src, dst, held, book = tmp_path / "in", *(str(tmp_path / n) for n in ("out", "held", "book"))
     args = dict(quarantine=held, loads=book)
