@@ -145,3 +145,42 @@ def test_grid(train, flights):
     assert [r.config for r in sorted(rows.values(), key=lambda r: (r.learning_rate, r.max_depth, r.n_estimators))] == list(range(8))
     alone = models.fit_boosted(train, 3, 3, 0.3)
     assert alone.getOrDefault("trees") == tuned.models[rows[0.3, 3, 3].config].getOrDefault("trees")
+
+
+def test_few_rows_are_boosted_by_a_task_for_many_rounds(train, fitted, monkeypatch):
+    """No job for a round or a level: two for five rounds of both settings, whose scores are written in between."""
+    monkeypatch.setattr(boosting, "_grow", lambda *args: pytest.fail("a job for a round"))
+    monkeypatch.setattr(boosting, "ROUNDS_PER_TASK", 3)
+    again = boost(train.repartition(3), [FLAT, DEEP], 5, *ARGS)
+    assert same(again.rounds[DEEP], fitted.rounds[DEEP][:5]) and same(again.rounds[FLAT], fitted.rounds[FLAT][:5])
+
+
+def test_of_two_children_one_is_summed_up(train, fitted, monkeypatch):
+    """The other has what is left of their parent; leaves at the bottom have their sums from there."""
+    asked, level = [], boosting._level
+    monkeypatch.setattr(boosting, "_level", lambda *args: asked.append(args[2]) or level(*args))
+    monkeypatch.setattr(boosting, "ROUNDS_PER_WRITE", 2)
+    again = boost(train.repartition(3), [DEEP], 3, *ARGS, local_rows=0)
+    assert same(again.rounds[DEEP], fitted.rounds[DEEP][:3])
+    assert len(asked) == 3 * 4  # a job for each level that can be split
+    below = [node for level in asked for _, node in level if node > 1]
+    assert below and all(len({(t, node // 2) for t, node in level}) == len(level) for level in asked)
+
+
+def test_sums_of_joint_columns():
+    """By hand, for flags that stand in two columns, rows without flags and parts of few rows."""
+    rng = np.random.default_rng(3)
+    bins = boosting.Bins(7, (0, 1), ((1.0, 2.0, 3.0), (5.0,)))
+    cells = np.full((500, 4), -1, np.int16)
+    cells[:, 0], cells[:, 1] = rng.integers(0, 4, 500), rng.integers(4, 6, 500)
+    cells[:, 2] = rng.choice([6, 7, 8, -1], 500)
+    cells[:, 3] = np.where(cells[:, 2] >= 0, rng.choice([9, 10, -1], 500), -1)
+    rows, value = boosting.Rows(boosting._columns(cells, bins), bins), rng.integers(-9, 9, 500).astype(float)
+    assert [len(members) for _, members, _ in rows.joint] == [4]
+    for parts in ([np.arange(500)], [np.arange(0, 300), np.arange(300, 303), np.arange(303, 500)], np.split(np.arange(500), 250)):
+        by_cell, by_part = rows.sums(parts, [value, None])
+        for i, part in enumerate(parts):
+            assert by_part[:, i].tolist() == [value[part].sum(), len(part)]
+            for c in range(bins.cells):
+                here = part[(cells[part] == c).any(axis=1)]
+                assert by_cell[:, i, c].tolist() == [value[here].sum(), len(here)]
